@@ -10,7 +10,9 @@ from assentlake.functions.text import non_empty, trim_all
 
 
 def child(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
+    """The value at the path; NULL if it is missing or a JSON null."""
+    sub = F.try_variant_get(v, path, "variant")
+    return F.when(~F.is_variant_null(sub), sub)
 
 
 def has_kind(v: Column, kind: str) -> Column:

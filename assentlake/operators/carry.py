@@ -10,7 +10,8 @@ def carry_forward(records: DataFrame, update: Column, initial: Column, name: str
 
     ``records`` has file_path, block_start and pos. Lines are ordered inside one block of a
     file only, and one row per block carries the value on to the next blocks. So a file of
-    any size is spread over as many tasks as it has blocks.
+    any size is spread over as many tasks as it has blocks. The records are read twice, so
+    a caller with costly records stages them first (see assentlake.session.staged).
     """
     marked = records.withColumn("_update", update)
     in_block = (
@@ -20,20 +21,18 @@ def carry_forward(records: DataFrame, update: Column, initial: Column, name: str
     )
     ordered = marked.withColumn("_own", F.last("_update", ignorenulls=True).over(in_block))
 
-    # max_by skips no NULLs of its own accord, so only lines with an update take part.
-    block_last = (
-        marked.where(F.col("_update").isNotNull())
-        .groupBy("file_path", "block_start")
-        .agg(F.max_by("_update", "pos").alias("_last"))
+    # One row per block: its last update, then the nearest earlier one of the same file.
+    # max_by passes over lines without an update, because their ordering value is NULL.
+    blocks = marked.groupBy("file_path", "block_start").agg(
+        F.max_by("_update", F.when(F.col("_update").isNotNull(), F.col("pos"))).alias("_last")
+    )
+    earlier = (
+        Window.partitionBy("file_path")
+        .orderBy("block_start")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # For a block: the value of the nearest earlier block that has one. Blocks with updates
-    # are few rows per file, and become intervals that later blocks fall into.
-    by_block = Window.partitionBy("file_path").orderBy("block_start")
-    blocks = records.select("file_path", "block_start").distinct()
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        blocks.join(block_last, ["file_path", "block_start"], "left")
-        .withColumn("_before", F.last("_last", ignorenulls=True).over(before))
+        blocks.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
         .where(F.col("_before").isNotNull())
         .select("file_path", "block_start", "_before")
     )
