@@ -9,29 +9,29 @@ from pyspark.sql import Column, functions as F
 from assentlake.functions.text import non_empty, trim_all
 
 
-def child(v: Column, path: str) -> Column:
+def child(v: Column | str, path: str) -> Column:
     """The value at the path; NULL if it is missing or a JSON null."""
     sub = F.try_variant_get(v, path, "variant")
     return F.when(~F.is_variant_null(sub), sub)
 
 
-def has_kind(v: Column, kind: str) -> Column:
+def has_kind(v: Column | str, kind: str) -> Column:
     """True if the variant is of the kind: STRING, ARRAY or OBJECT."""
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
-def string_at(v: Column, path: str) -> Column:
+def string_at(v: Column | str, path: str) -> Column:
     """The value at the path if it really is a JSON string, else NULL."""
     sub = child(v, path)
     return F.when(F.schema_of_variant(sub) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def text_at(v: Column, *paths: str) -> Column:
+def text_at(v: Column | str, *paths: str) -> Column:
     """First non-empty scalar among the paths."""
     return F.coalesce(*(non_empty(F.try_variant_get(v, p, "string")) for p in paths))
 
 
-def array_at(v: Column, path: str) -> Column:
+def array_at(v: Column | str, path: str) -> Column:
     """The elements at the path; NULL if the value there is no array."""
     return F.try_variant_get(v, path, "array<variant>")
 
@@ -58,7 +58,7 @@ def flatten_content(content: Column, block_types: Sequence[str], any_content: bo
     )
 
 
-def parse_ts(v: Column, paths: Sequence[str], run_ts: Column) -> Column:
+def parse_ts(v: Column | str, paths: Sequence[str], run_ts: Column) -> Column:
     """First usable timestamp among the paths, as epoch milliseconds or ISO text.
 
     A missing, empty or zero value gives ``run_ts``; text that is no timestamp gives NULL,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assentlake.functions.text import non_empty, trim_all
 from assentlake.functions.variants import array_at, child, string_at, text_at
 
-V = F.col("v")
+V = "v"
 
 # What a line of an assistant reply usually holds, and what it then lacks.
 REPLY_MARKS = ('"assistant"', '"role":"model"', '"output_text"')

@@ -9,13 +9,13 @@ from assentlake.functions.scores import per_thousand, reconcile_mdi
 from assentlake.functions.text import trim_all
 from assentlake.functions.variants import array_at, string_at
 
-V = F.col("v")
+V = "v"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 
 ENTRY = "struct<name:string,hits:bigint,messages:bigint,mdi:double>"
 
 
-def number_at(v: Column, path: str) -> Column:
+def number_at(v: Column | str, path: str) -> Column:
     """Finite, non-negative number at the path, else NULL. Numeric text counts as a number."""
     sub = F.try_variant_get(v, path, "variant")
     kind = F.schema_of_variant(sub)
@@ -29,12 +29,12 @@ def number_at(v: Column, path: str) -> Column:
     return F.when((value >= 0) & (value < float("inf")), value)
 
 
-def count_at(v: Column, path: str) -> Column:
+def count_at(v: Column | str, path: str) -> Column:
     """Non-negative integer at the path, 0 for anything else."""
     return F.floor(F.least(F.coalesce(number_at(v, path), F.lit(0.0)), F.lit(9.0e18))).cast("bigint")
 
 
-def name_at(v: Column, path: str, limit: int) -> Column:
+def name_at(v: Column | str, path: str, limit: int) -> Column:
     return F.substring(trim_all(F.coalesce(string_at(v, path), F.lit(""))), 1, limit)
 
 

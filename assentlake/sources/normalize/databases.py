@@ -11,7 +11,7 @@ from assentlake.sources.files import parent_name
 from assentlake.sources.normalize.documents import items
 from assentlake.sources.normalize.shape import messages
 
-V, ITEM = F.col("v"), F.col("item")
+V, ITEM = "v", "item"
 
 CURSOR_QUERY = "SELECT key, value FROM ItemTable WHERE key LIKE '%chat%' OR key LIKE '%composer%'"
 OPENCODE_MESSAGES_QUERY = "SELECT id, session_id, time_created, data FROM message"

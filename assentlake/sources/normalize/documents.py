@@ -11,7 +11,7 @@ from assentlake.sources.files import file_stem, parent_name, parse_lines
 from assentlake.sources.normalize.lines import plain_text
 from assentlake.sources.normalize.shape import messages
 
-V, ITEM = F.col("v"), F.col("item")
+V, ITEM = "v", "item"
 
 
 def items(docs: DataFrame, elements: Column) -> DataFrame:

@@ -9,9 +9,9 @@ from assentlake.functions.text import trim_all
 from assentlake.functions.variants import child, flatten_content, parse_ts, string_at, text_at
 from assentlake.sources.files import file_stem, parse_lines
 from assentlake.sources.lookups import with_model
-from assentlake.sources.normalize.shape import LINE_ID, messages
+from assentlake.sources.normalize.shape import line_id, messages
 
-V = F.col("v")
+V = "v"
 
 
 def not_synthetic(model: Column) -> Column:
@@ -36,7 +36,7 @@ def normalize_claude(raw: DataFrame, run_ts: Column) -> DataFrame:
     return messages(
         records,
         "claude",
-        LINE_ID,
+        line_id(),
         file_stem(F.col("file_path"), ".jsonl"),
         parse_ts(V, ["$.timestamp", "$.message.timestamp"], run_ts),
         F.col("model"),
@@ -59,7 +59,7 @@ def normalize_codebuddy(raw: DataFrame, session_models: DataFrame | None, run_ts
     out = messages(
         records,
         "codebuddy",
-        LINE_ID,
+        line_id(),
         F.col("session_id"),
         parse_ts(V, ["$.timestamp", "$.message.timestamp"], run_ts),
         F.col("own_model"),
@@ -73,7 +73,7 @@ def normalize_openclaw_lines(raw: DataFrame, run_ts: Column) -> DataFrame:
     return messages(
         records,
         "openclaw",
-        LINE_ID,
+        line_id(),
         file_stem(F.col("file_path"), ".jsonl"),
         parse_ts(V, ["$.timestamp"], run_ts),
         F.coalesce(text_at(V, "$.model"), F.lit(fixed.FALLBACK_MODEL["openclaw"])),

@@ -11,9 +11,9 @@ from assentlake.operators.carry import carry_forward
 from assentlake.session import staged
 from assentlake.sources.files import file_stem, parse_lines
 from assentlake.sources.lookups import with_model
-from assentlake.sources.normalize.shape import LINE_ID, MESSAGE_COLUMNS, messages
+from assentlake.sources.normalize.shape import line_id, MESSAGE_COLUMNS, messages
 
-V = F.col("v")
+V = "v"
 UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
@@ -27,7 +27,7 @@ def _emit(carried: DataFrame, harness: str) -> DataFrame:
     return messages(
         carried.where(F.col("text").isNotNull()),
         harness,
-        LINE_ID,
+        line_id(),
         F.col("session_id"),
         F.col("ts"),
         F.coalesce("own_model", "running"),

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MESSAGE_COLUMNS = ("msg_id", "harness", "session_id", "ts", "model", "text")
 
-LINE_ID = F.concat_ws("#", "file_path", "block_start", "pos")
+
+def line_id() -> Column:
+    """Identifies a line: its file, block and place."""
+    return F.concat_ws("#", "file_path", "block_start", "pos")
 
 
 def messages(

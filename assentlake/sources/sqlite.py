@@ -70,6 +70,11 @@ def read_sqlite(
     large = files.where(F.col("length") > INLINE_LIMIT).select(
         "path", F.lit(None).cast("binary").alias("content")
     )
+    return query_images(small.unionByName(large), query, columns)
+
+
+def query_images(images: DataFrame, query: str, columns: dict[str, str]) -> DataFrame:
+    """Query database files given as (path, content); without content the path is opened."""
     names = list(columns)
     schema = T.StructType.fromDDL(
         "file_path string, " + ", ".join(f"{n} {t}" for n, t in columns.items())
@@ -80,11 +85,9 @@ def read_sqlite(
             for path, content in zip(batch["path"], batch["content"]):
                 rows = _from_path(path, query) if content is None else _from_bytes(content, query)
                 for at in range(0, len(rows), 10_000):
-                    out = pd.DataFrame(rows[at:at + 10_000], columns=names)
+                    out = pd.DataFrame(rows[at:at + 10_000], columns=names, dtype=object)
                     out.insert(0, "file_path", path)
                     yield out
 
-    # One file per batch, so that memory holds a single file at a time.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    rows = small.unionByName(large).mapInPandas(run, schema)
+    rows = images.mapInPandas(run, schema)
     return rows.withColumn("file_path", decoded(F.col("file_path")))
