@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake import fixed
+from assentlake.functions.binding import bind
 from assentlake.functions.scores import per_thousand, reconcile_mdi
 from assentlake.functions.text import trim_all
 from assentlake.functions.variants import array_at, string_at
@@ -17,16 +18,23 @@ ENTRY = "struct<name:string,hits:bigint,messages:bigint,mdi:double>"
 
 def number_at(v: Column | str, path: str) -> Column:
     """Finite, non-negative number at the path, else NULL. Numeric text counts as a number."""
-    sub = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(sub)
-    text = trim_all(F.try_variant_get(v, path, "string"))
-    value = (
-        F.when(kind == "STRING", F.when(text == "", F.lit(0.0)).when(text.rlike(NUMBER), text.try_cast("double")))
-        .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, path, "boolean"), 1.0).otherwise(0.0))
-        .when(kind == "VOID", F.lit(0.0))
-        .otherwise(F.try_variant_get(v, path, "double"))
-    )
-    return F.when((value >= 0) & (value < float("inf")), value)
+
+    def value(sub: Column) -> Column:
+        kind = F.schema_of_variant(sub)
+        return (
+            F.when(kind == "STRING", bind(trim_all(sub.cast("string")), numeric_text))
+            .when(kind == "BOOLEAN", F.when(F.try_variant_get(sub, "$", "boolean"), 1.0).otherwise(0.0))
+            .when(kind == "VOID", F.lit(0.0))
+            .otherwise(F.try_variant_get(sub, "$", "double"))
+        )
+
+    def numeric_text(text: Column) -> Column:
+        return F.when(text == "", F.lit(0.0)).when(text.rlike(NUMBER), text.try_cast("double"))
+
+    def usable(x: Column) -> Column:
+        return F.when((x >= 0) & (x < float("inf")), x)
+
+    return bind(bind(F.try_variant_get(v, path, "variant"), value), usable)
 
 
 def count_at(v: Column | str, path: str) -> Column:
@@ -39,28 +47,37 @@ def name_at(v: Column | str, path: str, limit: int) -> Column:
 
 
 def _entries(path: str, name: str, limit: int, name_limit: int) -> Column:
-    def entry(e: Column) -> Column:
-        hits, messages = count_at(e, "$.droolCount"), count_at(e, "$.totalMessages")
+    def read(e: Column) -> Column:
         return F.struct(
             name_at(e, f"$.{name}", name_limit).alias("name"),
-            hits.alias("hits"),
-            messages.alias("messages"),
-            reconcile_mdi(number_at(e, "$.mdi"), hits, messages).alias("mdi"),
+            count_at(e, "$.droolCount").alias("hits"),
+            count_at(e, "$.totalMessages").alias("messages"),
+            number_at(e, "$.mdi").alias("mdi"),
+        )
+
+    def checked(e: Column) -> Column:
+        return F.struct(
+            e["name"].alias("name"),
+            e["hits"].alias("hits"),
+            e["messages"].alias("messages"),
+            reconcile_mdi(e["mdi"], e["hits"], e["messages"]).alias("mdi"),
         )
 
     head = F.slice(array_at(V, path), F.lit(1), F.lit(limit))
-    rows = F.filter(F.transform(head, entry), lambda e: e["name"] != "")
-    return F.coalesce(rows, F.from_json(F.lit("[]"), f"array<{ENTRY}>"))
+    named = F.filter(F.transform(head, read), lambda e: e["name"] != "")
+    return F.coalesce(F.transform(named, checked), F.from_json(F.lit("[]"), f"array<{ENTRY}>"))
 
 
 def sanitize(parsed: DataFrame) -> DataFrame:
     """Replace the document ``v`` by clean columns; a missing document gives an empty report."""
-    counted = parsed.withColumn("hits", count_at(V, "$.droolCount")).withColumn(
-        "messages", count_at(V, "$.assistantMessages")
+    counted = (
+        parsed.withColumn("hits", count_at(V, "$.droolCount"))
+        .withColumn("messages", count_at(V, "$.assistantMessages"))
+        .withColumn("mdi", number_at(V, "$.mdi"))
     )
     return (
         counted.withColumn("version", name_at(V, "$.version", fixed.MAX_VERSION))
-        .withColumn("mdi", reconcile_mdi(number_at(V, "$.mdi"), F.col("hits"), F.col("messages")))
+        .withColumn("mdi", reconcile_mdi(F.col("mdi"), F.col("hits"), F.col("messages")))
         .withColumn("sessions_scanned", count_at(V, "$.sessionsScanned"))
         .withColumn("generated_at", count_at(V, "$.generatedAt"))
         .withColumn(

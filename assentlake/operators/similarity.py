@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake import fixed
+from assentlake.functions.binding import bind
 from assentlake.functions.text import WHITESPACE_CLASS, strip_fences, trim_all
 from assentlake.operators.detect import with_hit_count
 from assentlake.sources.lexicon import Matcher
@@ -117,9 +118,6 @@ def _best_reference(chunk: Column, refs: References) -> Column:
     )
     unseen = _idf(F.lit(len(refs.phrases)), F.lit(0))
 
-    def bind(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def score(grams: Column) -> Column:
         def weight(g: Column, idf: Column) -> Column:
             return _tf_weight(F.size(grams) - F.size(F.array_remove(grams, g))) * idf

@@ -21,7 +21,7 @@ RANKING = f"""select *, {level('mdi')} as level, row_number() over (order by hit
 PHRASES = "select phrase, count(*) as hits, arg_min(category, rank) as category from hits group by 1"
 PER_MODEL = """select model, phrase, n, row_number() over (partition by model order by n desc, phrase) as place
   from (select norm_model as model, phrase, count(*) as n from hits group by 1, 2) c"""
-QUOTES = f"""select * exclude (n) from (
+QUOTES = f"""select * exclude (n, phrase_hits) from (
     select q.*, row_number() over (order by round, phrase_hits desc, phrase) as place from (
       select phrase, harness, session_id, ts, model, category, snippet,
         row_number() over (partition by phrase order by ts desc nulls last, harness, session_id, model, snippet) as round,

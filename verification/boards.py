@@ -236,9 +236,9 @@ def _(r: Relations):
     "mdi_reconcile",
     f"""select submission_id, model, case when messages = 0 then 0.0 else floor((case
             when {KIND} = 0 then hits * 1000.0 / messages when {KIND} = 1 then hits * 1000.0 / messages
-            when abs(hits * 1000.0 / messages * (1 + {KIND} * 0.002) - hits * 1000.0 / messages)
+            when abs(hits * 1000.0 / messages * (1 + {KIND} * 0.0021) - hits * 1000.0 / messages)
               <= greatest(hits * 1000.0 / messages * 0.01, 0.001)
-            then hits * 1000.0 / messages * (1 + {KIND} * 0.002) else hits * 1000.0 / messages end) * 1000 + 0.5) / 1000 end as mdi
+            then hits * 1000.0 / messages * (1 + {KIND} * 0.0021) else hits * 1000.0 / messages end) * 1000 + 0.5) / 1000 end as mdi
         from (select submission_id, model, hits, case when {KIND} = 10 then 0 else messages end as messages
               from ({SUBMISSION_MODELS}) s) m""",
 )
@@ -246,7 +246,7 @@ def _(r: Relations):
     kind = F.col("submission_id") % 11
     rows = r.models.withColumn("messages", F.when(kind == 10, F.lit(0)).otherwise(F.col("messages")))
     computed = F.col("hits") * F.lit(1000.0) / F.nullif(F.col("messages"), F.lit(0))
-    reported = F.when(kind != 1, computed * (F.lit(1) + kind * F.lit(0.002).cast("double")))
+    reported = F.when(kind != 1, computed * (F.lit(1) + kind * F.lit(0.0021).cast("double")))
     return rows.select(
         "submission_id", "model", reconcile_mdi(reported, F.col("hits"), F.col("messages")).alias("mdi")
     )

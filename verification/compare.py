@@ -48,8 +48,8 @@ def difference(df, connection, sql: str) -> str | None:
     got = rows_of(df.columns, df.collect())
     if got == expected:
         return None
-    only_got = [r for r in got if r not in set(expected)][:3]
-    only_expected = [r for r in expected if r not in set(got)][:3]
+    only_got = sorted(set(got) - set(expected), key=str)[:3]
+    only_expected = sorted(set(expected) - set(got), key=str)[:3]
     return f"{len(got)} rows against {len(expected)}; only here {only_got}; only in SQL {only_expected}"
 
 
