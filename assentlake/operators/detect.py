@@ -13,6 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assentlake.functions.binding import bind
 from assentlake.functions.text import at_least_three_characters, snippet, strip_fences
 from assentlake.sources.lexicon import Matcher
 
@@ -51,21 +52,25 @@ def may_match(matcher: Matcher) -> Column:
 
 def _occurrences(t: Column, entry: Column) -> Column:
     """Each match of one entry, left to right, as spans with 0-based starts."""
-    found = F.regexp_extract_all(t, entry["pattern"], F.lit(0))
-    pieces = F.split(t, entry["pattern"], -1)
-
     def total(parts: Column, count: Column) -> Column:
         return F.aggregate(F.slice(parts, F.lit(1), count), F.lit(0), lambda n, x: n + F.length(x))
 
-    return F.transform(
-        found,
-        lambda text, i: F.struct(
-            entry["rank"].alias("rank"),
-            F.when(entry["shows_match"], text).otherwise(entry["phrase"]).alias("phrase"),
-            entry["category"].alias("category"),
-            (total(pieces, i + 1) + total(found, i)).alias("start"),
-            F.length(text).alias("length"),
-        ),
+    def spans(found: Column, pieces: Column) -> Column:
+        return F.transform(
+            found,
+            lambda text, i: F.struct(
+                entry["rank"].alias("rank"),
+                F.when(entry["shows_match"], text).otherwise(entry["phrase"]).alias("phrase"),
+                entry["category"].alias("category"),
+                (total(pieces, i + 1) + total(found, i)).alias("start"),
+                F.length(text).alias("length"),
+            ),
+        )
+
+    # Each match starts after the pieces between matches, and the matches, before it.
+    return bind(
+        F.regexp_extract_all(t, entry["pattern"], F.lit(0)),
+        lambda found: bind(F.split(t, entry["pattern"], -1), lambda pieces: spans(found, pieces)),
     )
 
 

@@ -63,3 +63,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only if the input comes in fewer pieces than there are cores.
+
+    A compressed or single-row-group file is read by one task, and so would be all work on
+    its rows. Inputs with enough splits pass through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake.operators import metrics
+from assentlake.session import spread
 from assentlake.sources.lexicon import Matcher
 
 TABLES = (
@@ -15,6 +16,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# Tables with long texts: a file that comes as one unsplittable piece is spread over the cores.
+TEXT_TABLES = ("documents", "conversations")
+
 RUN_TS = "2024-06-01 12:00:00"
 
 # Replies and documents as messages, with phrases and untidy model names worked in.
@@ -95,8 +99,10 @@ class Relations:
         """Run SQL over the given tables; only the tables it names are opened."""
         for table in TABLES:
             if table not in self._registered and re.search(rf"\b{table}\b", text):
-                path = f"{self.folder}/{table}.parquet"
-                self.spark.read.parquet(path).createOrReplaceTempView(table)
+                rows = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+                if table in TEXT_TABLES:
+                    rows = spread(rows)
+                rows.createOrReplaceTempView(table)
                 self._registered.add(table)
         return self.spark.sql(text)
 
