@@ -216,7 +216,8 @@ def profile_models(profile_row: DataFrame) -> DataFrame:
     """Model rows of a profile's stored payload, highest rate first."""
     stored = stored_payloads(profile_row.select("user_id", "payload_json"))
     return (
-        stored.select("user_id", F.inline("model_entries"))
+        stored.select("user_id", F.inline_outer("model_entries"))
+        .where(F.col("name").isNotNull())
         .withColumnRenamed("name", "model")
         .select("user_id", "model", "hits", "messages", "mdi")
         .orderBy(F.col("mdi").desc(), F.col("model").asc())

@@ -13,7 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assentlake.functions.binding import bind
+from assentlake.functions.binding import bind, once
 from assentlake.functions.text import at_least_three_characters, snippet, strip_fences
 from assentlake.sources.lexicon import Matcher
 
@@ -118,7 +118,7 @@ def match_candidates(messages: DataFrame, matcher: Matcher) -> DataFrame:
 def with_spans(messages: DataFrame, matcher: Matcher) -> DataFrame:
     """Add ``spans``, the accepted hits of each message; every message stays."""
     spans = F.when(may_match(matcher), resolve_overlaps(candidates(matcher)))
-    return prepare_text(messages).withColumn("spans", spans)
+    return once(prepare_text(messages), "spans", spans)
 
 
 def with_hit_count(messages: DataFrame, matcher: Matcher) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake import fixed
-from assentlake.functions.binding import bind
+from assentlake.functions.binding import bind, once
 from assentlake.functions.scores import per_thousand, reconcile_mdi
 from assentlake.functions.text import trim_all
 from assentlake.functions.variants import array_at, string_at
@@ -100,13 +100,13 @@ def _document(text: Column) -> Column:
 
 def parse_payloads(raw: DataFrame, column: str = "payload_json") -> DataFrame:
     """Add ``accepted`` and the clean columns; rejected rows keep their raw text."""
-    parsed = raw.withColumn("v", _document(F.col(column)))
+    parsed = once(raw, "v", _document(F.col(column)))
     return sanitize(parsed.withColumn("accepted", F.col("v").isNotNull()))
 
 
 def stored_payloads(stored: DataFrame, column: str = "payload_json") -> DataFrame:
     """Payloads read back from history; a damaged one becomes an empty report."""
-    return sanitize(stored.withColumn("v", _document(F.col(column))))
+    return sanitize(once(stored, "v", _document(F.col(column))))
 
 
 def _entry_json(entries: Column, name: str) -> Column:
@@ -180,8 +180,8 @@ def unique_entries(entries: Column) -> Column:
 def explode_entries(parsed: DataFrame, entries: str, name: str) -> DataFrame:
     """Child rows (submission_id, user_id, name, hits, messages, mdi, created_at)."""
     return parsed.select(
-        "submission_id", "user_id", "created_at", F.explode(unique_entries(F.col(entries))).alias("e")
-    ).select(
+        "submission_id", "user_id", "created_at", F.explode_outer(unique_entries(F.col(entries))).alias("e")
+    ).where(F.col("e").isNotNull()).select(
         "submission_id",
         "user_id",
         F.col("e.name").alias(name),

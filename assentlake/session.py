@@ -65,11 +65,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition only if the input comes in fewer pieces than there are cores.
+_resplit: dict[tuple[str, str], str] = {}
 
-    A compressed or single-row-group file is read by one task, and so would be all work on
-    its rows. Inputs with enough splits pass through untouched, without a shuffle.
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """Read a parquet table; one that comes in fewer pieces than cores is laid out anew, once.
+
+    A file with a single row group is read by one task, and a plain repartition does not
+    help: filters are pushed below it, back into that task. So such a table is written to
+    the shared folder in as many files as there are cores. Tables with enough splits are
+    read as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = spark.sparkContext.defaultParallelism
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _resplit:
+        table = spark.read.parquet(path)
+        if table.rdd.getNumPartitions() >= cores:
+            return table
+        copy = shared_folder(spark, "split")
+        table.repartition(cores).write.parquet(copy)
+        _resplit[key] = copy
+    return spark.read.parquet(_resplit[key])

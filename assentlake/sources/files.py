@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake import fixed
+from assentlake.functions.binding import once
 
 
 def decoded(path: Column) -> Column:
@@ -108,8 +109,4 @@ def read_docs(
 
 def parse_lines(raw: DataFrame) -> DataFrame:
     """Replace ``value`` by the record ``v``; blank and malformed lines are dropped."""
-    return (
-        raw.withColumn("v", F.try_parse_json(F.col("value")))
-        .drop("value")
-        .where(F.col("v").isNotNull())
-    )
+    return once(raw, "v", F.try_parse_json("value")).drop("value").where(F.col("v").isNotNull())

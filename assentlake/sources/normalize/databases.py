@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake import fixed
+from assentlake.functions.binding import once
 from assentlake.functions.text import trim_all
 from assentlake.functions.variants import array_at, parse_ts, string_at, text_at
-from assentlake.sources.files import parent_name
+from assentlake.sources.files import parent_name, parse_lines
 from assentlake.sources.normalize.documents import items
 from assentlake.sources.normalize.shape import messages
 
@@ -23,11 +24,7 @@ SESSIONS_QUERY = "SELECT id, model FROM sessions WHERE model IS NOT NULL"
 def normalize_cursor(rows: DataFrame, run_ts: Column) -> DataFrame:
     """Rows (file_path, key, value) of the editor's item table."""
     key = F.lower("key")
-    parsed = (
-        rows.where(key.contains("chat") | key.contains("composer"))
-        .withColumn("v", F.try_parse_json("value"))
-        .where(F.col("v").isNotNull())
-    )
+    parsed = parse_lines(rows.where(key.contains("chat") | key.contains("composer")))
     nothing = F.array().cast("array<variant>")
     holders = F.coalesce(
         array_at(V, "$"),
@@ -72,23 +69,18 @@ def normalize_opencode(message: DataFrame, part: DataFrame, run_ts: Column) -> D
     m, p = F.col("m"), F.col("p")
     # The role is tested before the join, so that only assistant messages are shuffled.
     replies = (
-        message.withColumn("m", F.try_parse_json("data"))
+        once(message, "m", F.try_parse_json("data"))
         .where(text_at(m, "$.role") == "assistant")
         .select(
             "file_path", "id", "session_id", "time_created",
             text_at(m, "$.model").alias("data"),
         )
     )
-    texts = part.withColumn("p", F.try_parse_json("data")).select(
-        "file_path",
-        "message_id",
-        trim_all(
-            F.coalesce(
-                F.when(text_at(p, "$.type") == "text", string_at(p, "$.text")),
-                string_at(p, "$.content"),
-            )
-        ).alias("data"),
-    ).where(F.length("data") > 0)
+    body = F.coalesce(
+        F.when(text_at(p, "$.type") == "text", string_at(p, "$.text")), string_at(p, "$.content")
+    )
+    parsed = once(part, "p", F.try_parse_json("data"))
+    texts = once(parsed, "data", trim_all(body)).where(F.length("data") > 0).drop("p")
     millis = F.nullif(F.expr("try_cast(time_created as bigint)"), F.lit(0).cast("bigint"))
     return messages(
         join_message_part(replies, texts),

@@ -16,7 +16,9 @@ V, ITEM = "v", "item"
 
 def items(docs: DataFrame, elements: Column) -> DataFrame:
     """One row per element of an array of each document, as (item_no, item)."""
-    return docs.select("*", F.posexplode(elements).alias("item_no", "item"))
+    # The outer form: the inner one would add a test that reads the array once more.
+    exploded = docs.select("*", F.posexplode_outer(elements).alias("item_no", "item"))
+    return exploded.where(F.col("item").isNotNull())
 
 
 def item_id(tag: str) -> Column:

@@ -19,7 +19,8 @@ UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 def _slim(records: DataFrame, stage: bool, name: str) -> DataFrame:
     """Assistant messages and model changes only: the part of the log that is shuffled."""
-    slim = records.where(F.col("text").isNotNull() | F.col("changed").isNotNull() | F.col("meta_id").isNotNull())
+    found = F.col("is_reply") | F.col("changed").isNotNull() | F.col("meta_id").isNotNull()
+    slim = records.where(found).drop("is_reply")
     return staged(slim, name) if stage else slim
 
 
@@ -55,6 +56,7 @@ def normalize_codex(
         .when(kind == "turn_context", context)
         .alias("changed"),
         F.when(kind == "session_meta", text_at(V, "$.payload.id", "$.payload.session_id")).alias("meta_id"),
+        F.coalesce(assistant, F.lit(False)).alias("is_reply"),
         F.when(assistant, parse_ts(V, ["$.timestamp", "$.payload.timestamp"], run_ts)).alias("ts"),
         F.lit(None).cast("string").alias("own_model"),
         F.when(assistant, flatten_content(content, ["output_text", "text"])).alias("text"),
@@ -85,6 +87,7 @@ def _normalize_sessions(
         file_stem(F.col("file_path"), ".jsonl").alias("session_id"),
         F.when(kind == "model_change", change).alias("changed"),
         F.lit(None).cast("string").alias("meta_id"),
+        F.coalesce(assistant, F.lit(False)).alias("is_reply"),
         F.when(assistant, parse_ts(V, ["$.message.timestamp", "$.timestamp"], run_ts)).alias("ts"),
         own_model.alias("own_model"),
         F.when(assistant, flatten_content(child(V, "$.message.content"), ["text"])).alias("text"),

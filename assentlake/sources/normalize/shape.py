@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assentlake.functions.binding import once
+
 MESSAGE_COLUMNS = ("msg_id", "harness", "session_id", "ts", "model", "text")
 
 
@@ -23,12 +25,14 @@ def messages(
     keep_empty: bool = False,
 ) -> DataFrame:
     """Project records to the messages table; empty texts are dropped unless told otherwise."""
-    out = records.select(
+    filled = once(records, "text", text)
+    if not keep_empty:
+        filled = filled.where(F.length("text") > 0)
+    return filled.select(
         msg_id.alias("msg_id"),
         F.lit(harness).alias("harness"),
         session_id.alias("session_id"),
         ts.alias("ts"),
         model.alias("model"),
-        text.alias("text"),
+        "text",
     )
-    return out if keep_empty else out.where(F.length("text") > 0)
