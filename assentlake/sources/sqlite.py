@@ -23,6 +23,11 @@ def _rows(connection: sqlite3.Connection, query: str) -> list[tuple]:
         connection.close()
 
 
+def _text(value) -> str | None:
+    """A cell as text: columns are not typed. Binary cells hold no text."""
+    return None if value is None or isinstance(value, bytes) else str(value)
+
+
 def _from_bytes(content: bytes, query: str) -> list[tuple]:
     image = bytearray(content)
     # Bytes 18 and 19 ask for a write-ahead log, which an in-memory image cannot have.
@@ -76,6 +81,7 @@ def read_sqlite(
 def query_images(images: DataFrame, query: str, columns: dict[str, str]) -> DataFrame:
     """Query database files given as (path, content); without content the path is opened."""
     names = list(columns)
+    texts = [n for n, t in columns.items() if t == "string"]
     schema = T.StructType.fromDDL(
         "file_path string, " + ", ".join(f"{n} {t}" for n, t in columns.items())
     )
@@ -86,6 +92,8 @@ def query_images(images: DataFrame, query: str, columns: dict[str, str]) -> Data
                 rows = _from_path(path, query) if content is None else _from_bytes(content, query)
                 for at in range(0, len(rows), 10_000):
                     out = pd.DataFrame(rows[at:at + 10_000], columns=names, dtype=object)
+                    for name in texts:
+                        out[name] = [_text(value) for value in out[name]]
                     out.insert(0, "file_path", path)
                     yield out
 
