@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake import fixed
-from assentlake.functions.binding import bind
+from assentlake.functions.binding import bind, once
 from assentlake.functions.text import WHITESPACE_CLASS, strip_fences, trim_all
 from assentlake.operators.detect import with_hit_count
 from assentlake.sources.lexicon import Matcher
@@ -28,7 +28,9 @@ def chunks_of(text: Column) -> Column:
 
 def sentence_chunks(messages: DataFrame) -> DataFrame:
     """(msg_id, chunk_no, chunk)."""
-    return messages.select("msg_id", F.posexplode(chunks_of(F.col("text"))).alias("chunk_no", "chunk"))
+    # Outer generators here and below: the inner ones would compute each array twice.
+    exploded = messages.select("msg_id", F.posexplode_outer(chunks_of(F.col("text"))).alias("chunk_no", "chunk"))
+    return exploded.where(F.col("chunk").isNotNull())
 
 
 def _clean(text: Column) -> Column:
@@ -50,7 +52,7 @@ def char_ngrams(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
     Counts are taken inside the row, so nothing is shuffled.
     """
-    grams = rows.select(*key, _grams(_clean(F.col(text))).alias("grams"))
+    grams = once(rows, "grams", _grams(_clean(F.col(text)))).select(*key, "grams")
     counted = F.transform(
         F.array_distinct("grams"),
         lambda g: F.struct(
@@ -58,7 +60,7 @@ def char_ngrams(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
             (F.size("grams") - F.size(F.array_remove(F.col("grams"), g))).cast("bigint").alias("tf"),
         ),
     )
-    return grams.select(*key, F.inline(counted))
+    return grams.select(*key, F.inline_outer(counted)).where(F.col("gram").isNotNull())
 
 
 def _tf_weight(tf: Column) -> Column:

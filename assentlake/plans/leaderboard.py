@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assentlake.operators.payloads import explode_entries, parse_payloads, payload_json
+from assentlake.session import staged
 
 USER_COLUMNS = ("user_id", "login", "display_name", "avatar_url", "profile_url")
 
@@ -54,12 +55,15 @@ def upsert_entries(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n", "_new")
 
 
-def apply_submissions(raw: DataFrame, old: Tables | None = None) -> Tables:
+def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = False) -> Tables:
     """Parse raw submissions (submission_id, user columns, created_at, payload_json).
 
-    Without ``old`` the tables hold this batch only.
+    Without ``old`` the tables hold this batch only. With ``stage`` the parsed submissions
+    are written once, for the tables that all read them.
     """
     parsed = parse_payloads(raw)
+    if stage:
+        parsed = staged(parsed, "submissions")
     accepted = parsed.where("accepted").withColumn("payload_json", payload_json())
     entries = latest_entries(accepted)
     history = accepted.select(

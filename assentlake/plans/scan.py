@@ -38,22 +38,23 @@ MODEL_ROWS = {"id": "string", "model": "string"}
 
 
 def _claude(spark: SparkSession, root: str, run_ts: Column, exclude: Sequence[str] = ()) -> DataFrame:
-    return normalize_claude(read_lines(spark, root, max_depth=3, exclude=exclude), run_ts)
+    raw = read_lines(spark, root, below=[("transcripts", 2), ("projects", 3)], exclude=exclude)
+    return normalize_claude(raw, run_ts)
 
 
 def _codex(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
     threads = model_lookup(read_sqlite(spark, root, "state_5.sqlite", THREADS_QUERY, MODEL_ROWS, 0))
-    raw = read_lines(spark, root, max_depth=7, require_any=["/sessions/", "/archived_sessions/"])
+    raw = read_lines(spark, root, below=[("sessions", 6), ("archived_sessions", 6)])
     return normalize_codex(raw, threads, run_ts, stage=True)
 
 
 def _omp(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
-    return normalize_omp(read_lines(spark, root, max_depth=4), run_ts, stage=True)
+    return normalize_omp(read_lines(spark, root, below=[("agent/sessions", 4)]), run_ts, stage=True)
 
 
 def _pi(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
-    sessions = read_lines(spark, root, max_depth=6, require_any=["/sessions/"])
-    runs = read_docs(spark, root, max_depth=6, require_any=["/workflows/"])
+    sessions = read_lines(spark, root, below=[("agent/sessions", 4), ("sessions", 4)])
+    runs = read_docs(spark, root, below=[("workflows", 5)])
     return normalize_pi(sessions, run_ts, stage=True).unionByName(normalize_pi_workflow(runs, run_ts))
 
 
@@ -64,13 +65,13 @@ def _codebuddy(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
 
 
 def _cline(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
-    api = read_docs(spark, root, "api_conversation_history.json", max_depth=3)
-    ui = read_docs(spark, root, "ui_messages.json", max_depth=3)
+    api = read_docs(spark, root, "/api_conversation_history.json", below=[("tasks", 3)])
+    ui = read_docs(spark, root, "/ui_messages.json", below=[("tasks", 3)])
     return normalize_cline(api.unionByName(ui), run_ts)
 
 
 def _hermes(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
-    return normalize_hermes(read_docs(spark, root, max_depth=2), run_ts)
+    return normalize_hermes(read_docs(spark, root, below=[("sessions", 2)]), run_ts)
 
 
 def _openclaw(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
@@ -125,7 +126,7 @@ def load_messages(
     harnesses: Sequence[str] | None = None,
     loaders: Mapping[str, Loader] = LOADERS,
 ) -> DataFrame:
-    """Read the logs below ``roots`` (agent id to folder) as one messages table.
+    """Read the logs below ``roots`` (agent id to its home folder) as one messages table.
 
     ``run_ts`` stands for missing timestamps; give it a fixed value for repeatable results.
     """

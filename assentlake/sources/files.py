@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -30,34 +32,36 @@ def selected(
     path: Column,
     root: str,
     suffixes: Sequence[str],
-    max_depth: int,
+    max_depth: int = 5,
+    below: Sequence[tuple[str, int]] = (),
     require_any: Sequence[str] = (),
     exclude: Sequence[str] = (),
 ) -> Column:
     """Which paths below ``root`` a scan takes.
 
-    ``max_depth`` counts the directories between root and file. Paths through a pruned
-    directory or with an excluded substring are left out; with ``require_any`` a path must
-    hold one of the given substrings.
+    ``max_depth`` counts the directories between root and file; ``below`` narrows a scan to
+    subfolders, each with a depth of its own. Paths through a pruned directory or with an
+    excluded substring are left out; with ``require_any`` a path must hold one of the given
+    substrings.
     """
     marker = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     inside = F.substring(path, F.locate(marker, path) + len(marker), 1 << 30)
-    dirs = F.slice(F.split(inside, "/"), F.lit(1), F.size(F.split(inside, "/")) - 1)
-    keep = (F.size(dirs) <= max_depth) & ~F.arrays_overlap(
-        dirs, F.array(*(F.lit(d) for d in fixed.PRUNED_DIRS))
-    )
-    name_ok = F.lit(False)
-    for suffix in suffixes:
-        name_ok = name_ok | path.endswith(suffix)
-    keep = keep & name_ok
+    steps = F.split(inside, "/")
+    dirs = F.slice(steps, F.lit(1), F.size(steps) - 1)
+
+    def any_of(tests: Sequence[Column]) -> Column:
+        return reduce(or_, tests, F.lit(False))
+
+    def within(folder: str, depth: int) -> Column:
+        own = len([step for step in folder.split("/") if step])
+        return inside.startswith(f"{folder}/" if folder else "") & (F.size(dirs) - own <= depth)
+
+    keep = any_of([within(folder, depth) for folder, depth in (below or [("", max_depth)])])
+    keep = keep & ~F.arrays_overlap(dirs, F.array(*(F.lit(d) for d in fixed.PRUNED_DIRS)))
+    keep = keep & any_of([path.endswith(suffix) for suffix in suffixes])
     for part in exclude:
         keep = keep & ~path.contains(part)
-    if require_any:
-        any_of = F.lit(False)
-        for part in require_any:
-            any_of = any_of | path.contains(part)
-        keep = keep & any_of
-    return keep
+    return keep & any_of([path.contains(part) for part in require_any]) if require_any else keep
 
 
 def _reader(spark: SparkSession, glob: str):
@@ -71,7 +75,7 @@ def _reader(spark: SparkSession, glob: str):
 
 def discover(spark: SparkSession, root: str, suffix: str, max_depth: int = 5, **rules) -> DataFrame:
     """Files below ``root`` as (file_path, length). Only listings are read, no content."""
-    listed = _reader(spark, f"*{suffix}").format("binaryFile").load(root)
+    listed = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).format("binaryFile").load(root)
     path = decoded(F.col("path"))
     return listed.where(selected(path, root, [suffix], max_depth, **rules)).select(
         path.alias("file_path"), "length"
@@ -86,7 +90,7 @@ def read_lines(
     A big file is read in several blocks. ``block_start`` orders the blocks of a file and
     ``pos`` the lines of a block, whatever the number of tasks.
     """
-    lines = _reader(spark, f"*{suffix}").text(root)
+    lines = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).text(root)
     path = decoded(F.col("_metadata.file_path"))
     return lines.where(selected(path, root, [suffix], max_depth, **rules)).select(
         path.alias("file_path"),
@@ -100,7 +104,7 @@ def read_docs(
     spark: SparkSession, root: str, suffix: str = ".json", max_depth: int = 5, **rules
 ) -> DataFrame:
     """Whole files as (file_path, value)."""
-    docs = _reader(spark, f"*{suffix}").text(root, wholetext=True)
+    docs = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).text(root, wholetext=True)
     path = decoded(F.col("_metadata.file_path"))
     return docs.where(selected(path, root, [suffix], max_depth, **rules)).select(
         path.alias("file_path"), "value"

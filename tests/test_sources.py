@@ -42,7 +42,7 @@ def write_logs(root):
         '{"type":"assistant","type":"assistant","message":{"role":"assistant","content":"doubled key"}}',
         {"type": "user", "message": {"role": "user", "content": "why"}},
     )
-    put(root / "claude/node_modules/c2.jsonl", {**reply, "message": {"role": "assistant", "content": "pruned"}})
+    put(root / "claude/projects/node_modules/c2.jsonl", {**reply, "message": {"role": "assistant", "content": "pruned"}})
     say = {"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "hi"}]}}
     put(
         root / f"codex/sessions/2026/rollout-{UUID}.jsonl",
@@ -66,9 +66,9 @@ def write_logs(root):
     database(root / "codebuddy/workbuddy.db", "sessions", "id text, model text", ("b1", "looked-up"))
     put(root / "cline/tasks/t1/api_conversation_history.json", json.dumps([{"role": "assistant", "content": "api"}, {"role": "user", "content": "u"}]))
     put(root / "cline/tasks/t1/ui_messages.json", json.dumps([{"type": "say", "say": "text", "text": " ui "}]))
-    put(root / "hermes/h1.json", json.dumps({"model": "hm", "messages": [{"role": "assistant", "content": "turn"}],
+    put(root / "hermes/sessions/h1.json", json.dumps({"model": "hm", "messages": [{"role": "assistant", "content": "turn"}],
         "response": {"choices": [{"message": {"role": "assistant", "content": ""}}]}}))
-    put(root / "hermes/bad.json", "{")
+    put(root / "hermes/sessions/bad.json", "{")
     put(root / "openclaw/o1.jsonl", {"role": "assistant", "text": "line"})
     put(root / "openclaw/o2.json", json.dumps({"history": [{"type": "assistant", "content": "doc", "timestamp": "nonsense"}]}))
     chat = {"tabs": [{"selectedModel": "cm", "bubbles": [{"type": "ai", "rawText": "answer"}, {"type": "user", "text": "q"}]}]}
@@ -114,6 +114,8 @@ def test_every_agent(spark, tmp_path):
     assert when["omp", "second"] == datetime(2026, 1, 1)
     assert when["openclaw", "doc"] is None
     assert len({r.msg_id for r in rows}) == len(rows)
+    folders = {"omp": str(tmp_path / "omp")}
+    assert load_messages(spark, folders, now()).where("model = 'changed'").count() == 1
     only = load_messages(spark, {a: str(tmp_path / a) for a in agents}, now(), harnesses=["omp"])
     assert only.count() == 2
 

@@ -246,7 +246,16 @@ def _report(r: Relations) -> Report:
     return build_report(r.messages, r.matcher, active=11)
 
 
-@query("report_summary")
+@query(
+    "report_summary",
+    D
+    + f"""select cast(sum(n_hits) as bigint) as "totalDroolCount", count(*) as "totalAssistantMessages",
+           count(distinct session_id) as "totalSessionsScanned",
+           (select {rate('sum(n_hits)', 'count(*)', 1000)} from counted) as "overallDroolIndex",
+           count(distinct norm_model) as models, (select count(distinct phrase) from hits) as phrases,
+           (select count(*) from ({QUOTES}) q) as quotes,
+           (select count(distinct cast(ts as date)) from hits) as days, 11 as harnesses from counted""",
+)
 def _(r: Relations):
     summary = report_summary(_report(r), "1", r.run_ts)
     return summary.select(

@@ -228,7 +228,7 @@ def _(r: Relations):
 @query("payload_entries", f"select submission_id, model, hits, messages, mdi from ({CLEAN_MODELS}) c")
 def _(r: Relations):
     parsed = payloads.parse_payloads(r.raw_payloads).where("accepted")
-    rows = parsed.select("submission_id", F.inline("model_entries"))
+    rows = parsed.select("submission_id", F.inline_outer("model_entries")).where(F.col("name").isNotNull())
     return rows.withColumnRenamed("name", "model")
 
 
@@ -319,7 +319,7 @@ def _(r: Relations):
     path = shared_folder(r.spark, "history")
     odd = F.col("submission_id") % 2 == 1
     for batch in (r.raw_payloads.where(odd), r.raw_payloads.where(~odd)):
-        append_submissions(apply_submissions(batch), path)
+        append_submissions(apply_submissions(batch, stage=True), path)
     history = r.spark.read.parquet(path + "/submissions")
     return history.agg(
         F.count("*").alias("submissions"), F.count_distinct("user_id").alias("users"), F.sum("hits").alias("hits")
