@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assentlake import fixed
 from assentlake.functions.binding import bind, once
@@ -83,8 +83,10 @@ def tfidf_reference(phrases: DataFrame) -> DataFrame:
         .withColumn("idf", _idf(F.col("n"), F.col("df")))
         .withColumn("weight", _tf_weight(F.col("tf")) * F.col("idf"))
     )
-    norms = weighted.groupBy("ref_no").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighted.join(norms, "ref_no").select(
+    # The group is one phrase, a few grams.
+    of_phrase = Window.partitionBy("ref_no")
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(of_phrase))
+    return weighted.withColumn("norm", norm).select(
         "ref_no", "phrase", "gram", "tf", "df", "idf", "weight", "norm"
     )
 
