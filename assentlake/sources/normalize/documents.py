@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake import fixed
 from assentlake.functions.text import trim_all
-from assentlake.functions.variants import array_at, child, flatten_content, parse_ts, string_at, text_at
-from assentlake.sources.files import file_stem, parent_name, parse_lines
+from assentlake.functions.variants import child, flatten_content, parse_ts, string_at, text_at
+from assentlake.sources.files import doc_elements, file_stem, parent_name, parse_docs
 from assentlake.sources.normalize.lines import plain_text
 from assentlake.sources.normalize.shape import messages
 
@@ -27,7 +27,7 @@ def item_id(tag: str) -> Column:
 
 def normalize_pi_workflow(raw: DataFrame, run_ts: Column) -> DataFrame:
     """Every string result of a workflow journal is a message, blank ones included."""
-    entries = items(parse_lines(raw), array_at(V, "$.journal")).withColumn(
+    entries = items(parse_docs(raw), doc_elements("$.journal")).withColumn(
         "result", string_at(ITEM, "$.result")
     )
     return messages(
@@ -45,7 +45,7 @@ def normalize_pi_workflow(raw: DataFrame, run_ts: Column) -> DataFrame:
 def normalize_cline(raw: DataFrame, run_ts: Column) -> DataFrame:
     """Task files. A task kept in both file kinds counts in both."""
     task = parent_name(F.col("file_path"))
-    entries = items(parse_lines(raw), array_at(V, "$"))
+    entries = items(parse_docs(raw), doc_elements("$"))
     ts = parse_ts(ITEM, ["$.ts"], run_ts)
     default = F.lit(fixed.FALLBACK_MODEL["cline"])
     api = messages(
@@ -70,11 +70,11 @@ def normalize_cline(raw: DataFrame, run_ts: Column) -> DataFrame:
 
 def normalize_hermes(raw: DataFrame, run_ts: Column) -> DataFrame:
     """Session dumps: the messages array, and the choices of a recorded response."""
-    docs = parse_lines(raw)
+    docs = parse_docs(raw)
     session = F.coalesce(text_at(V, "$.session_id"), file_stem(F.col("file_path"), ".json"))
     default = F.lit(fixed.FALLBACK_MODEL["hermes"])
     turns = messages(
-        items(docs, array_at(V, "$.messages")).where(text_at(ITEM, "$.role") == "assistant"),
+        items(docs, doc_elements("$.messages")).where(text_at(ITEM, "$.role") == "assistant"),
         "hermes",
         item_id("messages"),
         session,
@@ -86,7 +86,7 @@ def normalize_hermes(raw: DataFrame, run_ts: Column) -> DataFrame:
         ITEM, "$.message.content"
     ).isNotNull()
     choices = messages(
-        items(docs, array_at(V, "$.response.choices")).where(answered),
+        items(docs, doc_elements("$.response.choices")).where(answered),
         "hermes",
         item_id("choices"),
         session,
@@ -100,10 +100,10 @@ def normalize_hermes(raw: DataFrame, run_ts: Column) -> DataFrame:
 
 def normalize_openclaw_docs(raw: DataFrame, run_ts: Column) -> DataFrame:
     """A bare array, or an object that holds the array in messages or history."""
-    elements = F.coalesce(array_at(V, "$"), array_at(V, "$.messages"), array_at(V, "$.history"))
+    elements = doc_elements("$", "$.messages", "$.history")
     assistant = (text_at(ITEM, "$.role") == "assistant") | (text_at(ITEM, "$.type") == "assistant")
     return messages(
-        items(parse_lines(raw), elements).where(assistant),
+        items(parse_docs(raw), elements).where(assistant),
         "openclaw",
         item_id("doc"),
         file_stem(F.col("file_path"), ".json"),

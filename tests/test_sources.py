@@ -147,3 +147,20 @@ def test_lines_keep_their_order_over_blocks(spark, tmp_path):
             assert r.running == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_documents_larger_than_a_variant(spark, tmp_path):
+    long = "x" * 9_000_000
+    turns = [{"role": "assistant", "content": long + str(i)} for i in range(3)]
+    put(tmp_path / "hermes/sessions/h.json", json.dumps({"session_id": "S", "model": "hm", "last_updated": 1767607200000, "messages": turns,
+        "response": {"model": "rm", "choices": [{"message": {"role": "assistant", "content": "end"}}]}}))
+    put(tmp_path / "cline/tasks/t/api_conversation_history.json", json.dumps(turns))
+    put(tmp_path / "hermes/sessions/broken.json", json.dumps({"messages": turns})[:-2])
+    folders = {a: str(tmp_path / a) for a in ("hermes", "cline")}
+    loaded = load_messages(spark, folders, now())
+    rows = loaded.select("harness", "session_id", "ts", "model", F.right("text", F.lit(3)).alias("tail"), F.length("text").alias("n")).collect()
+    assert sorted((r.harness, r.session_id, r.model, r.tail) for r in rows) == sorted(
+        [("hermes", "S", "hm", f"xx{i}") for i in range(3)] + [("hermes", "S", "rm", "end")]
+        + [("cline", "t", "cline-model", f"xx{i}") for i in range(3)]
+    )
+    assert {r.ts for r in rows if r.harness == "hermes" and r.tail != "end"} == {datetime(2026, 1, 5, 10)}
