@@ -25,11 +25,14 @@ from assentlake.session import staged
 #: Two sets with the similarity below agree in no band with a probability under one in a million:
 #: (1 - 0.85 ** 6) ** 32.
 BANDS, ROWS = 32, 6
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
-#: How far the estimate of a sketch may fall below the similarity asked for: six standard
-#: deviations of samples and sketch together.
-MARGIN = 0.2
+FUNCTIONS = BANDS * ROWS
+#: Every function gives a sample in each part of the hash range; together they fill a sketch.
+PARTS = 4
+SAMPLES = FUNCTIONS * PARTS
+SKETCH_BITS = 2048
+#: How far the estimate of a sketch may fall below the similarity asked for: five standard
+#: deviations of samples and sketch together, and many more for small sets, whose parts differ.
+MARGIN, SMALL, SMALL_MARGIN = 0.07, 64, 0.25
 #: Ids up to this number are sent to every task instead of moving the texts (16 bytes each).
 SENT_IDS = 500_000
 REMEMBERED = 400_000
@@ -46,8 +49,8 @@ class Shingler:
         self.known: dict[bytes, int] = {}
         draw = np.random.default_rng(20_260_101)
         self.mixers = draw.integers(1, 1 << 63, size=size + 1, dtype=np.uint64) | np.uint64(1)
-        self.multipliers = draw.integers(1, 1 << 32, size=(SAMPLES, 1), dtype=np.uint32) | np.uint32(1)
-        self.masks = draw.integers(0, 1 << 32, size=(SAMPLES, 1), dtype=np.uint32)
+        self.multipliers = draw.integers(1, 1 << 32, size=(FUNCTIONS, 1), dtype=np.uint32) | np.uint32(1)
+        self.masks = draw.integers(0, 1 << 32, size=(FUNCTIONS, 1), dtype=np.uint32)
         self.salts = draw.integers(1, 1 << 63, size=SAMPLES, dtype=np.uint64) | np.uint64(1)
 
     def _mixed(self, x):
@@ -80,17 +83,20 @@ class Shingler:
         return np.unique(self._mixed(total))
 
     def samples(self, hashes):
-        """The MinHash samples: for each of the functions the smallest value over the set."""
+        """The MinHash samples: for each part of the sorted hashes and each function the smallest value."""
         np = self.np
-        short = (hashes >> np.uint64(32)).astype(np.uint32)
-        out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(short), 2048):
-            out = np.minimum(out, ((short[at : at + 2048] ^ self.masks) * self.multipliers).min(axis=1))
+        short = hashes.astype(np.uint32)
+        ends = np.searchsorted(hashes, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62))
+        out = np.full((PARTS, FUNCTIONS), 0xFFFFFFFF, np.uint32)
+        for part, own in enumerate(np.split(short, ends)):
+            for at in range(0, len(own), 2048):
+                low = ((own[at : at + 2048] ^ self.masks) * self.multipliers).min(axis=1)
+                out[part] = np.minimum(out[part], low)
         return out
 
     def bands(self, samples) -> list[int]:
         np = self.np
-        rows = samples.reshape(BANDS, ROWS).astype(np.uint64)
+        rows = samples.min(axis=0).reshape(BANDS, ROWS).astype(np.uint64)
         total = np.arange(BANDS, dtype=np.uint64)
         for i in range(ROWS):
             total = self._mixed(total * self.salts[i] + rows[:, i])
@@ -99,7 +105,7 @@ class Shingler:
     def sketch(self, samples) -> list[int]:
         """Parities of the samples, each counted in the bit that it hashes to."""
         np = self.np
-        at = self._mixed(samples.astype(np.uint64) * self.salts + self.salts) % np.uint64(SKETCH_BITS)
+        at = self._mixed(samples.reshape(-1).astype(np.uint64) * self.salts + self.salts) % np.uint64(SKETCH_BITS)
         odd = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
@@ -153,23 +159,26 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, hashes array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity of two sets from the sketches of their samples."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def promising(x: str, y: str, percent: int) -> Column:
+    """Whether two sketched sets can be similar enough, by their sizes and the XOR of the sketches.
+
+    ``x`` and ``y`` are prefixes of the columns n and sketch.
+    """
+    a, b, n, m = (F.col(f"{p}_{c}") for c in ("sketch", "n") for p in (x, y))
+    # Written out, so that it stays in generated code: it runs for every candidate.
+    ones = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
     inner = F.greatest(1 - 2 * ones / F.lit(float(SKETCH_BITS)), F.lit(1e-9))
-    return 1 + F.log(inner) * (SKETCH_BITS / (4.0 * SAMPLES))
+    similar = 1 + F.log(inner) * (SKETCH_BITS / (4.0 * SAMPLES))
+    margin = F.when(F.least(n, m) < SMALL, SMALL_MARGIN).otherwise(MARGIN)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (similar >= percent / 100 - margin)
+
 
+def _sketched(classes: DataFrame, name: str, prefix: str, *more: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(name), F.col("n").alias(f"{prefix}_n"), F.col("sketch").alias(f"{prefix}_sketch"), *more)
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+
+def _links(docs: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    sketches = classes.select("rep", "sketch")
-    near = staged(
-        pairs.join(sketches.toDF("a", "sketch_a"), "a")
-        .join(sketches.toDF("b", "sketch_b"), "b")
-        .where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
-        .select("a", "b"),
-        "candidates",
-    )
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = _sets(docs, ids, size)
     both = near.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
@@ -193,10 +202,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets have equal bands and sketches; copies are merged before anything moves.
     classes = staged(
-        full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        full.groupBy("key").agg(
+            F.min("doc_id").alias("rep"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        ),
         "classes",
     )
-    rows = classes.select("rep", F.explode("bands").alias("bucket"))
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     ends = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = staged(rows.join(ends, "bucket"), "buckets")
     pairs = (
@@ -205,28 +219,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = _links(known, pairs, classes, size, percent)
+    near = (
+        pairs.join(_sketched(classes, "a", "x"), "a")
+        .join(_sketched(classes, "b", "y"), "b")
+        .where(promising("x", "y", percent))
+        .select("a", "b")
+    )
+    links = _links(known, staged(near, "candidates"), size, percent)
     labels = components(links)
 
     # Buckets that still hold several components: the pairs across them. Those of the largest
     # component in a bucket are compared with the others, not with each other.
     placed = members.join(labels.toDF("rep", "component"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("component")
+        "bucket", "band", "rep", F.coalesce("component", "rep").alias("component")
     )
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("bucket").agg(
         F.max(F.struct("n", "component")).getField("component").alias("main"), F.count("*").alias("parts")
     )
-    mixed = staged(placed.join(largest.where("parts > 1"), "bucket").drop("parts"), "mixed")
-    left = mixed.where("component != main").select("bucket", F.col("rep").alias("x"), F.col("component").alias("p"))
-    right = mixed.select("bucket", F.col("rep").alias("y"), F.col("component").alias("q"), "main")
-    across = (
-        left.join(right, "bucket")
-        .where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("x") < F.col("y"))))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+    mixed = staged(
+        placed.join(largest.where("parts > 1"), "bucket").drop("parts").join(classes.select("rep", "n", "bands", "sketch"), "rep"),
+        "mixed",
+    )
+
+    def side(prefix: str) -> DataFrame:
+        return mixed.select("bucket", *(F.col(c).alias(f"{prefix}_{c}") for c in ("band", "rep", "component", "main", "n", "bands", "sketch")))
+
+    left = side("x").where("x_component != x_main")
+    x, y = F.col("x_bands"), F.col("y_bands")
+    # A pair meets in every bucket that it shares; it is taken in the first.
+    earlier = F.lit(False)
+    for i in range(BANDS - 1):
+        earlier = earlier | ((F.col("x_band") > i) & (F.get(x, i) == F.get(y, i)))
+    other = (F.col("x_component") != F.col("y_component")) & (
+        (F.col("y_component") == F.col("y_main")) | (F.col("x_rep") < F.col("y_rep"))
+    )
+    right = side("y").withColumnRenamed("bucket", "same")
+    across = left.join(right, (F.col("bucket") == F.col("same")) & other & ~earlier & promising("x", "y", percent)).select(
+        F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")
     )
-    more = _links(known, across, classes, size, percent)
+    more = _links(known, staged(across.distinct(), "candidates"), size, percent)
     labels = components(links.unionByName(more))
 
     of_class = classes.select("key", "rep").join(labels.toDF("rep", "component"), "rep", "left").select(
