@@ -47,8 +47,11 @@ class ChunkTokenizer:
     """
 
     def __init__(self, content: str):
+        import os
         import re
 
+        # A task has one core; threads of the library would wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -59,13 +62,17 @@ class ChunkTokenizer:
         self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str], how) -> list[bytes]:
-        import numpy as np
+        from array import array
+        from sys import byteorder
 
         if not texts:
             return []
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = how
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        ids = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if byteorder == "big":
+            for i in ids:
+                i.byteswap()
+        return [i.tobytes() for i in ids]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -74,7 +81,7 @@ class ChunkTokenizer:
             self.chunks.clear()
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
-        new = list({c for s in split if s for c in s}.difference(self.chunks))
+        new = list(set().union(*(s for s in split if s)).difference(self.chunks))
         forms = [self.plain(c) for c in new]
         pairs = [(m[1].lower(), m[2]) if m else None for m in forms]
         wanted = list({x for p in pairs if p for x in p}.difference(self.parts))
@@ -90,18 +97,21 @@ class ChunkTokenizer:
         ]
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (4 bytes each) of each text's tokens and a final end mark.
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and ids (4 bytes each) of each text's tokens and a
+    final end mark. Who needs no ids leaves them in the task that makes them.
 
     A null text counts as empty and has the end mark alone. Only a document longer than
     ``capacity`` is cut. Other columns are not looked at; repeated rows stay. No row moves.
     """
+    import pyarrow as pa
+
     with open(path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     end = END_OF_TEXT.to_bytes(4, "little")
 
     def run(batches) -> Iterator:
-        import pyarrow as pa
+        from zlib import crc32
 
         tokenizer = ChunkTokenizer(shared.value)
         for part in slices(batches):
@@ -110,21 +120,17 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Da
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, k * capacity, len(own) // 4, own))
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
-
-    schema = "doc_id long, piece int, start long, length long, ids binary"
+                    rows.append((doc, k, k * capacity, len(own) // 4, crc32(own), own))
+            columns = list(zip(*rows))[: len(types)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+    types = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    if with_ids:
+        types, schema = {**types, "ids": pa.binary()}, schema + ", ids binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def checksum(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32 in place of the ids."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
 def _sweep(docs: DataFrame, slots: DataFrame) -> DataFrame:
     """(id, length, sequence_id) of every document; the sequence is null where no slot is left.
 

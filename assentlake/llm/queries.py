@@ -21,8 +21,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.tokenized_pieces(table(spark, folder, "documents"), vocabulary_path("word_bpe_49k.json"))
-    return packing.pack(packing.checksum(pieces))
+    docs = table(spark, folder, "documents")
+    return packing.pack(packing.tokenized_pieces(docs, vocabulary_path("word_bpe_49k.json"), with_ids=False))
 
 
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
