@@ -97,13 +97,17 @@ def harness_dim(spark: SparkSession) -> DataFrame:
 
 
 def harness_stats(counted: DataFrame) -> DataFrame:
-    """Messages, hits and mdi per agent; agents without messages appear with zeros."""
+    """Messages, hits and mdi per agent; agents without messages appear with zeros.
+
+    An agent outside the fixed list counts too and is named by its key.
+    """
     by_harness = counted.groupBy("harness").agg(
         F.count("*").alias("messages"), F.sum("n_hits").alias("hits")
     )
     return (
         harness_dim(counted.sparkSession)
-        .join(by_harness, "harness", "left")
+        .join(by_harness, "harness", "full")
+        .withColumn("name", F.coalesce("name", "harness"))
         .withColumn("messages", F.coalesce("messages", F.lit(0)))
         .withColumn("hits", F.coalesce("hits", F.lit(0)))
         .withColumn("mdi", per_thousand(F.col("hits"), F.col("messages")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # JSON log writers repeat keys now and then; the last one counts.
@@ -36,21 +40,44 @@ def local_session(cores: int | str = "*", app: str = "assentlake") -> SparkSessi
     return configure(spark, "UTC")
 
 
+_run_folders: dict[tuple[str, str], str] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder where it lies; nothing to do once the session is gone."""
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the gateway may have ended before the interpreter
+        pass
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that every node of the cluster can reach.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is
-    unset, as in tests, a temporary folder takes its place.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where that is unset, a
+    temporary folder takes its place on a local master; on a cluster it would lie on one node
+    only, so that is an error. What one application stages lies together and is removed when it
+    ends, or before with ``release``.
     """
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         base = tempfile.mkdtemp(prefix="assentlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = (spark.sparkContext.applicationId, base)
+    if run not in _run_folders:
+        _run_folders[run] = f"{base.rstrip('/')}/assentlake-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _run_folders[run])
+    return f"{_run_folders[run]}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything staged so far; tables that read it can no longer be read."""
+    own = [key for key in _run_folders if key[0] == spark.sparkContext.applicationId]
+    for key in own:
+        _remove(spark, _run_folders.pop(key))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -63,26 +90,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-_resplit: dict[tuple[str, str], str] = {}
-
-
-def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Read a parquet table; one that comes in fewer pieces than cores is laid out anew, once.
-
-    A file with a single row group is read by one task, and a plain repartition does not
-    help: filters are pushed below it, back into that task. So such a table is written to
-    the shared folder in as many files as there are cores. Tables with enough splits are
-    read as they are.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _resplit:
-        table = spark.read.parquet(path)
-        if table.rdd.getNumPartitions() >= cores:
-            return table
-        copy = shared_folder(spark, "split")
-        table.repartition(cores).write.parquet(copy)
-        _resplit[key] = copy
-    return spark.read.parquet(_resplit[key])

@@ -65,12 +65,8 @@ def selected(
 
 
 def _reader(spark: SparkSession, glob: str):
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-    )
+    # Read errors fail the task, which is tried again; no file is cut short silently.
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
 
 
 def discover(spark: SparkSession, root: str, suffix: str, max_depth: int = 5, **rules) -> DataFrame:

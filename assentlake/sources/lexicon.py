@@ -49,7 +49,7 @@ def _java_pattern(phrase: Column, is_regex: Column) -> Column:
         spaced, r"(?<!\\)\\s(?![^\[\]]*\])", "[" + WHITESPACE_CLASS.replace("\\", "\\\\") + "]"
     )
     spaced = F.regexp_replace(spaced, r"(?<!\\)\\b", ASCII_BOUNDARY.replace("\\", "\\\\").replace("$", "\\$"))
-    return F.concat(F.lit("(?i)"), F.when(is_regex, spaced).otherwise(literal))
+    return F.concat(F.lit("(?iu)"), F.when(is_regex, spaced).otherwise(literal))
 
 
 def load_lexicon(lines: DataFrame) -> DataFrame:

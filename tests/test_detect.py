@@ -124,3 +124,11 @@ def test_partitions_do_not_matter(spark, matcher, parts):
     got = sorted((h.msg_id, h.start, h.phrase) for h in detect(df, matcher).collect())
     again = sorted((h.msg_id, h.start, h.phrase) for h in detect(df.coalesce(1), matcher).collect())
     assert got == again and len(got) >= 13
+
+
+def test_case_folds_outside_ascii(spark):
+    lines = spark.createDataFrame([(1, "Это верно|ack"), (2, "café right|ack")], "line_no bigint, value string")
+    patterns = [r.pattern for r in load_lexicon(lines).collect()]
+    texts = spark.createDataFrame([("ЭТО ВЕРНО",), ("CAFÉ RIGHT",)], "text string")
+    for pattern, n in zip(patterns, (1, 1)):
+        assert texts.where(F.col("text").rlike(pattern)).count() == n

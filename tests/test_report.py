@@ -128,3 +128,29 @@ def test_report_and_submission(messages, matcher, spark, tmp_path):
     assert all(h["totalMessages"] > 0 for h in sent["harnessEntries"])
     for private in ("不该外传", "snippet", "session_id", "sessionId"):
         assert private not in payload
+
+
+def test_agents_outside_the_list_count(spark):
+    from assentlake.operators.metrics import harness_stats
+
+    counted = spark.createDataFrame([("newagent", 1), ("newagent", 0), ("pi", 2)], "harness string, n_hits int")
+    rows = {r.harness: (r.name, r.messages, r.hits) for r in harness_stats(counted).collect()}
+    assert rows["newagent"] == ("newagent", 2, 1) and rows["pi"][1:] == (1, 2) and rows["claude"][1:] == (0, 0)
+
+
+def test_staged_data_goes_and_a_cluster_needs_a_shared_folder(spark):
+    import os
+    from types import SimpleNamespace
+
+    import pytest
+
+    from assentlake.session import release, shared_folder, staged
+
+    table = staged(spark.range(3), "kept")
+    folder = os.path.dirname(os.path.dirname(table.inputFiles()[0].removeprefix("file:").replace("//", "/")))
+    assert os.path.isdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(cluster, "x")

@@ -130,10 +130,10 @@ def _(r: Relations):
             ('codebuddy', 'CodeBuddy/WorkBuddy'), ('cline', 'Cline'), ('openclaw', 'OpenClaw'), ('hermes', 'Hermes'),
             ('cursor', 'Cursor'), ('opencode', 'OpenCode'), ('other', 'Other')) dim(harness, name)
           left join (select harness, count(*) as messages, cast(sum(n_hits) as bigint) as hits from counted
-                     where harness <> 'pi' group by 1) c using (harness)""",
+                     group by 1) c using (harness)""",
 )
 def _(r: Relations):
-    return metrics.harness_stats(r.counted.where(F.col("harness") != "pi"))
+    return metrics.harness_stats(r.counted)
 
 
 @query(
@@ -227,9 +227,9 @@ def _(r: Relations):
     return ranking.ranking_view(_ranked(r), search=" Alpha")
 
 
-@query("sort_ranking", D + f"select * from ({RANKING}) t order by messages, rank limit 3")
+@query("sort_ranking", D + f"select * from ({RANKING}) t order by messages, rank")
 def _(r: Relations):
-    return ranking.ranking_view(_ranked(r), sort="total", descending=False).limit(3)
+    return ranking.ranking_view(_ranked(r), sort="total", descending=False)
 
 
 @query(

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from assentlake.functions import (
@@ -20,7 +16,7 @@ from assentlake.operators.audit import line_audit, prefilter_audit
 from assentlake.operators.carry import carry_forward
 from assentlake.plans.scan import filter_harness, union_messages
 from assentlake.session import shared_folder
-from assentlake.sources.files import discover, file_stem, parse_lines, read_lines, selected
+from assentlake.sources.files import file_stem, parse_lines, read_lines, selected
 from assentlake.sources.lexicon import load_lexicon
 from assentlake.sources.lookups import model_lookup, with_model
 from assentlake.sources.normalize import (
@@ -39,7 +35,6 @@ from assentlake.sources.normalize import (
 )
 from assentlake.sources.normalize.databases import join_message_part
 from assentlake.sources.normalize.lines import not_synthetic
-from assentlake.sources.sqlite import query_images
 from verification.registry import query
 from verification.relations import MESSAGES, THREAD, THREADS, Relations
 from verification.sql import (
@@ -67,12 +62,6 @@ def shown(messages: DataFrame) -> DataFrame:
     )
 
 
-@query("src_discover")
-def _(r: Relations):
-    files = discover(r.spark, r.folder, ".parquet", 1)
-    return files.select(file_stem(F.col("file_path"), ".parquet").alias("name"), "length")
-
-
 @query(
     "src_jsonl",
     f"""select ord % 16 as bucket,
@@ -106,32 +95,6 @@ def _(r: Relations):
     )
 
 
-@query(
-    "src_sqlite",
-    f"""select session_id, count(*) as n, cast(sum(length(text)) as bigint) as chars
-        from ({MESSAGES}) m where length(text) > 100 group by 1""",
-)
-def _(r: Relations):
-    # Each batch of messages becomes the image of a database file, which is then queried.
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            connection = sqlite3.connect(":memory:")
-            connection.execute("create table item(session_id text, body text)")
-            connection.executemany("insert into item values (?, ?)", batch.itertuples(index=False))
-            connection.commit()
-            image = connection.serialize()
-            connection.close()
-            yield pd.DataFrame({"path": ["file:/images/state.db"], "content": [image]})
-
-    images = r.messages.select("session_id", "text").mapInPandas(pack, "path string, content binary")
-    rows = query_images(
-        images,
-        "select session_id, length(body) as chars from item where length(body) > 100",
-        {"session_id": "string", "chars": "bigint"},
-    )
-    return rows.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-
-
 CLAUDE = normalized(
     "claude", "session_id", STAMP, model_or("claude-code"), note(), f"ord % 13 <> 0 and length({note()}) > 0"
 )

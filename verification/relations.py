@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake.operators import metrics
-from assentlake.session import read_split
 from assentlake.sources.lexicon import Matcher
 
 TABLES = (
@@ -16,9 +15,6 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-# Tables with long texts, where a file in one unsplittable piece would keep one core busy.
-TEXT_TABLES = ("documents", "conversations")
-
 RUN_TS = "2024-06-01 12:00:00"
 
 # Replies and documents as messages, with phrases and untidy model names worked in.
@@ -99,12 +95,7 @@ class Relations:
         """Run SQL over the given tables; only the tables it names are opened."""
         for table in TABLES:
             if table not in self._registered and re.search(rf"\b{table}\b", text):
-                path = f"{self.folder}/{table}.parquet"
-                if table in TEXT_TABLES:
-                    rows = read_split(self.spark, path)
-                else:
-                    rows = self.spark.read.parquet(path)
-                rows.createOrReplaceTempView(table)
+                self.spark.read.parquet(f"{self.folder}/{table}.parquet").createOrReplaceTempView(table)
                 self._registered.add(table)
         return self.spark.sql(text)
 
