@@ -19,8 +19,8 @@ from assentlake.llm.common import labelled, slices, training_row
 WORDS = 1 << 15
 FACTORS = 8
 #: The model is fitted on at most so many labelled documents, chosen by the hash of their id.
-TRAINING_ROWS = 8_000
-EPOCHS = 10
+TRAINING_ROWS = 4_000
+EPOCHS = 14
 REMEMBERED = 400_000
 
 STATISTICS = (
@@ -79,7 +79,7 @@ def fit(rows: list[tuple], labels, seed: int = 7):
     y = np.asarray(labels, np.float32)
     stats = np.array([r[1][:n_stats] for r in rows])
     mean, scale = stats.mean(0), stats.std(0) + 1e-3
-    indices = [np.asarray(r[0], np.int64) for r in rows]
+    indices = [np.asarray(r[0], np.int32) for r in rows]
     values = []
     for r in rows:
         x = np.array(r[1], np.float32)
@@ -96,7 +96,7 @@ def fit(rows: list[tuple], labels, seed: int = 7):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            idx = np.concatenate([indices[i] for i in own])
+            idx = np.concatenate([indices[i] for i in own]).astype(np.int64)
             x = np.concatenate([values[i] for i in own]).astype(np.float64)
             lengths = np.array([len(indices[i]) for i in own])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -157,10 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS):
 
     Only the features of that bounded sample reach the driver.
     """
-    rows = _featured(labelled(docs, labels, "quality", most)).orderBy("doc_id").toPandas()
-    if rows.label.nunique() < 2:
+    import numpy as np
+    import pyarrow as pa
+
+    table = _featured(labelled(docs, labels, "quality", most)).toArrow().sort_by("doc_id")
+    y = np.clip(table.column("label").to_numpy(), 0, 1)
+    if len(set(y.tolist())) < 2:
         return None
-    return fit(list(zip(rows.i, rows.x)), rows.label.clip(0, 1).to_numpy())
+    rows = [(i.values.to_numpy(), x.values.to_numpy()) for i, x in zip(table.column("i"), table.column("x"))]
+    model = fit(rows, y)
+    del rows, table
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def classify(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
