@@ -8,6 +8,26 @@ from pyspark.sql import Column, functions as F
 
 from assentlake.functions.text import non_empty, trim_all
 
+# The parser's own bound on a string, 20 MB, would turn sound records into NULL; the rest keeps
+# it to plain JSON.
+JSON_OPTIONS = {
+    "maxStringLen": "2147483647",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+
+
+def json_variant(value: Column) -> Column:
+    """The JSON text as a VARIANT, NULL if malformed. The last of repeated keys counts.
+
+    Records of every size are read alike, up to the 128 MB that a VARIANT can hold. A sound
+    object beyond that is an error: it must not vanish silently.
+    """
+    record = F.from_json(value, "variant", JSON_OPTIONS)
+    check = F.from_json(value, "bad string", {**JSON_OPTIONS, "columnNameOfCorruptRecord": "bad"})
+    sound = F.ltrim(value, F.lit("\t\n\r ")).startswith("{") & check["bad"].isNull()
+    return F.coalesce(record, F.when(sound, F.raise_error("a record is too large for a VARIANT").cast("variant")))
+
 
 def child(v: Column | str, path: str) -> Column:
     """The value at the path; NULL if it is missing or a JSON null."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake.functions.binding import once
 from assentlake.functions.text import non_empty, trim_all
-from assentlake.functions.variants import array_at, child, string_at, text_at
+from assentlake.functions.variants import array_at, child, json_variant, string_at, text_at
 
 V = "v"
 
@@ -45,7 +45,7 @@ def _reply_texts() -> Column:
 def line_audit(raw: DataFrame, *by: str) -> DataFrame:
     """Non-blank lines, lines that parse, and assistant texts, by the given columns."""
     filled = raw.where(non_empty(trim_all(F.col("value"))).isNotNull())
-    lines = once(filled, "v", F.try_parse_json("value"))
+    lines = once(filled, "v", json_variant(F.col("value")))
     return lines.groupBy(*by).agg(
         F.count("*").alias("lines"),
         F.count("v").alias("parsed"),

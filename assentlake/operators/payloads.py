@@ -8,7 +8,7 @@ from assentlake import fixed
 from assentlake.functions.binding import bind, once
 from assentlake.functions.scores import per_thousand, reconcile_mdi
 from assentlake.functions.text import trim_all
-from assentlake.functions.variants import array_at, string_at
+from assentlake.functions.variants import array_at, json_variant, string_at
 
 V = "v"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
@@ -95,7 +95,7 @@ def sanitize(parsed: DataFrame) -> DataFrame:
 
 def _document(text: Column) -> Column:
     """The parsed text if it is a JSON object, else NULL."""
-    return F.when(F.ltrim(text, F.lit("\t\n\r ")).startswith("{"), F.try_parse_json(text))
+    return F.when(F.ltrim(text, F.lit("\t\n\r ")).startswith("{"), json_variant(text))
 
 
 def parse_payloads(raw: DataFrame, column: str = "payload_json") -> DataFrame:

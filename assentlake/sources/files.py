@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake import fixed
 from assentlake.functions.binding import once
+from assentlake.functions.variants import JSON_OPTIONS, json_variant
 
 
 def decoded(path: Column) -> Column:
@@ -107,57 +108,37 @@ def read_docs(
     )
 
 
-# A VARIANT holds 16 MB at most; texts beyond this size are handled with care.
-LARGE = 4 * 1024 * 1024
-
-
-def parsed(value: Column) -> Column:
-    """The record as a VARIANT, NULL if malformed. A sound one that is too large is an error.
-
-    The strict parser only runs on a large text that is valid JSON but does not fit, and then
-    raises: such a record must not vanish silently.
-    """
-    sound = (F.octet_length(value) > LARGE) & F.get_json_object(value, "$").isNotNull()
-    return F.coalesce(F.try_parse_json(value), F.when(sound, F.parse_json(value)))
+# The fields of a log document that a format reads. Each value and each element of an array is
+# a VARIANT of its own, so that the size of the whole document does not matter.
+DOCUMENT = (
+    "runId variant, session_id variant, model variant, last_updated variant, timestamp variant,"
+    "journal array<variant>, messages array<variant>, history array<variant>,"
+    "response struct<model: variant, choices: array<variant>>"
+)
+HEAD = ("runId", "session_id", "model", "last_updated", "timestamp")
 
 
 def parse_lines(raw: DataFrame) -> DataFrame:
     """Replace ``value`` by the record ``v``; blank and malformed lines are dropped."""
-    return once(raw, "v", parsed(F.col("value"))).drop("value").where(F.col("v").isNotNull())
+    return once(raw, "v", json_variant(F.col("value"))).drop("value").where(F.col("v").isNotNull())
 
 
 def parse_docs(raw: DataFrame) -> DataFrame:
-    """Replace ``value`` by ``v``, and by ``large`` for a document of several megabytes.
+    """Replace ``value`` by ``doc``, the fields or elements, and ``v``, an object of the head fields.
 
-    ``v`` of a large document holds its head fields only. Its arrays stay in ``large`` and
-    are parsed element by element (see doc_elements), so that its size does not matter.
+    Malformed documents, and those that are neither object nor array, are dropped.
     """
     value = F.col("value")
-    large = F.octet_length(value) > LARGE
-
-    def at(path: str) -> Column:
-        return F.get_json_object(value, path)
-
-    head = F.to_json(
-        F.struct(
-            *(at(f"$.{n}").alias(n) for n in ("runId", "session_id", "model", "last_updated", "timestamp")),
-            F.struct(at("$.response.model").alias("model")).alias("response"),
-        )
-    )
-    sound = F.when(at("$").isNotNull(), F.try_parse_json(head))
-    docs = once(raw, "v", F.when(large, sound).otherwise(F.try_parse_json(value)))
-    return (
-        docs.withColumn("large", F.when(large, value)).drop("value").where(F.col("v").isNotNull())
+    fields = F.from_json(F.when(F.json_object_keys(value).isNotNull(), value), DOCUMENT, JSON_OPTIONS)
+    items = F.from_json(F.when(F.json_array_length(value).isNotNull(), value), "array<variant>", JSON_OPTIONS)
+    docs = once(raw, "doc", F.struct(fields.alias("fields"), items.alias("items"))).drop("value")
+    head = F.struct(
+        *(F.col(f"doc.fields.{n}").alias(n) for n in HEAD),
+        F.struct(F.col("doc.fields.response.model").alias("model")).alias("response"),
     )
+    return docs.where("doc.fields is not null or doc.items is not null").withColumn("v", F.to_variant_object(head))
 
 
 def doc_elements(*paths: str) -> Column:
     """The elements of the first path of a parsed document that holds an array."""
-    def apart(path: str) -> Column:
-        text = F.get_json_object(F.col("large"), path)
-        return F.when(
-            F.ltrim(text).startswith("["), F.transform(F.from_json(text, "array<string>"), parsed)
-        )
-
-    small = [F.try_variant_get("v", path, "array<variant>") for path in paths]
-    return F.coalesce(*small, *(F.when(F.col("large").isNotNull(), apart(path)) for path in paths))
+    return F.coalesce(*(F.col("doc.items" if p == "$" else "doc.fields" + p[1:]) for p in paths))

@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake import fixed
 from assentlake.functions.text import WHITESPACE_CLASS, non_empty, trim_all
+from assentlake.operators.ranking import with_rank
 
 SHIPPED = Path(__file__).resolve().parent.parent / "data" / "lexicon.txt"
 
@@ -77,10 +78,8 @@ def load_lexicon(lines: DataFrame) -> DataFrame:
         .withColumn("pattern", _java_pattern(F.col("phrase"), F.col("is_regex")))
         .where(~F.expr("'' rlike pattern"))
     )
-    by_length = Window.orderBy(F.length("phrase").desc(), F.col("line_no"))
-    return entries.select(
-        F.row_number().over(by_length).alias("rank"), "phrase", "category", "is_regex", "pattern"
-    )
+    ranked = with_rank(entries, F.length("phrase").desc(), F.col("line_no"))
+    return ranked.select(F.col("rank").cast("int"), "phrase", "category", "is_regex", "pattern")
 
 
 def _fold(text: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assentlake import fixed
 from assentlake.functions.binding import once
 from assentlake.functions.text import trim_all
-from assentlake.functions.variants import array_at, parse_ts, string_at, text_at
+from assentlake.functions.variants import array_at, json_variant, parse_ts, string_at, text_at
 from assentlake.sources.files import parent_name, parse_lines
 from assentlake.sources.normalize.documents import items
 from assentlake.sources.normalize.shape import messages
@@ -69,7 +69,7 @@ def normalize_opencode(message: DataFrame, part: DataFrame, run_ts: Column) -> D
     m, p = F.col("m"), F.col("p")
     # The role is tested before the join, so that only assistant messages are shuffled.
     replies = (
-        once(message, "m", F.try_parse_json("data"))
+        once(message, "m", json_variant(F.col("data")))
         .where(text_at(m, "$.role") == "assistant")
         .select(
             "file_path", "id", "session_id", "time_created",
@@ -79,7 +79,7 @@ def normalize_opencode(message: DataFrame, part: DataFrame, run_ts: Column) -> D
     body = F.coalesce(
         F.when(text_at(p, "$.type") == "text", string_at(p, "$.text")), string_at(p, "$.content")
     )
-    parsed = once(part, "p", F.try_parse_json("data"))
+    parsed = once(part, "p", json_variant(F.col("data")))
     texts = once(parsed, "data", trim_all(body)).where(F.length("data") > 0).drop("p")
     millis = F.nullif(F.expr("try_cast(time_created as bigint)"), F.lit(0).cast("bigint"))
     return messages(

@@ -17,8 +17,11 @@ INLINE_LIMIT = 256 * 1024 * 1024
 def _rows(connection: sqlite3.Connection, query: str) -> list[tuple]:
     try:
         return connection.execute(query).fetchall()
-    except sqlite3.Error:
-        return []
+    except sqlite3.DatabaseError as error:
+        # A file that is no database, or lacks the table, has no rows. Damage is an error.
+        if error.sqlite_errorcode == sqlite3.SQLITE_NOTADB or "no such table" in str(error):
+            return []
+        raise
     finally:
         connection.close()
 
@@ -34,20 +37,18 @@ def _from_bytes(content: bytes, query: str) -> list[tuple]:
     if image[18:20] == b"\x02\x02":
         image[18:20] = b"\x01\x01"
     connection = sqlite3.connect(":memory:")
-    try:
-        connection.deserialize(bytes(image))
-    except (sqlite3.Error, OverflowError):
+    if not image:
         connection.close()
         return []
+    connection.deserialize(bytes(image))
     return _rows(connection, query)
 
 
 def _from_path(path: str, query: str) -> list[tuple]:
-    name = path.split(":", 1)[-1]
-    try:
-        connection = sqlite3.connect(f"file:{name}?mode=ro&immutable=1", uri=True)
-    except sqlite3.Error:
-        return []
+    scheme, _, name = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{path} is too large to travel and lies in a store that tasks cannot open")
+    connection = sqlite3.connect(f"file:{name}?mode=ro&immutable=1", uri=True)
     return _rows(connection, query)
 
 
@@ -62,7 +63,7 @@ def read_sqlite(
     """Run a read-only query on every file called ``name`` below ``root``.
 
     Returns file_path and the given columns (name to Spark type), all as the types say. A
-    file that is no database or lacks the table gives no rows.
+    file that is no database or lacks the table gives no rows; a damaged one is an error.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")

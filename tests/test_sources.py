@@ -4,9 +4,11 @@ import json
 import sqlite3
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from assentlake.operators.carry import carry_forward
+from assentlake.operators.payloads import parse_payloads
 from assentlake.plans.scan import load_messages
 from assentlake.sources.files import discover, parse_lines, read_lines
 
@@ -164,3 +166,31 @@ def test_documents_larger_than_a_variant(spark, tmp_path):
         + [("cline", "t", "cline-model", f"xx{i}") for i in range(3)]
     )
     assert {r.ts for r in rows if r.harness == "hermes" and r.tail != "end"} == {datetime(2026, 1, 5, 10)}
+
+
+@pytest.mark.parametrize("size", [10, 5_000_000, 70_000_000])
+def test_records_of_every_size_are_read_alike(spark, tmp_path, size):
+    """The last of repeated keys counts, and nothing vanishes, whatever the size."""
+    long = "x" * size
+    reply = '"role":"assistant","content":"' + long + '"'
+    put(tmp_path / "hermes/sessions/h.json", '{"model":"first","messages":[{' + reply + '}],"model":"last"}')
+    put(tmp_path / "claude/projects/p/c.jsonl", '{"type":"assistant","message":{"model":"first",' + reply + ',"model":"last"}}')
+    data = '{"type":"tool","text":"' + long + '","type":"text"}'
+    database(tmp_path / "opencode/opencode.db", "message", "id text, session_id text, time_created integer, data text", ("m", "s", 1, '{"role":"assistant","model":"last"}'))
+    database(tmp_path / "opencode/opencode.db", "part", "message_id text, data text", ("m", data))
+    folders = {a: str(tmp_path / a) for a in ("hermes", "claude", "opencode")}
+    rows = load_messages(spark, folders, now()).select("harness", "model", F.length("text").alias("n")).collect()
+    assert sorted((r.harness, r.model, r.n) for r in rows) == [(a, "last", size) for a in sorted(folders)]
+    payload = F.concat(F.lit('{"version":"1","pad":"'), F.repeat(F.lit("x"), F.lit(size)), F.lit('","droolCount":1,"droolCount":2}'))
+    got = parse_payloads(spark.range(1).select(payload.alias("payload_json"))).select("accepted", "hits").first()
+    assert tuple(got) == (True, 2)
+
+
+def test_damaged_databases_are_errors(spark, tmp_path):
+    database(tmp_path / "cursor/ws/state.vscdb", "ItemTable", "key text, value text", *((f"chat{i}", "x" * 500) for i in range(200)))
+    path = tmp_path / "cursor/ws/state.vscdb"
+    content = bytearray(path.read_bytes())
+    content[4096:] = b"\xff" * (len(content) - 4096)
+    path.write_bytes(content)
+    with pytest.raises(Exception, match="malformed"):
+        load_messages(spark, {"cursor": str(tmp_path / "cursor")}, now()).count()

@@ -16,7 +16,7 @@ from assentlake.operators.audit import line_audit, prefilter_audit
 from assentlake.operators.carry import carry_forward
 from assentlake.plans.scan import filter_harness, union_messages
 from assentlake.session import shared_folder
-from assentlake.sources.files import file_stem, parse_lines, read_lines, selected
+from assentlake.sources.files import doc_elements, file_stem, parse_docs, parse_lines, read_lines, selected
 from assentlake.sources.lexicon import load_lexicon
 from assentlake.sources.lookups import model_lookup, with_model
 from assentlake.sources.normalize import (
@@ -87,8 +87,8 @@ def _(r: Relations):
         from ({MESSAGES}) m where ord % 7 <> 3 group by 1""",
 )
 def _(r: Relations):
-    docs = parse_lines(r.cline_docs())
-    size = F.size(F.try_variant_get("v", "$", "array<variant>"))
+    docs = parse_docs(r.cline_docs())
+    size = F.size(doc_elements("$"))
     session = F.regexp_extract("file_path", "/tasks/([^/]+)/", 1)
     return docs.groupBy(session.alias("session_id")).agg(
         F.count("*").alias("documents"), F.sum(size).alias("items")
