@@ -6,8 +6,8 @@ bitmap of parities; the number of ones in the XOR of two bitmaps estimates how m
 differ, most precisely where the sets are nearly equal, and sends only promising candidates to
 the comparison of the whole sets.
 
-A bucket of a band is not expanded into all pairs. Each class is first compared with two
-members of its bucket; only where a bucket still holds several components after that are the
+A bucket of a band is not expanded into all pairs. Each class is first compared with the
+hub of its bucket; only where a bucket still holds several components after that are the
 pairs across components looked at, so that no link that joins components is missed.
 """
 
@@ -179,7 +179,7 @@ def _sketched(classes: DataFrame, name: str, prefix: str, *more: str) -> DataFra
 
 def _links(docs: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = staged(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
     sets = _sets(docs, ids, size)
     both = near.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
@@ -211,10 +211,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "classes",
     )
     rows = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    ends = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = staged(rows.join(ends, "bucket"), "buckets")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(rows.join(shared, "bucket"), "buckets")
+    # The member that meets most others is the hub of a bucket: mostly the text that its
+    # variants were made from, and so the same one in most buckets of a group.
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
     pairs = (
-        members.select(F.explode(F.array("low", "high")).alias("a"), F.col("rep").alias("b"))
+        members.join(hubs, "bucket")
+        .select(F.col("rep").alias("b"), F.col("hub").alias("a"))
         .where("a != b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
