@@ -179,7 +179,8 @@ def _sketched(classes: DataFrame, name: str, prefix: str, *more: str) -> DataFra
 
 def _links(docs: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = staged(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
+    # Each column is made distinct where it lies, before anything moves.
+    ids = staged(near.select(F.col("a").alias("doc_id")).distinct().unionByName(near.select(F.col("b").alias("doc_id")).distinct()).distinct(), "compared")
     sets = _sets(docs, ids, size)
     both = near.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
