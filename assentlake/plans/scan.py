@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assentlake.sources.files import read_docs, read_lines
+from assentlake.sources.files import Roots, read_docs, read_lines
 from assentlake.sources.lookups import model_lookup
 from assentlake.sources.normalize import (
     normalize_claude,
@@ -33,58 +33,58 @@ from assentlake.sources.normalize.databases import (
 from assentlake.sources.normalize.shape import MESSAGE_COLUMNS
 from assentlake.sources.sqlite import read_sqlite
 
-Loader = Callable[[SparkSession, str, Column], DataFrame]
+Loader = Callable[[SparkSession, Roots, Column], DataFrame]
 MODEL_ROWS = {"id": "string", "model": "string"}
 
 
-def _claude(spark: SparkSession, root: str, run_ts: Column, exclude: Sequence[str] = ()) -> DataFrame:
+def _claude(spark: SparkSession, root: Roots, run_ts: Column, exclude: Sequence[str] = ()) -> DataFrame:
     raw = read_lines(spark, root, below=[("transcripts", 2), ("projects", 3)], exclude=exclude)
     return normalize_claude(raw, run_ts)
 
 
-def _codex(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _codex(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     threads = model_lookup(read_sqlite(spark, root, "state_5.sqlite", THREADS_QUERY, MODEL_ROWS, 0))
     raw = read_lines(spark, root, below=[("sessions", 6), ("archived_sessions", 6)])
     return normalize_codex(raw, threads, run_ts, stage=True)
 
 
-def _omp(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _omp(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     return normalize_omp(read_lines(spark, root, below=[("agent/sessions", 4)]), run_ts, stage=True)
 
 
-def _pi(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _pi(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     sessions = read_lines(spark, root, below=[("agent/sessions", 4), ("sessions", 4)])
     runs = read_docs(spark, root, below=[("workflows", 5)])
     return normalize_pi(sessions, run_ts, stage=True).unionByName(normalize_pi_workflow(runs, run_ts))
 
 
-def _codebuddy(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _codebuddy(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     models = model_lookup(read_sqlite(spark, root, "workbuddy.db", SESSIONS_QUERY, MODEL_ROWS, 0))
     raw = read_lines(spark, root, max_depth=4, require_any=["/projects/", "/sessions/"])
     return normalize_codebuddy(raw, models, run_ts)
 
 
-def _cline(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _cline(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     api = read_docs(spark, root, "/api_conversation_history.json", below=[("tasks", 3)])
     ui = read_docs(spark, root, "/ui_messages.json", below=[("tasks", 3)])
     return normalize_cline(api.unionByName(ui), run_ts)
 
 
-def _hermes(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _hermes(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     return normalize_hermes(read_docs(spark, root, below=[("sessions", 2)]), run_ts)
 
 
-def _openclaw(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _openclaw(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     lines = normalize_openclaw_lines(read_lines(spark, root, max_depth=4), run_ts)
     return lines.unionByName(normalize_openclaw_docs(read_docs(spark, root, max_depth=4), run_ts))
 
 
-def _cursor(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _cursor(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     columns = {"key": "string", "value": "string"}
     return normalize_cursor(read_sqlite(spark, root, "state.vscdb", CURSOR_QUERY, columns, 3), run_ts)
 
 
-def _opencode(spark: SparkSession, root: str, run_ts: Column) -> DataFrame:
+def _opencode(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     message_columns = {"id": "string", "session_id": "string", "time_created": "string", "data": "string"}
     part_columns = {"message_id": "string", "data": "string"}
     return normalize_opencode(
@@ -121,13 +121,15 @@ def filter_harness(messages: DataFrame, harnesses: Sequence[str] | None) -> Data
 
 def load_messages(
     spark: SparkSession,
-    roots: Mapping[str, str],
+    roots: Mapping[str, Roots],
     run_ts: Column | None = None,
     harnesses: Sequence[str] | None = None,
     loaders: Mapping[str, Loader] = LOADERS,
 ) -> DataFrame:
     """Read the logs below ``roots`` (agent id to its home folder) as one messages table.
 
+    An agent may have several home folders, as a list, as a pattern such as /home/*/.claude,
+    or both; none may lie inside another. A root that matches nothing is an error.
     ``run_ts`` stands for missing timestamps; give it a fixed value for repeatable results.
     """
     stamp = F.current_timestamp() if run_ts is None else run_ts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -12,6 +13,11 @@ from assentlake import fixed
 from assentlake.functions.binding import once
 from assentlake.functions.variants import JSON_OPTIONS, json_variant
 
+#: A folder, a pattern of folders as Spark's readers take it, or several of them.
+Roots = str | Sequence[str]
+# What the signs of such a pattern stand for; a sign in brackets means the same in a regex.
+PATTERN_SIGNS = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|", "[": "[", "]": "]"}
+
 
 def decoded(path: Column) -> Column:
     """A file URI with its percent escapes resolved; a plus sign stays a plus sign."""
@@ -29,24 +35,39 @@ def parent_name(path: Column) -> Column:
     return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
 
 
+def root_list(roots: Roots) -> list[str]:
+    """The roots as a list without repetitions."""
+    return list(dict.fromkeys([roots] if isinstance(roots, str) else roots))
+
+
+def _below_root(path: Column, root: str) -> Column:
+    """The rest of a path behind its root; NULL for a path elsewhere."""
+    marker = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    if not any(sign in marker for sign in "*?{["):
+        at = F.locate(marker, path)
+        return F.when(at > 0, F.substring(path, at + len(marker), 1 << 30))
+    special = PATTERN_SIGNS if "{" in marker else {k: v for k, v in PATTERN_SIGNS.items() if k != ","}
+    pattern = "".join(special.get(c) or re.escape(c) for c in marker)
+    return F.nullif(F.regexp_extract(path, f"(?s)/{pattern}(.*)$", 1), F.lit(""))
+
+
 def selected(
     path: Column,
-    root: str,
+    root: Roots,
     suffixes: Sequence[str],
     max_depth: int = 5,
     below: Sequence[tuple[str, int]] = (),
     require_any: Sequence[str] = (),
     exclude: Sequence[str] = (),
 ) -> Column:
-    """Which paths below ``root`` a scan takes.
+    """Which paths below ``root`` a scan takes; with several roots, below any of them.
 
     ``max_depth`` counts the directories between root and file; ``below`` narrows a scan to
     subfolders, each with a depth of its own. Paths through a pruned directory or with an
     excluded substring are left out; with ``require_any`` a path must hold one of the given
     substrings.
     """
-    marker = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
-    inside = F.substring(path, F.locate(marker, path) + len(marker), 1 << 30)
+    inside = F.coalesce(*(_below_root(path, r) for r in root_list(root)))
     steps = F.split(inside, "/")
     dirs = F.slice(steps, F.lit(1), F.size(steps) - 1)
 
@@ -70,9 +91,9 @@ def _reader(spark: SparkSession, glob: str):
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
 
 
-def discover(spark: SparkSession, root: str, suffix: str, max_depth: int = 5, **rules) -> DataFrame:
+def discover(spark: SparkSession, root: Roots, suffix: str, max_depth: int = 5, **rules) -> DataFrame:
     """Files below ``root`` as (file_path, length). Only listings are read, no content."""
-    listed = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).format("binaryFile").load(root)
+    listed = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).format("binaryFile").load(root_list(root))
     path = decoded(F.col("path"))
     return listed.where(selected(path, root, [suffix], max_depth, **rules)).select(
         path.alias("file_path"), "length"
@@ -80,14 +101,14 @@ def discover(spark: SparkSession, root: str, suffix: str, max_depth: int = 5, **
 
 
 def read_lines(
-    spark: SparkSession, root: str, suffix: str = ".jsonl", max_depth: int = 5, **rules
+    spark: SparkSession, root: Roots, suffix: str = ".jsonl", max_depth: int = 5, **rules
 ) -> DataFrame:
     """Lines as (file_path, block_start, pos, value).
 
     A big file is read in several blocks. ``block_start`` orders the blocks of a file and
     ``pos`` the lines of a block, whatever the number of tasks.
     """
-    lines = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).text(root)
+    lines = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).text(root_list(root))
     path = decoded(F.col("_metadata.file_path"))
     return lines.where(selected(path, root, [suffix], max_depth, **rules)).select(
         path.alias("file_path"),
@@ -98,10 +119,10 @@ def read_lines(
 
 
 def read_docs(
-    spark: SparkSession, root: str, suffix: str = ".json", max_depth: int = 5, **rules
+    spark: SparkSession, root: Roots, suffix: str = ".json", max_depth: int = 5, **rules
 ) -> DataFrame:
     """Whole files as (file_path, value)."""
-    docs = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).text(root, wholetext=True)
+    docs = _reader(spark, "*" + suffix.rsplit("/", 1)[-1]).text(root_list(root), wholetext=True)
     path = decoded(F.col("_metadata.file_path"))
     return docs.where(selected(path, root, [suffix], max_depth, **rules)).select(
         path.alias("file_path"), "value"

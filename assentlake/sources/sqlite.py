@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from assentlake.sources.files import decoded, selected
+from assentlake.sources.files import Roots, decoded, root_list, selected
 
 # Content up to this size travels through Spark; a larger file is opened where it lies.
 INLINE_LIMIT = 256 * 1024 * 1024
@@ -54,7 +54,7 @@ def _from_path(path: str, query: str) -> list[tuple]:
 
 def read_sqlite(
     spark: SparkSession,
-    root: str,
+    root: Roots,
     name: str,
     query: str,
     columns: dict[str, str],
@@ -69,7 +69,7 @@ def read_sqlite(
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name)
         .format("binaryFile")
-        .load(root)
+        .load(root_list(root))
         .where(selected(decoded(F.col("path")), root, ["/" + name], max_depth))
     )
     small = files.where(F.col("length") <= INLINE_LIMIT).select("path", "content")

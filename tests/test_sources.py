@@ -122,6 +122,27 @@ def test_every_agent(spark, tmp_path):
     assert only.count() == 2
 
 
+def test_several_roots_and_patterns(spark, tmp_path):
+    reply = {"type": "assistant", "message": {"role": "assistant", "model": "m", "content": "yes"}}
+    for user in ("ann", "bob", "c+d"):
+        put(tmp_path / user / "claude/projects/p/s.jsonl", reply)
+        database(tmp_path / user / "codex/state_5.sqlite", "threads", "id text, model text", (user, "m"))
+        put(tmp_path / user / f"codex/sessions/{user}.jsonl", {"type": "m", "role": "assistant", "content": "ok"})
+    put(tmp_path / "ann/claude/elsewhere/s.jsonl", reply)
+
+    def count(agent, roots):
+        return load_messages(spark, {agent: roots}, now()).count()
+
+    assert count("claude", f"{tmp_path}/*/claude") == 3
+    assert count("claude", f"{tmp_path}/{{ann,bob}}/claude") == 2
+    assert count("claude", f"file:{tmp_path}/[ab]??/claude/") == 2
+    assert count("claude", [f"{tmp_path}/ann/claude", f"{tmp_path}/c*/claude", f"{tmp_path}/ann/claude"]) == 2
+    found = load_messages(spark, {"codex": f"{tmp_path}/*/codex"}, now())
+    assert found.where("model = 'm'").count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        count("claude", f"{tmp_path}/nobody*/claude")
+
+
 def test_depth_and_names(spark, tmp_path):
     for path in ("a.jsonl", "d1/b.jsonl", "d1/d2/c.jsonl", "dist/x.jsonl", "d1/skip-me/y.jsonl", "d1/z.txt"):
         put(tmp_path / path, {"a": 1})
