@@ -2,14 +2,17 @@
 
 Each document becomes a vector of five transformed statistics. For each language and source the
 centre and covariance of the most compact three quarters of the vectors are found by
-concentration steps: start from medians and spreads, keep the nearest vectors, estimate from
-them, measure all distances anew, repeat. A document far from the centre in the Mahalanobis
+concentration steps: keep the nearest vectors, estimate from them, measure all distances anew,
+repeat until the determinant falls no more; of several starts the least determinant counts. A
+small group leans on the spreads of all groups together. A document far from the centre in the Mahalanobis
 distance of its group is rejected. Groups meet in partial sums and in histograms of bounded
 length only, so a group with a third of all rows is no heavier for one task than any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assentlake.session import staged
@@ -19,17 +22,27 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
-#: The least spread of each feature: log words, log word length, symbols, repeated words, lines.
-#: Differences below it mean nothing; most groups have no symbols and no repeats at all.
-FLOORS = (0.8, 0.12, 0.08, 0.12, 0.12)
-#: Weight of the floors against the rows of a group, in rows.
+#: Added to the spread of each feature, so that one without any spread can be inverted: log words,
+#: log word length, symbols, repeated words, lines.
+FLOORS = (0.01, 0.01, 0.01, 0.01, 0.01)
+#: The error with which a row of n words or characters shows a rate near zero, as variances: half
+#: a root of the n over the size of a clump. A repeat is at least six words, a line stands alone.
+#: Most groups have no symbols and no repeats at all, and no spread to measure them by.
+VARIANCES = ("v2", "v3", "v4")
+#: Weight of the covariance pooled over all groups against the rows of a group, in rows.
 PRIOR_ROWS = 20.0
-#: Share of a group that the estimates rest on, and the number of concentration steps.
-COMPACT, STEPS = 0.75, 3
+#: Share of a group that the estimates rest on, the steps that every start takes, and the fall of
+#: the logarithm of the determinant below which a group has settled.
+COMPACT, FIRST_STEPS, SETTLED = 0.75, 2, 0.01
+#: Starts: medians with own spreads, medians with the spreads of all groups, mean and covariance.
+STARTS = 3
 #: Median of the chi-squared distribution with five degrees of freedom, and the squared distance beyond
 #: which a vector is an outlier: its quantile at one minus 1e-5.
 CHI_MEDIAN, CHI_LIMIT = 4.3515, 30.86
 BINS = 256
+CELLS = [(i, j) for i in range(5) for j in range(i + 1)]
+#: The columns of an estimate: centre and inverse factor.
+PLACES = [f"m{i}" for i in range(5)] + [f"w{i}{j}" for i, j in CELLS]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -97,6 +110,9 @@ def _vector(row: DataFrame) -> DataFrame:
             "f2": F.sqrt(F.col("n_symbols") / chars),
             "f3": F.sqrt(F.col("n_repeat_words") / words),
             "f4": F.log1p(F.col("n_dup_lines")) / 4,
+            "v2": 0.25 / chars,
+            "v3": 6 * 0.25 / words,
+            "v4": F.lit((math.log(2) / 8) ** 2),
         }
     )
 
@@ -114,51 +130,85 @@ def _quantiles(values: DataFrame, by: list[str], value: str, shares: dict[str, f
     )
 
 
-def _spread_start(rows: DataFrame) -> DataFrame:
-    """Centre and diagonal spread of each group from medians, in the form of _estimate."""
+def _spread_starts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two starts in the form of _estimate: medians with own spreads, and with those of all groups."""
     long = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("j", "x"))
     middle = staged(_quantiles(long, ["g", "j"], "x", {"m": 0.5}), "medians")
-    far = long.join(middle, ["g", "j"]).withColumn("d", F.abs(F.col("x") - F.col("m")))
-    spread = _quantiles(far, ["g", "j"], "d", {"s": 0.5}).join(middle, ["g", "j"])
-    columns = []
-    for j, floor in enumerate(FLOORS):
-        own = F.col("j") == j
-        columns.append(F.max(F.when(own, F.col("m"))).alias(f"m{j}"))
-        columns.append((1 / F.greatest(F.max(F.when(own, F.col("s"))) * 1.4826, F.lit(floor))).alias(f"w{j}{j}"))
+    far = staged(long.join(middle, ["g", "j"]).select("g", "j", F.abs(F.col("x") - F.col("m")).alias("d")), "deviations")
+    error = rows.groupBy("g").agg(*(F.avg(v).alias(v) for v in VARIANCES))
+    everywhere = _quantiles(far, ["j"], "d", {"s": 0.5})
     zero = {f"w{i}{j}": F.lit(0.0) for i in range(5) for j in range(i)}
-    return spread.groupBy("g").agg(*columns).withColumns(zero)
+    starts = []
+    for spread in (_quantiles(far, ["g", "j"], "d", {"s": 0.5}).join(middle, ["g", "j"]), middle.join(everywhere, "j")):
+        columns = []
+        for j, floor in enumerate(FLOORS):
+            own = F.col("j") == j
+            columns.append(F.max(F.when(own, F.col("m"))).alias(f"m{j}"))
+            columns.append(F.max(F.when(own, F.col("s") * F.col("s") * 1.4826**2 + floor**2)).alias(f"s{j}"))
+        total = spread.groupBy("g").agg(*columns).join(error, "g")
+        inverse = {f"w{j}{j}": 1 / F.sqrt(F.col(f"s{j}") + (F.col(f"v{j}") if f"v{j}" in VARIANCES else 0)) for j in range(5)}
+        found = total.withColumns({**inverse, **zero})
+        starts.append(found.select("g", *PLACES))
+    return starts[0], starts[1]
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean m0..m4 and the inverse Cholesky factor w00..w44 of each group's covariance."""
+def _covariances(rows: DataFrame) -> DataFrame:
+    """n, mean m0..m4 and plain covariance c00..c44 of each group, and its mean v2..v4 if they are there."""
     n = F.count("*").cast("double")
     sums = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
+    sums += [F.avg(v).alias(v) for v in VARIANCES if v in rows.columns]
     squares = [
         F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in range(5) for j in range(i + 1)
     ]
     out = rows.groupBy("g").agg(n.alias("n"), *sums, *squares)
+    own = {f"c{i}{j}": F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in CELLS}
+    return out.withColumns(own).drop(*(f"q{i}{j}" for i, j in CELLS))
+
+
+def _pooled(covariances: DataFrame) -> DataFrame:
+    """One row p00..p44: the mean covariance within groups, weighed by their rows."""
+    n = F.sum("n")
+    return covariances.agg(*(F.coalesce(F.sum(F.col("n") * F.col(f"c{i}{j}")) / n, F.lit(0.0)).alias(f"p{i}{j}") for i, j in CELLS))
+
+
+def _estimate(rows: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
+    """Mean m0..m4, inverse Cholesky factor w00..w44 and log determinant of each group's covariance.
+
+    ``pooled`` takes the place of the rows that a small group lacks.
+    """
+    return _factored(_covariances(rows), pooled)
+
+
+def _factored(out: DataFrame, pooled: DataFrame | None) -> DataFrame:
     share = F.col("n") / (F.col("n") + PRIOR_ROWS)
-    for i in range(5):
-        for j in range(i + 1):
-            own = (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * share
-            out = out.withColumn(f"c{i}{j}", own + FLOORS[i] ** 2 * (1 if i == j else 0))
-    for i in range(5):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    if pooled is not None:
+        out = out.crossJoin(F.broadcast(pooled))
+    changed = {}
+    for i, j in CELLS:
+        total = F.col(f"c{i}{j}") * share
+        if pooled is not None:
+            total = total + F.col(f"p{i}{j}") * (1 - share)
+        if i == j:
+            total = total + FLOORS[i] ** 2
+            if f"v{i}" in out.columns:
+                total = total + F.col(f"v{i}")
+        changed[f"c{i}{j}"] = total
+    out = out.withColumns(changed)
     for j in range(5):
-        for i in range(j, 5):
-            if i == j:
-                value = 1 / F.col(f"l{i}{i}")
-            else:
-                total = F.lit(0.0)
-                for k in range(j, i):
-                    total = total + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-                value = -total / F.col(f"l{i}{i}")
-            out = out.withColumn(f"w{i}{j}", value)
-    return out.select("g", *(f"m{i}" for i in range(5)), *(f"w{i}{j}" for i in range(5) for j in range(i + 1)))
+        # A column of the factor in two projections, the inverse by its diagonals.
+        rest = {i: sum((-F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.col(f"c{i}{j}")) for i in range(j, 5)}
+        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest[j], F.lit(1e-9))))
+        out = out.withColumns({f"l{i}{j}": rest[i] / F.col(f"l{j}{j}") for i in range(j + 1, 5)}) if j < 4 else out
+    out = out.withColumns({f"w{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(5)})
+    for gap in range(1, 5):
+        values = {}
+        for j in range(5 - gap):
+            i = j + gap
+            total = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
+            values[f"w{i}{j}"] = -total / F.col(f"l{i}{i}")
+        out = out.withColumns(values)
+    det = sum((F.log(f"l{i}{i}") for i in range(1, 5)), F.log("l00")) * 2
+    return out.select("g", *PLACES, det.alias("det"))
 
 
 def _distance() -> Column:
@@ -177,21 +227,53 @@ def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.join(estimates, "g").withColumn("d", F.sqrt(_distance())).drop(*drop)
 
 
+def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The nearest rows of each group, by its estimate."""
+    measured = _measured(rows, estimates)
+    limits = _quantiles(measured, ["g"], "d", {"limit": COMPACT})
+    return measured.join(limits, "g").where(F.col("d") <= F.col("limit") + 1.0 / BINS)
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """(g, m.., w.., scale): centre, inverse factor and scale of distance of each group g.
+    """(g, m.., w.., det, scale): centre, inverse factor and scale of distance of each group g.
 
-    ``rows`` has g and the features. The scale brings the median distance to that of a normal
-    distribution, but never makes distances larger.
+    ``rows`` has g, the features and their variances. Every start takes some steps; the one with
+    the least determinant goes on until it falls no more. The scale brings the median distance
+    to that of a normal distribution, but never makes distances larger: where most rows have no
+    symbols and no repeats, the median says nothing about the rest.
     """
-    estimates = staged(_spread_start(rows), "mcd")
-    for _ in range(STEPS):
-        measured = _measured(rows, estimates)
-        limits = _quantiles(measured, ["g"], "d", {"limit": COMPACT})
-        inside = measured.join(limits, "g").where(F.col("d") <= F.col("limit") + 1.0 / BINS)
-        estimates = staged(_estimate(inside), "mcd")
-    middle = _quantiles(_measured(rows, estimates), ["g"], "d", {"middle": 0.5})
+    # A start is a part of the group's name, so that all of them take one pass.
+    own, common = _spread_starts(rows)
+    begun = [own, common, _estimate(rows, _pooled(_covariances(rows))).select("g", *PLACES)]
+    named = F.array(*(F.concat(F.lit(f"{k}:"), "g") for k in range(STARTS)))
+    every = rows.withColumn("g", F.explode(named))
+    tried = begun[0].withColumn("g", F.concat(F.lit("0:"), "g"))
+    for k in range(1, STARTS):
+        tried = tried.unionByName(begun[k].withColumn("g", F.concat(F.lit(f"{k}:"), "g")))
+    tried = staged(tried, "starts")
+    pooled = None
+    for step in range(FIRST_STEPS):
+        found = staged(_covariances(_concentrated(every, tried)), "covariances")
+        # One target for all starts and steps from here on, so that determinants can be compared.
+        if step == 0:
+            pooled = staged(_pooled(found), "pooled")
+        tried = staged(_factored(found, pooled), "starts")
+    bare = tried.withColumns({"start": F.substring("g", 1, 1), "g": F.expr("substring(g, 3)")})
+    best = staged(
+        bare.groupBy("g").agg(F.min_by(F.struct(*PLACES, "det"), F.struct("det", "start")).alias("e")).select("g", "e.*"), "mcd"
+    )
+    moving = best
+    while True:
+        # Staged before it is filtered: the filter would be pushed into the chain of factors.
+        new = staged(_estimate(_concentrated(rows, moving), pooled), "moved")
+        lower = new.join(best.select("g", F.col("det").alias("before")), "g").where(F.col("det") < F.col("before") - SETTLED)
+        moving = staged(lower.drop("before"), "moving")
+        if moving.isEmpty():
+            break
+        best = staged(best.join(moving.select("g"), "g", "left_anti").unionByName(moving), "mcd")
+    middle = _quantiles(_measured(rows, best), ["g"], "d", {"middle": 0.5})
     scale = F.greatest(F.col("middle") * F.col("middle") / CHI_MEDIAN, F.lit(1.0))
-    return staged(estimates.join(middle.select("g", scale.alias("scale")), "g"), "mcd")
+    return staged(best.join(middle.select("g", scale.alias("scale")), "g"), "mcd")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -205,7 +287,7 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     group = F.to_json(F.struct("lang", "source"))
     rows = staged(_vector(statistics(docs).withColumns({"base_failed": failed, "g": group})), "statistics")
-    estimates = robust_estimates(rows.where("not base_failed").select("g", *FEATURES))
+    estimates = robust_estimates(rows.where("not base_failed").select("g", *FEATURES, *VARIANCES))
     squared = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     return (
         rows.join(estimates, "g", "left")

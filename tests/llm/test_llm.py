@@ -231,6 +231,22 @@ def test_outliers_are_rejected_and_ordinary_documents_stay(spark, odd, empty):
     assert len(quality_rules.judge(odd).collect()) == 8 and quality_rules.judge(empty).count() == 0
 
 
+def test_a_tenth_of_symbols_is_an_outlier_where_others_have_none(spark):
+    """Symbols of one character in ten, in groups of several sizes whose other texts have none."""
+    draw = random.Random(16)
+
+    def text(mark):
+        words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(draw.randint(60, 300))]
+        return " ".join(w + "|" if mark and i % 10 < 6 else w for i, w in enumerate(words))
+
+    rows = [(1000 * g + i, text(i < n // 12), "x", str(g)) for g, n in enumerate((200, 60, 36)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    marked = [d for d, t, _, _ in rows if "|" in t]
+    assert len(marked) == 24 and not any(kept[d] for d in marked)
+    assert sum(kept[d] for d, t, _, _ in rows if "|" not in t) >= 0.98 * (len(rows) - len(marked))
+
+
 def test_license_places(spark, odd, empty):
     texts = ["The MIT License. mit-license, MIT LICENSE", "under CC BY 4.0 or Apache  License", "GNU General Public\nLicense", "no licence", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
     rows = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
