@@ -266,6 +266,19 @@ def test_license_places(spark, odd, empty):
     assert licenses.scan(odd).count() == 8 and licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("gap", [0, 3, 400])
+def test_all_license_texts_in_one_file(spark, gap):
+    """Every text that stands there word for word has its label, however many there are."""
+    filler = " the of and to in software license public any terms with work " * gap
+    draw = random.Random(17)
+    orders = [draw.sample(licenses.TEMPLATES, k=len(licenses.TEMPLATES)) for _ in range(4)]
+    orders += [draw.sample(licenses.TEMPLATES, k=k) for k in (2, 3, 4, 5, 8) for _ in range(6)]
+    texts = [filler.join(f" {text} . " for _, text, _ in order) for order in orders]
+    rows = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    for i, order in enumerate(orders):
+        assert {label for label, _, _ in order} <= set(rows[i].labels.split(",")) and rows[i].score == 1.0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="<p>no</p>";</script><style>p{}</style></head><body class="has-sidebar">
 <div class="cookie-notice"><p>We use cookies</p></div><nav><ul><li><a href="/">Home</a></ul></nav><form>Name <input></form>
 <%s><h1>A &amp; B</h1><p>One<br>two <b>three</b> &eacute;<p>Four <a href=x>link</a>.<div class="ad">Buy</div><p>Last</p></%s>
