@@ -14,6 +14,7 @@ pairs across components looked at, so that no link that joins components is miss
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,9 +31,10 @@ FUNCTIONS = BANDS * ROWS
 PARTS = 4
 SAMPLES = FUNCTIONS * PARTS
 SKETCH_BITS = 2048
-#: How far the estimate of a sketch may fall below the similarity asked for: five standard
-#: deviations of samples and sketch together, and many more for small sets, whose parts differ.
-MARGIN, SMALL, SMALL_MARGIN = 0.07, 64, 0.25
+#: How far the estimate of a sketch may fall below the similarity asked for, in standard deviations
+#: of samples, parts and parities together; sets smaller than SMALL go to the exact check directly,
+#: since the sizes of their parts differ too much for an estimate.
+DEVIATIONS, SMALL = 7.0, 128
 #: Ids up to this number are sent to every task instead of moving the texts (16 bytes each).
 SENT_IDS = 500_000
 REMEMBERED = 400_000
@@ -159,6 +161,20 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, hashes array<long>")
 
 
+def margin(n: Column, percent: int) -> Column:
+    """How far the estimate for two sets, the smaller one of n shingles, may fall short.
+
+    The variance of the samples; that of parts of unequal size, in which the same share of
+    samples stands for different numbers of shingles; and that of the parities of the sketch.
+    """
+    p = percent / 100
+    toggled = 2 * SAMPLES * (1 - p)
+    q = math.exp(-2 * toggled / SKETCH_BITS)
+    parity = (SKETCH_BITS / 4 * (1 - q * q) - toggled * q * q) / q / (2 * SAMPLES) ** 2
+    size = n.cast("double")
+    return DEVIATIONS * F.sqrt(p * (1 - p) * (1 / SAMPLES + (PARTS - 1) / (size * size)) + parity)
+
+
 def promising(x: str, y: str, percent: int) -> Column:
     """Whether two sketched sets can be similar enough, by their sizes and the XOR of the sketches.
 
@@ -169,8 +185,8 @@ def promising(x: str, y: str, percent: int) -> Column:
     ones = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
     inner = F.greatest(1 - 2 * ones / F.lit(float(SKETCH_BITS)), F.lit(1e-9))
     similar = 1 + F.log(inner) * (SKETCH_BITS / (4.0 * SAMPLES))
-    margin = F.when(F.least(n, m) < SMALL, SMALL_MARGIN).otherwise(MARGIN)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (similar >= percent / 100 - margin)
+    least = F.least(n, m)
+    return (100 * least >= percent * F.greatest(n, m)) & ((least < SMALL) | (similar >= percent / 100 - margin(least, percent)))
 
 
 def _sketched(classes: DataFrame, name: str, prefix: str, *more: str) -> DataFrame:

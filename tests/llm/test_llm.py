@@ -174,6 +174,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows.values())
 
 
+def test_sketches_pass_every_link(spark):
+    """Pairs at exactly the similarity asked for, whose sketches say far less because of their parts."""
+    import numpy as np
+
+    own, draw, rows = minhash.Shingler(3), np.random.default_rng(18), []
+    with np.errstate(over="ignore"):
+        for common, union, percent, pairs in ((8, 10, 80, 1500), (12, 15, 80, 1500), (60, 75, 80, 500), (12, 14, 85, 500), (120, 150, 80, 500)):
+            for _ in range(pairs):
+                h = draw.integers(0, 1 << 64, size=union, dtype=np.uint64)
+                extra = (union - common) // 2
+                sets = [np.sort(np.concatenate((h[:common], h[common:][part]))) for part in (slice(0, extra), slice(extra, None))]
+                rows.append((percent, *(v for s in sets for v in (len(s), own.sketch(own.samples(s))))))
+    frame = spark.createDataFrame(rows, "percent int, x_n long, x_sketch array<long>, y_n long, y_sketch array<long>")
+    for percent in (80, 85):
+        # Pairs below the similarity by their sizes alone are no links.
+        asked = frame.where((F.col("percent") == percent) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+        assert asked.count() >= 500 and asked.where(~minhash.promising("x", "y", percent)).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == 8 and [r.component_id for r in rows if r.doc_id == 5] == [5, 5]
