@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,13 +15,18 @@ from assentlake.sources.files import Roots, decoded, root_list, selected
 INLINE_LIMIT = 256 * 1024 * 1024
 
 
-def _rows(connection: sqlite3.Connection, query: str) -> list[tuple]:
+BATCH = 10_000
+
+
+def _rows(connection: sqlite3.Connection, query: str) -> Iterator[list[tuple]]:
     try:
-        return connection.execute(query).fetchall()
+        cursor = connection.execute(query)
+        while rows := cursor.fetchmany(BATCH):
+            yield rows
     except sqlite3.DatabaseError as error:
         # A file that is no database, or lacks the table, has no rows. Damage is an error.
         if error.sqlite_errorcode == sqlite3.SQLITE_NOTADB or "no such table" in str(error):
-            return []
+            return
         raise
     finally:
         connection.close()
@@ -31,24 +37,60 @@ def _text(value) -> str | None:
     return None if value is None or isinstance(value, bytes) else str(value)
 
 
-def _from_bytes(content: bytes, query: str) -> list[tuple]:
-    image = bytearray(content)
+def _summed(order: str, data: bytes, sums: tuple[int, int]) -> tuple[int, int]:
+    x, y = sums
+    for a, b in struct.iter_unpack(order + "II", data):
+        x = (x + a + y) & 0xFFFFFFFF
+        y = (y + b + x) & 0xFFFFFFFF
+    return x, y
+
+
+def _with_log(image: bytearray, log: bytes) -> bytearray:
+    """The image with the committed pages of its write-ahead log, as SQLite recovers them."""
+    if len(log) < 32:
+        return image
+    magic, _, size, _, *salts, first, second = struct.unpack(">8I", log[:32])
+    order = {0x377F0682: "<", 0x377F0683: ">"}.get(magic)
+    if order is None or (sums := _summed(order, log[:24], (0, 0))) != (first, second):
+        return image
+    pages: dict[int, int] = {}
+    # A frame of an older log, or one that was not written to its end, ends the log.
+    for at in range(32, len(log) - size - 23, size + 24):
+        number, commit, *rest = struct.unpack(">6I", log[at : at + 24])
+        sums = _summed(order, log[at : at + 8], sums)
+        sums = _summed(order, log[at + 24 : at + 24 + size], sums)
+        if rest != [*salts, *sums]:
+            break
+        pages[number] = at + 24
+        if commit:
+            length = commit * size
+            image = image[:length].ljust(length, b"\0")
+            for page, start in pages.items():
+                if page <= commit:
+                    image[(page - 1) * size : page * size] = log[start : start + size]
+            pages = {}
+    return image
+
+
+def _from_bytes(content: bytes, log: bytes | None, query: str) -> Iterator[list[tuple]]:
+    image = _with_log(bytearray(content), log or b"")
     # Bytes 18 and 19 ask for a write-ahead log, which an in-memory image cannot have.
     if image[18:20] == b"\x02\x02":
         image[18:20] = b"\x01\x01"
-    connection = sqlite3.connect(":memory:")
     if not image:
-        connection.close()
-        return []
+        return iter(())
+    connection = sqlite3.connect(":memory:")
     connection.deserialize(bytes(image))
     return _rows(connection, query)
 
 
-def _from_path(path: str, query: str) -> list[tuple]:
+def _from_path(path: str, query: str, logged: bool) -> Iterator[list[tuple]]:
     scheme, _, name = path.rpartition(":")
     if scheme not in ("", "file"):
         raise ValueError(f"{path} is too large to travel and lies in a store that tasks cannot open")
-    connection = sqlite3.connect(f"file:{name}?mode=ro&immutable=1", uri=True)
+    # An immutable file is read without its log.
+    options = "mode=ro" if logged else "mode=ro&immutable=1"
+    connection = sqlite3.connect(f"file:{name}?{options}", uri=True)
     return _rows(connection, query)
 
 
@@ -65,22 +107,35 @@ def read_sqlite(
     Returns file_path and the given columns (name to Spark type), all as the types say. A
     file that is no database or lacks the table gives no rows; a damaged one is an error.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name)
-        .format("binaryFile")
-        .load(root_list(root))
-        .where(selected(decoded(F.col("path")), root, ["/" + name], max_depth))
-    )
-    small = files.where(F.col("length") <= INLINE_LIMIT).select("path", "content")
-    large = files.where(F.col("length") > INLINE_LIMIT).select(
-        "path", F.lit(None).cast("binary").alias("content")
+    def found(file: str) -> DataFrame:
+        """path, length and content; without content where that is too large to travel."""
+        files = (
+            spark.read.option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", file)
+            .format("binaryFile")
+            .load(root_list(root))
+            .where(selected(decoded(F.col("path")), root, ["/" + file], max_depth))
+        )
+        small = files.where(F.col("length") <= INLINE_LIMIT).select("path", "length", "content")
+        large = files.where(F.col("length") > INLINE_LIMIT).select(
+            "path", "length", F.lit(None).cast("binary").alias("content")
+        )
+        return small.unionByName(large)
+
+    logs = found(name + "-wal").where("length > 0").select(
+        F.expr("left(path, length(path) - 4)").alias("path"), F.col("content").alias("log"), F.lit(True).alias("logged")
     )
-    return query_images(small.unionByName(large), query, columns)
+    images = found(name).drop("length").join(logs, "path", "left")
+    return query_images(images.select("path", "content", "log", F.coalesce("logged", F.lit(False)).alias("logged")), query, columns)
 
 
 def query_images(images: DataFrame, query: str, columns: dict[str, str]) -> DataFrame:
-    """Query database files given as (path, content); without content the path is opened."""
+    """Query database files given as (path, content); without content the path is opened.
+
+    log may hold the write-ahead log of the file; with logged and no log it lies by the path.
+    """
+    if "logged" not in images.columns:
+        images = images.withColumns({"log": F.lit(None).cast("binary"), "logged": F.lit(False)})
     names = list(columns)
     texts = [n for n, t in columns.items() if t == "string"]
     schema = T.StructType.fromDDL(
@@ -89,10 +144,10 @@ def query_images(images: DataFrame, query: str, columns: dict[str, str]) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = _from_path(path, query) if content is None else _from_bytes(content, query)
-                for at in range(0, len(rows), 10_000):
-                    out = pd.DataFrame(rows[at:at + 10_000], columns=names, dtype=object)
+            for path, content, log, logged in zip(batch["path"], batch["content"], batch["log"], batch["logged"]):
+                by_path = content is None or (logged and log is None)
+                for rows in _from_path(path, query, logged) if by_path else _from_bytes(content, log, query):
+                    out = pd.DataFrame(rows, columns=names, dtype=object)
                     for name in texts:
                         out[name] = [_text(value) for value in out[name]]
                     out.insert(0, "file_path", path)

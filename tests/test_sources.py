@@ -215,3 +215,31 @@ def test_damaged_databases_are_errors(spark, tmp_path):
     path.write_bytes(content)
     with pytest.raises(Exception, match="malformed"):
         load_messages(spark, {"cursor": str(tmp_path / "cursor")}, now()).count()
+
+
+@pytest.mark.parametrize("checkpointed", [True, False])
+def test_rows_of_a_write_ahead_log_are_read(spark, tmp_path, checkpointed):
+    """What is committed only in the log counts; what is not committed does not."""
+    path = tmp_path / "opencode/opencode.db"
+    path.parent.mkdir(parents=True)
+    db = sqlite3.connect(path)
+    db.execute("pragma journal_mode=wal")
+    db.execute("pragma wal_autocheckpoint=0")
+    db.execute("create table message (id text, session_id text, time_created integer, data text)")
+    db.execute("create table part (message_id text, data text)")
+    for i in range(300):
+        db.execute("insert into message values (?, 's', 1, ?)", (f"m{i}", '{"role":"assistant","model":"om"}'))
+        db.execute("insert into part values (?, ?)", (f"m{i}", json.dumps({"type": "text", "text": "x" * 50 + str(i)})))
+        if i == 100:
+            db.commit()
+            if checkpointed:
+                db.execute("pragma wal_checkpoint(full)")
+    db.execute("update part set data = replace(data, 'xx299', 'xx-last')")
+    db.commit()
+    db.execute("pragma cache_size=1")
+    db.executemany("insert into message values (?, 's', 1, '{\"role\":\"assistant\"}')", [(f"open{i}",) for i in range(500)])
+    assert (tmp_path / "opencode/opencode.db-wal").stat().st_size > 0
+    rows = load_messages(spark, {"opencode": str(tmp_path / "opencode")}, now()).select("text").collect()
+    db.rollback()
+    db.close()
+    assert sorted(r.text for r in rows) == sorted("x" * 50 + (str(i) if i < 299 else "-last") for i in range(300))
