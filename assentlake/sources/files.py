@@ -139,6 +139,26 @@ DOCUMENT = (
 HEAD = ("runId", "session_id", "model", "last_updated", "timestamp")
 
 
+def _lost(value: Column) -> Column:
+    """Whether ``doc`` lacks a field or the elements that a sound document has.
+
+    What cannot be held by a VARIANT is NULL; the same read as text is not. Only documents with
+    a NULL under a key that they have are read again.
+    """
+    keys = F.json_object_keys(value)
+    paths = [[n] for n in (*HEAD, "journal", "messages", "history")] + [["response", "model"], ["response", "choices"]]
+    text = F.from_json(value, DOCUMENT.replace("variant", "string"), JSON_OPTIONS)
+
+    def at(struct: Column, path: list[str]) -> Column:
+        return struct[path[0]] if len(path) == 1 else struct[path[0]][path[1]]
+
+    empty = reduce(or_, (F.array_contains(keys, p[0]) & at(F.col("doc.fields"), p).isNull() for p in paths))
+    gone = reduce(or_, (at(F.col("doc.fields"), p).isNull() & at(text, p).isNotNull() for p in paths))
+    of_object = F.col("doc.fields").isNotNull() & F.when(empty, gone).otherwise(False)
+    of_array = F.col("doc.fields").isNull() & F.col("doc.items").isNull() & F.json_array_length(value).isNotNull()
+    return F.coalesce(of_object, F.lit(False)) | F.coalesce(of_array, F.lit(False))
+
+
 def parse_lines(raw: DataFrame) -> DataFrame:
     """Replace ``value`` by the record ``v``; blank and malformed lines are dropped."""
     return once(raw, "v", json_variant(F.col("value"))).drop("value").where(F.col("v").isNotNull())
@@ -147,12 +167,15 @@ def parse_lines(raw: DataFrame) -> DataFrame:
 def parse_docs(raw: DataFrame) -> DataFrame:
     """Replace ``value`` by ``doc``, the fields or elements, and ``v``, an object of the head fields.
 
-    Malformed documents, and those that are neither object nor array, are dropped.
+    Malformed documents, and those that are neither object nor array, are dropped. A field or
+    element of a sound document that no VARIANT can hold is an error: it must not vanish silently.
     """
     value = F.col("value")
     fields = F.from_json(F.when(F.json_object_keys(value).isNotNull(), value), DOCUMENT, JSON_OPTIONS)
     items = F.from_json(F.when(F.json_array_length(value).isNotNull(), value), "array<variant>", JSON_OPTIONS)
-    docs = once(raw, "doc", F.struct(fields.alias("fields"), items.alias("items"))).drop("value")
+    docs = once(raw, "doc", F.struct(fields.alias("fields"), items.alias("items")))
+    too_large = F.raise_error("a field or element of a document is too large for a VARIANT").cast("boolean")
+    docs = docs.where(F.when(_lost(value), too_large).otherwise(True)).drop("value")
     head = F.struct(
         *(F.col(f"doc.fields.{n}").alias(n) for n in HEAD),
         F.struct(F.col("doc.fields.response.model").alias("model")).alias("response"),

@@ -217,6 +217,24 @@ def test_damaged_databases_are_errors(spark, tmp_path):
         load_messages(spark, {"cursor": str(tmp_path / "cursor")}, now()).count()
 
 
+@pytest.mark.parametrize("file", ["hermes/sessions/h.json", "cline/tasks/t/api_conversation_history.json"])
+def test_an_element_too_large_for_a_variant_is_an_error(spark, tmp_path, file):
+    turns = [{"role": "assistant", "content": c} for c in ("a", "x" * 140_000_000, "b")]
+    put(tmp_path / file, json.dumps({"messages": turns} if "hermes" in file else turns))
+    agent = file.split("/")[0]
+    with pytest.raises(Exception, match="too large for a VARIANT"):
+        load_messages(spark, {agent: str(tmp_path / agent)}, now()).select(F.length("text")).collect()
+
+
+def test_null_and_odd_fields_of_documents_are_no_error(spark, tmp_path):
+    odd = [{"messages": None, "model": None}, {"messages": "[text", "history": {"a": 1}}, {"response": 1}, {"response": {"choices": None}}, {"messages": []}]
+    for i, doc in enumerate(odd):
+        put(tmp_path / f"hermes/sessions/h{i}.json", json.dumps(doc))
+    put(tmp_path / "hermes/sessions/good.json", json.dumps({"model": None, "messages": [None, {"role": "assistant", "content": "ok"}]}))
+    rows = load_messages(spark, {"hermes": str(tmp_path / "hermes")}, now()).collect()
+    assert [r.text for r in rows] == ["ok"]
+
+
 @pytest.mark.parametrize("checkpointed", [True, False])
 def test_rows_of_a_write_ahead_log_are_read(spark, tmp_path, checkpointed):
     """What is committed only in the log counts; what is not committed does not."""
