@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assentlake.llm import byte_bpe, chat, licenses, minhash, neighbours, packing, pages, quality, quality_rules, toxicity
+from assentlake.llm import (
+    byte_bpe, centroids, chat, credentials, expected, licenses, manifest, minhash, neighbours, packing, pages, quality, quality_rules, toxicity,
+)
 from assentlake.llm.common import table, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,11 +65,26 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digests(credentials.scan(table(spark, folder, "documents")))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(docs, tampered, lower).drop("lang", "pos")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_packing, op3_chat, op4_byte_bpe, op5_pages, op6_neighbours, op7_quality_rules,
-        op8_licenses, op9_minhash, op10_quality,
+        op8_licenses, op9_minhash, op10_quality, op11_centroids, op12_secrets, op13_manifest,
     )
 }
 
@@ -115,4 +132,6 @@ ORACLES: dict[str, str] = {
         )
         select s.doc_id, len(sh) as n_shingles, component_id, s.doc_id = component_id as kept
         from s join c on c.node = s.doc_id""",
+    "op11_centroids": expected.clustering(centroids.CLUSTERS, centroids.ROUNDS, centroids.DIMENSION, centroids.SCALE, "2:"),
+    "op13_manifest": expected.tree(),
 }
