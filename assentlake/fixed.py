@@ -55,6 +55,15 @@ UNKNOWN_MODEL = "unknown-model"
 # their own pass further prefixes to normalize_model.
 ROUTING_PREFIXES = ("cline", "qcn", "fox", "openrouter")
 
+# What is cut off a model name, in this order, and how old names are spelled now.
+MODEL_FREE = r":free\z"
+MODEL_CONTEXT = r"(?s)^(.*?)\[\d+[mk]?\]"
+MODEL_DATE = r"[-_@](?:202[4-9]\d{4}|202[4-9]-\d{2}-\d{2})\z"
+MODEL_SPELLING = r"^claude-3\.([57])-"
+
+# The id of a thread in a file name.
+UUID_PATTERN = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+
 # Directories no log scan enters.
 PRUNED_DIRS = ("node_modules", ".git", "cache", "dist", "build", ".cache")
 

@@ -8,7 +8,7 @@ from assentlake.functions.scores import (  # noqa: F401
 )
 from assentlake.functions.text import (  # noqa: F401
     normalize_model,
-    snippet,
+    snippet_in,
     strip_fences,
     trim_all,
 )

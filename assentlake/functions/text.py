@@ -14,6 +14,8 @@ WHITESPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 WHITESPACE_CLASS = r"\s\p{Z}\uFEFF"
+#: Characters of a piece when a long text is cut to look at many places in it.
+CHUNK = 1024
 
 
 def trim_all(c: Column) -> Column:
@@ -43,19 +45,25 @@ def normalize_model(c: Column, extra_prefixes: Sequence[str] = ()) -> Column:
     m = F.lower(trim_all(c))
     m = F.substring_index(m, "/", -1)
     m = F.regexp_replace(m, rf"^(?:{prefixes})-", "")
-    m = F.regexp_replace(m, r":free\z", "")
-    m = F.regexp_replace(m, r"(?s)^(.*?)\[\d+[mk]?\]", "$1")
-    m = F.regexp_replace(m, r"[-_@](?:202[4-9]\d{4}|202[4-9]-\d{2}-\d{2})\z", "")
-    m = F.regexp_replace(m, r"^claude-3\.([57])-", "claude-3-$1-")
+    m = F.regexp_replace(m, fixed.MODEL_FREE, "")
+    m = F.regexp_replace(m, fixed.MODEL_CONTEXT, "$1")
+    m = F.regexp_replace(m, fixed.MODEL_DATE, "")
+    m = F.regexp_replace(m, fixed.MODEL_SPELLING, "claude-3-$1-")
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit(fixed.UNKNOWN_MODEL)).otherwise(trim_all(m))
 
 
-def snippet(t: Column, start: Column, length: Column) -> Column:
-    """One-line context of the span that begins at 0-based ``start``."""
+def chunks(t: Column) -> Column:
+    """The text in pieces of CHUNK characters, so that a place in it is found at once."""
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def snippet_in(pieces: Column, size: Column, start: Column, length: Column) -> Column:
+    """One-line context of the span at 0-based ``start`` of a text given as its chunks and length."""
     first = F.greatest(start - F.lit(fixed.SNIPPET_BEFORE), F.lit(0))
-    size = F.length(t)
     last = F.least(start + length + F.lit(fixed.SNIPPET_AFTER), size)
-    body = trim_all(F.regexp_replace(F.substring(t, first + 1, last - first), r"\r?\n+", " "))
+    at = F.floor(first / CHUNK).cast("int")
+    near = F.array_join(F.slice(pieces, at + 1, F.floor((last - 1) / CHUNK).cast("int") - at + 1), "")
+    body = trim_all(F.regexp_replace(F.substring(near, first % CHUNK + 1, last - first), r"\r?\n+", " "))
     return F.concat(
         F.when(first > 0, "...").otherwise(""), body, F.when(last < size, "...").otherwise("")
     )

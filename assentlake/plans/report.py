@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assentlake import fixed
 from assentlake.functions.scores import level_struct
 from assentlake.operators import metrics, ranking
-from assentlake.operators.detect import with_spans
-from assentlake.functions.text import normalize_model, snippet
+from assentlake.operators.detect import with_snippets, with_spans
+from assentlake.functions.text import normalize_model
 from assentlake.session import staged
 from assentlake.sources.lexicon import Matcher
 
@@ -45,15 +45,8 @@ class Report:
 
 def message_facts(messages: DataFrame, matcher: Matcher) -> DataFrame:
     """What the report needs of each message: its keys and its hits, but not its text."""
-    t = F.col("t")
-    hit = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["rank"].alias("rank"),
-            s["phrase"].alias("phrase"),
-            s["category"].alias("category"),
-            snippet(t, s["start"], s["length"]).alias("snippet"),
-        ),
+    hits = F.transform(
+        with_snippets(F.col("t"), F.col("spans")), lambda s: s.dropFields("start", "length")
     )
     return with_spans(messages, matcher).select(
         "harness",
@@ -62,7 +55,7 @@ def message_facts(messages: DataFrame, matcher: Matcher) -> DataFrame:
         "model",
         normalize_model(F.col("model")).alias("norm_model"),
         F.coalesce(F.size("spans"), F.lit(0)).alias("n_hits"),
-        hit.alias("hits"),
+        hits.alias("hits"),
     )
 
 

@@ -30,7 +30,7 @@ from assentlake.sources.normalize.databases import (
     SESSIONS_QUERY,
     THREADS_QUERY,
 )
-from assentlake.sources.normalize.shape import MESSAGE_COLUMNS
+from assentlake.sources.normalize.shape import MESSAGE_COLUMNS, line_blocks
 from assentlake.sources.sqlite import read_sqlite
 
 Loader = Callable[[SparkSession, Roots, Column], DataFrame]
@@ -39,29 +39,29 @@ MODEL_ROWS = {"id": "string", "model": "string"}
 
 def _claude(spark: SparkSession, root: Roots, run_ts: Column, exclude: Sequence[str] = ()) -> DataFrame:
     raw = read_lines(spark, root, below=[("transcripts", 2), ("projects", 3)], exclude=exclude)
-    return normalize_claude(raw, run_ts)
+    return normalize_claude(raw, run_ts, line_blocks(raw))
 
 
 def _codex(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     threads = model_lookup(read_sqlite(spark, root, "state_5.sqlite", THREADS_QUERY, MODEL_ROWS, 0))
     raw = read_lines(spark, root, below=[("sessions", 6), ("archived_sessions", 6)])
-    return normalize_codex(raw, threads, run_ts, stage=True)
+    return normalize_codex(raw, threads, run_ts)
 
 
 def _omp(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
-    return normalize_omp(read_lines(spark, root, below=[("agent/sessions", 4)]), run_ts, stage=True)
+    return normalize_omp(read_lines(spark, root, below=[("agent/sessions", 4)]), run_ts)
 
 
 def _pi(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     sessions = read_lines(spark, root, below=[("agent/sessions", 4), ("sessions", 4)])
     runs = read_docs(spark, root, below=[("workflows", 5)])
-    return normalize_pi(sessions, run_ts, stage=True).unionByName(normalize_pi_workflow(runs, run_ts))
+    return normalize_pi(sessions, run_ts).unionByName(normalize_pi_workflow(runs, run_ts))
 
 
 def _codebuddy(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
     models = model_lookup(read_sqlite(spark, root, "workbuddy.db", SESSIONS_QUERY, MODEL_ROWS, 0))
     raw = read_lines(spark, root, max_depth=4, require_any=["/projects/", "/sessions/"])
-    return normalize_codebuddy(raw, models, run_ts)
+    return normalize_codebuddy(raw, models, run_ts, line_blocks(raw))
 
 
 def _cline(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
@@ -75,7 +75,8 @@ def _hermes(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
 
 
 def _openclaw(spark: SparkSession, root: Roots, run_ts: Column) -> DataFrame:
-    lines = normalize_openclaw_lines(read_lines(spark, root, max_depth=4), run_ts)
+    raw = read_lines(spark, root, max_depth=4)
+    lines = normalize_openclaw_lines(raw, run_ts, line_blocks(raw))
     return lines.unionByName(normalize_openclaw_docs(read_docs(spark, root, max_depth=4), run_ts))
 
 

@@ -9,7 +9,7 @@ from assentlake.functions.text import trim_all
 from assentlake.functions.variants import child, flatten_content, parse_ts, string_at, text_at
 from assentlake.sources.files import file_stem, parse_lines
 from assentlake.sources.lookups import with_model
-from assentlake.sources.normalize.shape import line_id, messages
+from assentlake.sources.normalize.shape import line_messages
 
 V = "v"
 
@@ -19,7 +19,7 @@ def not_synthetic(model: Column) -> Column:
     return ~model.startswith("<") & (model != "synthetic")
 
 
-def normalize_claude(raw: DataFrame, run_ts: Column) -> DataFrame:
+def normalize_claude(raw: DataFrame, run_ts: Column, blocks: DataFrame | None = None) -> DataFrame:
     assistant = (text_at(V, "$.type", "$.role") == "assistant") | (
         text_at(V, "$.message.role") == "assistant"
     )
@@ -33,18 +33,20 @@ def normalize_claude(raw: DataFrame, run_ts: Column) -> DataFrame:
         .where(not_synthetic(F.col("model")))
         .withColumn("content", F.coalesce(child(V, "$.message.content"), child(V, "$.content")))
     )
-    return messages(
+    return line_messages(
         records,
         "claude",
-        line_id(),
         file_stem(F.col("file_path"), ".jsonl"),
         parse_ts(V, ["$.timestamp", "$.message.timestamp"], run_ts),
         F.col("model"),
         flatten_content(F.col("content"), ["text"], any_content=True),
+        blocks,
     )
 
 
-def normalize_codebuddy(raw: DataFrame, session_models: DataFrame | None, run_ts: Column) -> DataFrame:
+def normalize_codebuddy(
+    raw: DataFrame, session_models: DataFrame | None, run_ts: Column, blocks: DataFrame | None = None
+) -> DataFrame:
     path = F.col("file_path")
     assistant = (text_at(V, "$.role", "$.type", "$.message.role") == "assistant") | (
         text_at(V, "$.message.role") == "assistant"
@@ -56,28 +58,28 @@ def normalize_codebuddy(raw: DataFrame, session_models: DataFrame | None, run_ts
         .withColumn("own_model", text_at(V, "$.model", "$.message.model"))
         .withColumn("content", F.coalesce(child(V, "$.content"), child(V, "$.message.content")))
     )
-    out = messages(
+    out = line_messages(
         records,
         "codebuddy",
-        line_id(),
         F.col("session_id"),
         parse_ts(V, ["$.timestamp", "$.message.timestamp"], run_ts),
         F.col("own_model"),
         flatten_content(F.col("content"), ["text", "output_text"]),
+        blocks,
     )
     return with_model(out, session_models, F.col("session_id"), fixed.FALLBACK_MODEL["codebuddy"])
 
 
-def normalize_openclaw_lines(raw: DataFrame, run_ts: Column) -> DataFrame:
+def normalize_openclaw_lines(raw: DataFrame, run_ts: Column, blocks: DataFrame | None = None) -> DataFrame:
     records = parse_lines(raw).where(text_at(V, "$.role", "$.type") == "assistant")
-    return messages(
+    return line_messages(
         records,
         "openclaw",
-        line_id(),
         file_stem(F.col("file_path"), ".jsonl"),
         parse_ts(V, ["$.timestamp"], run_ts),
         F.coalesce(text_at(V, "$.model"), F.lit(fixed.FALLBACK_MODEL["openclaw"])),
         plain_text(V),
+        blocks,
     )
 
 

@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from assentlake.operators.detect import detect, match_candidates
+from assentlake import fixed
+from assentlake.operators.detect import detect, match_candidates, resolve_overlaps
 from assentlake.sources.lexicon import Matcher, lexicon_lines, load_lexicon
 
 COMPLIANT = [
@@ -132,3 +134,52 @@ def test_case_folds_outside_ascii(spark):
     texts = spark.createDataFrame([("ЭТО ВЕРНО",), ("CAFÉ RIGHT",)], "text string")
     for pattern, n in zip(patterns, (1, 1)):
         assert texts.where(F.col("text").rlike(pattern)).count() == n
+
+
+def plain_overlaps(spans):
+    taken = []
+    for s in sorted(spans, key=lambda s: (s[2], s[0])):
+        if not any(max(s[0], k[0]) < min(s[0] + s[1], k[0] + k[1]) for k in taken):
+            taken.append(s)
+    return sorted(taken)
+
+
+def test_overlaps_of_random_spans(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        spans, size = [], rng.choice([0, 1, 2, 10, 60])
+        for rank in rng.sample(range(100), min(size, 12)):
+            # the matches of one entry stand one after another
+            at = rng.randint(0, 20)
+            for _ in range(size // 6 + 1):
+                length = rng.randint(1, 6)
+                spans.append((at, length, rank))
+                at += length + rng.choice([0, 0, 1, 5, 30])
+        rng.shuffle(spans)
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "id int, spans array<struct<start:int,length:int,rank:int>>")
+    got = {r.id: [tuple(s) for s in r.kept] for r in df.select("id", resolve_overlaps(F.col("spans")).alias("kept")).collect()}
+    for i, spans in rows:
+        assert got[i] == plain_overlaps(spans)
+
+
+@pytest.mark.parametrize("piece,per_piece", [("You're right. ", 1), ("确实，你说得对，按你说的", 3), ("you're rightyou're right", 0), ("fair point，确实你说的对", None)])
+def test_fifty_thousand_hits_in_one_message(spark, messages, matcher, piece, per_piece):
+    few = detect(messages({"text": piece * 50}), matcher).count()
+    started = time.monotonic()
+    rows = detect(messages({"text": piece * 50_000}), matcher)
+    found = rows.agg(F.count("*").alias("n"), F.max(F.length("snippet")).alias("width"), F.max("start").alias("last")).first()
+    assert time.monotonic() - started < 30
+    assert found.n == few * 1_000 and (found.n == 0 or (found.width < 300 and found.last > len(piece) * 49_000))
+
+
+def test_snippets_at_the_edges_of_chunks(spark, messages, matcher):
+    texts = ["é" * n + " fair point " + "ß\r\n" * m for n in (0, 1, 970, 1000, 1012, 1013, 1023, 1024, 2048) for m in (0, 5, 400)]
+    hits = detect(messages(*({"text": t} for t in texts)), matcher).collect()
+    assert len(hits) == len(texts)
+    for h in hits:
+        t = texts[int(h.msg_id)]
+        first, last = max(h.start - fixed.SNIPPET_BEFORE, 0), min(h.start + h.length + fixed.SNIPPET_AFTER, len(t))
+        body = re.sub(r"\r?\n+", " ", t[first:last]).strip()
+        assert h.snippet == ("..." if first else "") + body + ("..." if last < len(t) else "")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assentlake.operators.carry import carry_forward
+from assentlake.operators.similarity import sample_messages
 from assentlake.operators.payloads import parse_payloads
 from assentlake.plans.scan import load_messages
 from assentlake.sources.files import discover, parse_lines, read_lines
@@ -261,3 +262,60 @@ def test_rows_of_a_write_ahead_log_are_read(spark, tmp_path, checkpointed):
     db.rollback()
     db.close()
     assert sorted(r.text for r in rows) == sorted("x" * 50 + (str(i) if i < 299 else "-last") for i in range(300))
+
+
+def control_and_replies(n):
+    """Lines of a session log, with changes of the model at some of them."""
+    for i in range(n):
+        if i % 90 == 7:
+            yield {"type": "model_change", "model": f"m{i // 180}"}
+        elif i % 11 == 3:
+            yield {"type": "user", "text": "x" * (i % 70)}
+        else:
+            yield {"type": "message", "message": {"role": "assistant", "content": f"reply {i} model_change"}}
+
+
+def test_tables_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    """Ids, running models and the sample are the same for any size of a split."""
+    put(tmp_path / "omp/agent/sessions/long.jsonl", *control_and_replies(3_000))
+    put(tmp_path / "omp/agent/sessions/short.jsonl", *control_and_replies(5))
+    put(tmp_path / "claude/projects/p/c.jsonl", *({"type": "assistant", "message": {"model": "m", "content": f"reply {i}"}} for i in range(2_000)))
+    put(tmp_path / "codex/sessions/s.jsonl", {"type": "session_meta", "payload": {"id": "known"}}, *(
+        {"type": "turn_context", "payload": {"model": f"t{i // 50}"}} if i % 50 == 20 else {"type": "r", "role": "assistant", "content": f"c {i}"} for i in range(1_500)))
+    database(tmp_path / "codex/state_5.sqlite", "threads", "id text, model text", ("known", "of-thread"))
+    folders = {a: str(tmp_path / a) for a in ("omp", "claude", "codex")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    for size in ("128m", "40000", "9001"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            loaded = load_messages(spark, folders, now())
+            sample = sample_messages(loaded, ["omp"], 12).select("text").collect()
+            seen.append((sorted(map(str, loaded.collect())), [r.text for r in sample]))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == seen[2]
+    rows, sample = seen[0]
+    assert len(rows) == len(set(rows)) > 5_000
+    assert sample == [f"reply {i} model_change" for i in (0, 1, 2, 4, 5, 6, 8, 9, 10, 11, 12, 13)]
+    models = {r.text: r.model for r in load_messages(spark, folders, now()).where("harness = 'omp'").collect()}
+    assert models["reply 8 model_change"] == "m0" and models["reply 2999 model_change"] == "m16" and models["reply 6 model_change"] in ("omp-model", "m0")
+    codex = {r.text: r.model for r in load_messages(spark, folders, now()).where("harness = 'codex'").collect()}
+    assert codex["c 0"] == "of-thread" and codex["c 21"] == "t0" and codex["c 1499"] == "t29"
+
+
+def test_texts_stay_where_they_are_read(spark, tmp_path):
+    """The lists of changes are small, so they are broadcast and no exchange holds a text."""
+    put(tmp_path / "omp/agent/sessions/a.jsonl", *control_and_replies(100))
+    plan = load_messages(spark, {"omp": str(tmp_path / "omp")}, now())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_a_list_of_many_changes(spark):
+    rows = [(f"f{i % 3}", i // 3 // 400 * 1000, i, f"v{i // 7}" if i % 5 == 0 else None) for i in range(6_000)]
+    records = spark.createDataFrame(rows, "file_path string, block_start long, pos long, change string")
+    got = {r.pos: r.model for r in carry_forward(records, F.col("change"), F.lit("none"), "model").collect()}
+    last = {}
+    for path, _, pos, change in rows:
+        last[path] = change or last.get(path, "none")
+        assert got[pos] == last[path]
