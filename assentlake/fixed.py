@@ -67,6 +67,9 @@ UUID_PATTERN = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12
 # Directories no log scan enters.
 PRUNED_DIRS = ("node_modules", ".git", "cache", "dist", "build", ".cache")
 
+# Characters of the excerpts of messages only one matcher finds: the cosine, the lexicon.
+EXCERPT_COSINE, EXCERPT_LEXICON = 110, 100
+
 # Snippet window, in characters before and after a hit.
 SNIPPET_BEFORE = 60
 SNIPPET_AFTER = 80

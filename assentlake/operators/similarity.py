@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assentlake import fixed
+from assentlake.functions.arrays import leading
 from assentlake.functions.binding import bind, once
 from assentlake.functions.text import WHITESPACE_CLASS, strip_fences, trim_all
-from assentlake.operators.detect import with_hit_count
+from assentlake.operators.detect import with_spans
 from assentlake.sources.lexicon import Matcher
 
 
@@ -47,20 +48,34 @@ def _grams(clean: Column) -> Column:
     return F.concat(*(of_size(n) for n in fixed.NGRAM_SIZES))
 
 
+def _terms(grams: Column) -> Column:
+    """(gram, tf) of each different gram: equal ones stand together once they are sorted."""
+
+    def counted(ordered: Column) -> Column:
+        n = F.size(ordered)
+        heads = F.filter(
+            F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        )
+        return bind(
+            heads,
+            lambda at: F.transform(
+                at,
+                lambda h, k: F.struct(
+                    F.get(ordered, h).alias("gram"), (F.coalesce(F.get(at, k + 1), n) - h).cast("bigint").alias("tf")
+                ),
+            ),
+        )
+
+    return F.when(F.size(grams) > 0, bind(F.array_sort(grams), counted))
+
+
 def char_ngrams(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """(key, gram, tf): 2- and 3-grams of the lower-case text with their counts.
 
     Counts are taken inside the row, so nothing is shuffled.
     """
-    grams = once(rows, "grams", _grams(_clean(F.col(text)))).select(*key, "grams")
-    counted = F.transform(
-        F.array_distinct("grams"),
-        lambda g: F.struct(
-            g.alias("gram"),
-            (F.size("grams") - F.size(F.array_remove(F.col("grams"), g))).cast("bigint").alias("tf"),
-        ),
-    )
-    return grams.select(*key, F.inline_outer(counted)).where(F.col("gram").isNotNull())
+    terms = _terms(_grams(_clean(F.col(text))))
+    return rows.select(*key, F.inline_outer(terms)).where(F.col("gram").isNotNull())
 
 
 def _tf_weight(tf: Column) -> Column:
@@ -93,110 +108,196 @@ def tfidf_reference(phrases: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class References:
-    """Reference phrases in the form the scoring expression needs: constants of the plan."""
+    """Reference phrases as inverted lists, in the order of their grams: a constant of the plan.
+
+    Of each gram: its idf, the phrases that hold it with their weights (for vectors of length
+    one), and the greatest of these weights.
+    """
 
     phrases: tuple[str, ...]
-    idf: dict[str, float]
-    vectors: tuple[dict, ...]
+    lists: tuple[dict, ...]
 
     @classmethod
     def of(cls, spark: SparkSession, phrases: Sequence[str] = fixed.REFERENCE_PHRASES) -> References:
-        """``phrases`` is a list written by hand, so its weights fit into the query plan."""
+        """``phrases`` is a list written by hand, so its lists fit into the query plan."""
         rows = spark.createDataFrame(list(enumerate(phrases)), "ref_no int, phrase string")
-        vectors: dict[int, dict] = {}
-        idf: dict[str, float] = {}
-        for r in tfidf_reference(rows).collect():
-            vector = vectors.setdefault(r.ref_no, {"ref_no": r.ref_no, "norm": r.norm, "weights": {}})
-            vector["weights"][r.gram] = r.weight
-            idf[r.gram] = r.idf
-        return cls(tuple(phrases), idf, tuple(vectors[n] for n in sorted(vectors)))
-
-
-def _best_reference(chunk: Column, refs: References) -> Column:
-    """struct(score, ref_no) of the most similar reference phrase; ties go to the first."""
-    grams_known = F.from_json(F.lit(json.dumps(list(refs.idf), ensure_ascii=False)), "array<string>")
-    idf_known = F.from_json(F.lit(json.dumps(refs.idf, ensure_ascii=False)), "map<string,double>")
-    vectors = F.from_json(
-        F.lit(json.dumps(refs.vectors, ensure_ascii=False)),
-        "array<struct<ref_no:int,norm:double,weights:map<string,double>>>",
-    )
-    unseen = _idf(F.lit(len(refs.phrases)), F.lit(0))
+        lists: dict[str, dict] = {}
+        for r in tfidf_reference(rows).orderBy("ref_no").collect():
+            entry = lists.setdefault(r.gram, {"gram": r.gram, "idf": r.idf, "top": 0.0, "phrases": []})
+            weight = r.weight / r.norm
+            entry["phrases"].append({"ref_no": r.ref_no, "weight": weight})
+            entry["top"] = max(entry["top"], weight)
+        return cls(tuple(phrases), tuple(lists[g] for g in sorted(lists, key=str.encode)))
+
+    @property
+    def grams(self) -> Column:
+        return F.from_json(F.lit(json.dumps([e["gram"] for e in self.lists], ensure_ascii=False)), "array<string>")
+
+    @property
+    def literal(self) -> Column:
+        return F.from_json(
+            F.lit(json.dumps(self.lists, ensure_ascii=False)),
+            "array<struct<gram:string,idf:double,top:double,phrases:array<struct<ref_no:int,weight:double>>>>",
+        )
 
-    def score(grams: Column) -> Column:
-        def weight(g: Column, idf: Column) -> Column:
-            return _tf_weight(F.size(grams) - F.size(F.array_remove(grams, g))) * idf
 
-        def square_sum(of: Column, idf_of) -> Column:
-            return F.aggregate(
-                F.transform(of, lambda g: weight(g, idf_of(g))), F.lit(0.0), lambda n, w: n + w * w
-            )
+#: Digits at which scores are compared: equal ones must not depend on the order of a sum.
+SCORE_DIGITS = 9
 
-        def against(shared: Column) -> Column:
-            weights = F.transform(
-                shared, lambda g: F.struct(g.alias("g"), weight(g, F.element_at(idf_known, g)).alias("w"))
-            )
-            others = F.array_except(F.array_distinct(grams), grams_known)
-            square = square_sum(shared, lambda g: F.element_at(idf_known, g)) + square_sum(
-                others, lambda g: unseen
-            )
 
-            def compare(ws: Column, norm: Column) -> Column:
-                def dot(v: Column) -> Column:
-                    return F.aggregate(
-                        ws,
-                        F.lit(0.0),
-                        lambda n, x: n + x["w"] * F.coalesce(F.try_element_at(v["weights"], x["g"]), F.lit(0.0)),
-                    )
-
-                return F.array_max(
-                    F.transform(
-                        vectors,
-                        lambda v: F.struct(
-                            (dot(v) / (norm * v["norm"])).alias("score"), (-v["ref_no"]).alias("order")
-                        ),
-                    )
-                )
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda n, x: n + x)
 
-            return bind(weights, lambda ws: bind(F.sqrt(square), lambda norm: compare(ws, norm)))
 
-        shared = F.array_intersect(F.array_distinct(grams), grams_known)
-        return bind(shared, lambda s: F.when(F.size(s) > 0, against(s)))
+def _weighed(grams: Column, refs: References) -> Column:
+    """struct(known, norm, bound) of a chunk; NULL if it shares no gram with any phrase.
 
-    return bind(_grams(_clean(chunk)), score)
+    ``known`` are its terms that phrases hold, with their weights and lists; no score of the
+    chunk can be above ``bound``.
+    """
+    unseen = _idf(F.lit(len(refs.phrases)), F.lit(0))
 
+    def of_terms(terms: Column, shared: Column) -> Column:
+        found = F.transform(
+            F.filter(terms, lambda t: F.array_contains(shared, t["gram"])),
+            lambda t: bind(
+                F.get(refs.literal, leading(refs.literal, lambda e: e["gram"] < t["gram"])),
+                lambda e: F.struct(
+                    _tf_weight(t["tf"]).alias("tf"),
+                    (_tf_weight(t["tf"]) * e["idf"]).alias("weight"),
+                    e["top"].alias("top"),
+                    e["phrases"].alias("phrases"),
+                ),
+            ),
+        )
 
-def cosine_best(messages: DataFrame, refs: References) -> DataFrame:
-    """Add ``phrase`` and ``score``: the best reference over all chunks of each message.
+        def measured(known: Column) -> Column:
+            squares = _sum(F.transform(terms, lambda t: _tf_weight(t["tf"]) * _tf_weight(t["tf"])))
+            rest = squares - _sum(F.transform(known, lambda k: k["tf"] * k["tf"]))
+            norm = F.sqrt(rest * unseen * unseen + _sum(F.transform(known, lambda k: k["weight"] * k["weight"])))
+            most = _sum(F.transform(known, lambda k: k["weight"] * k["top"]))
+            return F.struct(known.alias("known"), norm.alias("norm"), (most / norm).alias("bound"))
 
-    One projection per message: the reference vectors are constants, nothing is shuffled.
-    """
-    best = F.array_max(
-        F.filter(
-            F.transform(
-                chunks_of(F.col("text")),
-                lambda c, i: F.transform(
-                    F.array(_best_reference(c, refs)),
-                    lambda b: F.struct(
-                        b["score"].alias("score"), (-i).alias("chunk"), b["order"].alias("order")
-                    ),
-                )[0],
+        return bind(found, measured)
+
+    shared = F.array_intersect(grams, refs.grams)
+    return bind(
+        shared, lambda both: F.when(F.size(both) > 0, bind(_terms(grams), lambda terms: of_terms(terms, both)))
+    )
+
+
+def _score(weighed: Column) -> Column:
+    """struct(score, ref_no) of the most similar phrase of a chunk; ties go to the first."""
+    products = F.flatten(
+        F.transform(
+            weighed["known"],
+            lambda k: F.transform(
+                k["phrases"], lambda p: F.struct(p["ref_no"].alias("ref_no"), (k["weight"] * p["weight"]).alias("x"))
             ),
-            lambda b: b["score"] > 0,
         )
     )
+
+    def best(ordered: Column) -> Column:
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i)["ref_no"] != F.get(ordered, i - 1)["ref_no"]),
+        )
+
+        def of_phrase(at: Column) -> Column:
+            return F.array_max(
+                F.transform(
+                    at,
+                    lambda h, k: F.struct(
+                        F.round(
+                            F.aggregate(
+                                F.slice(ordered, h + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - h),
+                                F.lit(0.0),
+                                lambda n, p: n + p["x"],
+                            )
+                            / weighed["norm"],
+                            SCORE_DIGITS,
+                        ).alias("score"),
+                        (-F.get(ordered, h)["ref_no"]).alias("order"),
+                    ),
+                )
+            )
+
+        return bind(
+            bind(heads, of_phrase),
+            lambda top: F.struct(top["score"].alias("score"), (-top["order"]).alias("ref_no")),
+        )
+
+    return bind(F.array_sort(products), best)
+
+
+def _best_of_chunks(chunks: Column, refs: References) -> Column:
+    """struct(score, ref_no) over the chunks of a message; ties go to the first chunk.
+
+    A chunk whose bound is not above the best score so far is not compared with any phrase.
+    """
+    # Rounding may lift a score above an unrounded bound.
+    slack = 10.0 ** -SCORE_DIGITS
+
+    def better(best: Column, chunk: Column) -> Column:
+        def compare(weighed: Column) -> Column:
+            hopeless = weighed.isNull() | (weighed["bound"] + F.lit(slack) < best["score"])
+            return F.when(hopeless, best).otherwise(
+                bind(_score(weighed), lambda own: F.when(own["score"] > best["score"], own).otherwise(best))
+            )
+
+        return bind(bind(_grams(_clean(chunk)), lambda grams: _weighed(grams, refs)), compare)
+
+    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("ref_no"))
+    return F.aggregate(chunks, nothing, better)
+
+
+def _spread(slim: DataFrame) -> DataFrame:
+    """The rows dealt anew: long texts arrive in few tasks, and the work on them is in the chunks."""
+    return slim.repartition(slim.sparkSession.sparkContext.defaultParallelism)
+
+
+def _scored(chunked: DataFrame, refs: References) -> DataFrame:
+    """Replace ``chunks`` by ``phrase`` and ``score``."""
     names = F.array(*(F.lit(p) for p in refs.phrases))
+    best = once(_spread(chunked), "_best", _best_of_chunks(F.col("chunks"), refs))
     return (
-        messages.withColumn("_best", best)
-        .withColumn("score", F.coalesce(F.col("_best.score"), F.lit(0.0)))
-        .withColumn("phrase", F.coalesce(F.get(names, -F.col("_best.order")), F.lit("")))
-        .drop("_best")
+        best.withColumn("score", F.col("_best.score"))
+        .withColumn("phrase", F.coalesce(F.get(names, F.col("_best.ref_no")), F.lit("")))
+        .drop("_best", "chunks")
     )
 
 
+def cosine_best(messages: DataFrame, refs: References) -> DataFrame:
+    """Replace ``text`` by ``phrase`` and ``score``: the best reference over all its chunks.
+
+    The lists of the references are constants. Only the chunks are dealt to other tasks, once.
+    """
+    return _scored(messages.withColumn("chunks", chunks_of(F.col("text"))).drop("text"), refs)
+
+
+def _excerpt(text: Column) -> Column:
+    """The beginning of a text, each run of white space as one space; the rest is not looked at."""
+    space = f"[{WHITESPACE_CLASS}]"
+    front = F.regexp_extract(text, f"(?s)^(?:{space}++|[^{WHITESPACE_CLASS}]){{0,{fixed.EXCERPT_COSINE}}}+", 0)
+    return F.regexp_replace(front, f"{space}+", " ")
+
+
 def compare_matchers(messages: DataFrame, matcher: Matcher, refs: References) -> DataFrame:
-    """(msg_id, n_hits, score, phrase): both matchers side by side."""
-    scored = cosine_best(messages.select("msg_id", "text"), refs)
-    return with_hit_count(scored, matcher)
+    """(msg_id, n_hits, score, phrase, phrases, excerpt): both matchers side by side.
+
+    ``phrases`` are the lexicon's hits in their order of rank, ``excerpt`` the beginning of the
+    text. Both matchers see each text once; only what is left of it moves.
+    """
+    spanned = with_spans(messages.select("msg_id", "text"), matcher)
+    ranked = F.array_sort(F.transform(F.coalesce("spans", F.array()), lambda s: F.struct(s["rank"], s["start"], s["phrase"])))
+    slim = spanned.select(
+        "msg_id",
+        F.coalesce(F.size("spans"), F.lit(0)).alias("n_hits"),
+        F.transform(ranked, lambda s: s["phrase"]).alias("phrases"),
+        _excerpt(F.col("text")).alias("excerpt"),
+        chunks_of(F.col("text")).alias("chunks"),
+    )
+    return _scored(slim, refs)
 
 
 def matcher_sweep(
@@ -222,7 +323,10 @@ def matcher_sweep(
 
 
 def matcher_disagreements(compared: DataFrame, threshold: float = 0.7, k: int = 12) -> DataFrame:
-    """The k best rows only cosine finds, and k rows only the lexicon finds."""
+    """The k best rows only cosine finds, and k rows only the lexicon finds, for reading.
+
+    With the score and the reference of one matcher, the phrases of the other, and an excerpt.
+    """
     only_cosine = (
         compared.where((F.col("score") >= threshold) & (F.col("n_hits") == 0))
         .orderBy(F.col("score").desc(), "msg_id")
@@ -234,5 +338,6 @@ def matcher_disagreements(compared: DataFrame, threshold: float = 0.7, k: int =
         .orderBy("msg_id")
         .limit(k)
         .withColumn("side", F.lit("dropped"))
+        .withColumn("excerpt", F.left("excerpt", F.lit(fixed.EXCERPT_LEXICON)))
     )
     return only_cosine.unionByName(dropped)

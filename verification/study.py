@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assentlake import fixed
 from assentlake.operators import similarity
+from assentlake.session import staged
 from verification.registry import query
 from verification.relations import MESSAGES, Relations
 from verification.sql import detection, text, trim
@@ -113,6 +114,11 @@ def _compared(r: Relations):
     return similarity.compare_matchers(r.messages, r.matcher, similarity.References.of(r.spark))
 
 
+def _staged(r: Relations):
+    """For a query that looks at the comparison twice."""
+    return staged(_compared(r), "compared")
+
+
 @query("cosine_best", COMPARED + "select msg_id, phrase, round(score, 6) as score from compared")
 def _(r: Relations):
     best = similarity.cosine_best(r.messages.select("msg_id", "text"), similarity.References.of(r.spark))
@@ -138,12 +144,16 @@ def _(r: Relations):
 @query(
     "matcher_disagreements",
     COMPARED
-    + """select * from (select 'cosine_only' as side, msg_id, n_hits, round(score, 6) as score, phrase from compared
+    + f""", phrased as (select msg_id, string_agg(phrase, '|' order by rank, start) as phrases from hits group by msg_id),
+         shown as (select c.msg_id, n_hits, round(score, 6) as score, c.phrase, coalesce(phrases, '') as phrases,
+             regexp_replace(text, {text(SPACES)}, ' ', 'g') as body
+           from compared c left join phrased p on p.msg_id = c.msg_id join mf on mf.msg_id = c.msg_id)
+         select * exclude (body), left(body, {fixed.EXCERPT_COSINE}) as excerpt from (select 'cosine_only' as side, * from shown
            where score >= 0.35 and n_hits = 0 order by score desc, msg_id limit 12)
          union all
-         select * from (select 'dropped' as side, msg_id, n_hits, round(score, 6) as score, phrase from compared
+         select * exclude (body), left(body, {fixed.EXCERPT_LEXICON}) from (select 'dropped' as side, * from shown
            where score < 0.35 and n_hits > 0 order by msg_id limit 12)""",
 )
 def _(r: Relations):
-    rows = similarity.matcher_disagreements(_compared(r), threshold=0.35)
-    return rows.withColumn("score", F.round("score", 6))
+    rows = similarity.matcher_disagreements(_staged(r), threshold=0.35)
+    return rows.withColumn("score", F.round("score", 6)).withColumn("phrases", F.array_join("phrases", "|"))
