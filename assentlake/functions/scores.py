@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from assentlake import fixed
-from assentlake.functions.binding import bind
 
 
 def _rate(hits: Column, messages: Column, factor: int) -> Column:
@@ -62,13 +61,9 @@ def reconcile_mdi(reported: Column, hits: Column, messages: Column) -> Column:
 
     ``reported`` is NULL when it is missing, negative or not finite.
     """
-    computed = hits.cast("double") / F.nullif(messages, F.lit(0)).cast("double") * F.lit(1000.0)
-
-    def agreeing(exact: Column) -> Column:
-        tolerance = F.greatest(exact * F.lit(0.01), F.lit(0.001))
-        return F.when(F.abs(reported - exact) <= tolerance, reported).otherwise(exact)
-
+    exact = hits.cast("double") / F.nullif(messages, F.lit(0)).cast("double") * F.lit(1000.0)
+    tolerance = F.greatest(exact * F.lit(0.01), F.lit(0.001))
+    value = F.when(F.abs(reported - exact) <= tolerance, reported).otherwise(exact)
     # floor(x + 0.5) is the half-up rule of the stored values.
-    value = bind(computed, agreeing)
     rounded = F.floor(value * F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(1000.0)
     return F.when(messages > 0, rounded).otherwise(F.lit(0.0))

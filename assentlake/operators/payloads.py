@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake import fixed
@@ -16,40 +18,84 @@ NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 ENTRY = "struct<name:string,hits:bigint,messages:bigint,mdi:double>"
 
 
-def number_at(v: Column | str, path: str) -> Column:
-    """Finite, non-negative number at the path, else NULL. Numeric text counts as a number."""
-
-    def value(sub: Column) -> Column:
-        kind = F.schema_of_variant(sub)
-        return (
-            F.when(kind == "STRING", bind(trim_all(sub.cast("string")), numeric_text))
-            .when(kind == "BOOLEAN", F.when(F.try_variant_get(sub, "$", "boolean"), 1.0).otherwise(0.0))
-            .when(kind == "VOID", F.lit(0.0))
-            .otherwise(F.try_variant_get(sub, "$", "double"))
-        )
+def _own_text(sub: Column, kind: Column) -> Column:
+    """The trimmed text of a variant that is a string."""
+    return F.when(kind == "STRING", trim_all(sub.cast("string")))
+
+
+def _value(sub: Column, kind: Column, text: Column) -> Column:
+    """A variant as a number, NULL for what is none. Numeric text counts as a number."""
+    numeric = F.when(text == "", F.lit(0.0)).when(text.rlike(NUMBER), text.try_cast("double"))
+    return (
+        F.when(kind == "STRING", numeric)
+        .when(kind == "BOOLEAN", F.when(F.try_variant_get(sub, "$", "boolean"), 1.0).otherwise(0.0))
+        .when(kind == "VOID", F.lit(0.0))
+        .otherwise(F.try_variant_get(sub, "$", "double"))
+    )
+
+
+def _usable(x: Column) -> Column:
+    return F.when((x >= 0) & (x < float("inf")), x)
+
 
-    def numeric_text(text: Column) -> Column:
-        return F.when(text == "", F.lit(0.0)).when(text.rlike(NUMBER), text.try_cast("double"))
+def _whole(x: Column) -> Column:
+    return F.floor(F.least(F.coalesce(x, F.lit(0.0)), F.lit(9.0e18))).cast("bigint")
 
-    def usable(x: Column) -> Column:
-        return F.when((x >= 0) & (x < float("inf")), x)
 
-    return bind(bind(F.try_variant_get(v, path, "variant"), value), usable)
+def number_at(v: Column | str, path: str) -> Column:
+    """Finite, non-negative number at the path, else NULL."""
+
+    def read(sub: Column) -> Column:
+        return bind(F.schema_of_variant(sub), lambda kind: bind(_own_text(sub, kind), lambda text: _value(sub, kind, text)))
+
+    return bind(bind(F.try_variant_get(v, path, "variant"), read), _usable)
 
 
 def count_at(v: Column | str, path: str) -> Column:
     """Non-negative integer at the path, 0 for anything else."""
-    return F.floor(F.least(F.coalesce(number_at(v, path), F.lit(0.0)), F.lit(9.0e18))).cast("bigint")
+    return _whole(number_at(v, path))
+
+
+def with_numbers(rows: DataFrame, *names: str) -> DataFrame:
+    """Replace variants by finite, non-negative numbers, NULL for anything else.
+
+    Step by step in plain columns: what a later step uses several times is computed once.
+    """
+    steps = (
+        lambda n: {f"_kind_{n}": F.schema_of_variant(n)},
+        lambda n: {f"_text_{n}": _own_text(F.col(n), F.col(f"_kind_{n}"))},
+        lambda n: {f"_value_{n}": _value(F.col(n), F.col(f"_kind_{n}"), F.col(f"_text_{n}"))},
+        lambda n: {n: _usable(F.col(f"_value_{n}"))},
+    )
+    for step in steps:
+        rows = rows.withColumns({k: c for n in names for k, c in step(n).items()})
+    return rows.drop(*(f"_{part}_{n}" for part in ("kind", "text", "value") for n in names))
 
 
 def name_at(v: Column | str, path: str, limit: int) -> Column:
     return F.substring(trim_all(F.coalesce(string_at(v, path), F.lit(""))), 1, limit)
 
 
-def _entries(path: str, name: str, limit: int, name_limit: int) -> Column:
+@dataclass(frozen=True)
+class Listing:
+    """Where a document lists its rows: the key, what a row calls its name, and the limits."""
+
+    key: str
+    name: str
+    limit: int
+    name_limit: int
+
+
+MODELS = Listing("modelEntries", "model", fixed.MAX_MODEL_ENTRIES, fixed.MAX_MODEL_NAME)
+HARNESSES = Listing("harnessEntries", "harness", fixed.MAX_HARNESS_ENTRIES, fixed.MAX_HARNESS_NAME)
+
+
+def _entries(listing: Listing) -> Column:
+    """The clean rows of a document as one array."""
+
     def read(e: Column) -> Column:
         return F.struct(
-            name_at(e, f"$.{name}", name_limit).alias("name"),
+            name_at(e, f"$.{listing.name}", listing.name_limit).alias("name"),
             count_at(e, "$.droolCount").alias("hits"),
             count_at(e, "$.totalMessages").alias("messages"),
             number_at(e, "$.mdi").alias("mdi"),
@@ -63,34 +109,68 @@ def _entries(path: str, name: str, limit: int, name_limit: int) -> Column:
             reconcile_mdi(e["mdi"], e["hits"], e["messages"]).alias("mdi"),
         )
 
-    head = F.slice(array_at(V, path), F.lit(1), F.lit(limit))
+    head = F.slice(array_at(V, f"$.{listing.key}"), F.lit(1), F.lit(listing.limit))
     named = F.filter(F.transform(head, read), lambda e: e["name"] != "")
     return F.coalesce(F.transform(named, checked), F.from_json(F.lit("[]"), f"array<{ENTRY}>"))
 
 
-def sanitize(parsed: DataFrame) -> DataFrame:
-    """Replace the document ``v`` by clean columns; a missing document gives an empty report."""
+def documents(raw: DataFrame, column: str = "payload_json") -> DataFrame:
+    """Add ``v``, the parsed document, NULL for what is none."""
+    return once(raw, V, _document(F.col(column)))
+
+
+def entry_rows(docs: DataFrame, listing: Listing, first_only: bool = False) -> DataFrame:
+    """The columns of ``docs`` but v, and name, hits, messages, mdi of each row a document lists.
+
+    The document is unfolded first and its numbers are read from plain columns after that. Rows
+    behind the limit and rows without a name are left out. With ``first_only`` a name that is
+    repeated in a document counts once, by its first row.
+    """
+    keys = [c for c in docs.columns if c != V]
+    listed = docs.select(*keys, F.try_variant_get(V, f"$.{listing.key}", "variant").alias("_list"))
+    if first_only:
+        names = F.transform(
+            F.slice(array_at("_list", "$"), F.lit(1), F.lit(listing.limit)),
+            lambda e: name_at(e, f"$.{listing.name}", listing.name_limit),
+        )
+        listed = listed.withColumn("_names", names)
+    rows = listed.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_list").outer()))
+    # An object has keys, an array has none.
+    rows = rows.where(F.col("key").isNull() & (F.col("pos") < listing.limit)).select(
+        *(c for c in listed.columns if c != "_list"),
+        "pos",
+        name_at("value", f"$.{listing.name}", listing.name_limit).alias("name"),
+        *(F.try_variant_get("value", f"$.{n}", "variant").alias(n) for n in ("droolCount", "totalMessages", "mdi")),
+    )
+    if first_only:
+        rows = rows.where(F.array_position("_names", F.col("name")) == F.col("pos") + 1)
+    numbers = ("droolCount", "totalMessages", "mdi")
+    counted = with_numbers(rows.where(F.col("name") != "").select(*keys, "name", *numbers), *numbers).select(
+        *keys, "name", _whole(F.col("droolCount")).alias("hits"), _whole(F.col("totalMessages")).alias("messages"), "mdi"
+    )
+    return counted.withColumn("mdi", reconcile_mdi(F.col("mdi"), F.col("hits"), F.col("messages")))
+
+
+def sanitize(parsed: DataFrame, keep: bool = False) -> DataFrame:
+    """Replace the document ``v`` by clean columns; a missing document gives an empty report.
+
+    With ``keep`` the document stays, for the rows it lists.
+    """
     counted = (
         parsed.withColumn("hits", count_at(V, "$.droolCount"))
         .withColumn("messages", count_at(V, "$.assistantMessages"))
         .withColumn("mdi", number_at(V, "$.mdi"))
     )
-    return (
+    clean = (
         counted.withColumn("version", name_at(V, "$.version", fixed.MAX_VERSION))
         .withColumn("mdi", reconcile_mdi(F.col("mdi"), F.col("hits"), F.col("messages")))
         .withColumn("sessions_scanned", count_at(V, "$.sessionsScanned"))
         .withColumn("generated_at", count_at(V, "$.generatedAt"))
-        .withColumn(
-            "model_entries",
-            _entries("$.modelEntries", "model", fixed.MAX_MODEL_ENTRIES, fixed.MAX_MODEL_NAME),
-        )
-        .withColumn(
-            "harness_entries",
-            _entries("$.harnessEntries", "harness", fixed.MAX_HARNESS_ENTRIES, fixed.MAX_HARNESS_NAME),
-        )
+        .withColumn("model_entries", _entries(MODELS))
+        .withColumn("harness_entries", _entries(HARNESSES))
         .withColumn("model_count", F.size("model_entries"))
-        .drop("v")
     )
+    return clean if keep else clean.drop(V)
 
 
 def _document(text: Column) -> Column:
@@ -100,13 +180,12 @@ def _document(text: Column) -> Column:
 
 def parse_payloads(raw: DataFrame, column: str = "payload_json") -> DataFrame:
     """Add ``accepted`` and the clean columns; rejected rows keep their raw text."""
-    parsed = once(raw, "v", _document(F.col(column)))
-    return sanitize(parsed.withColumn("accepted", F.col("v").isNotNull()))
+    return sanitize(documents(raw, column).withColumn("accepted", F.col(V).isNotNull()))
 
 
 def stored_payloads(stored: DataFrame, column: str = "payload_json") -> DataFrame:
     """Payloads read back from history; a damaged one becomes an empty report."""
-    return sanitize(once(stored, "v", _document(F.col(column))))
+    return sanitize(documents(stored, column))
 
 
 def _entry_json(entries: Column, name: str) -> Column:
@@ -171,23 +250,9 @@ def build_payload(
     return one_row.select(payload_json().alias("payload_json"))
 
 
-def unique_entries(entries: Column) -> Column:
-    """The first entry of every name: (submission, name) identifies a child row."""
-    names = F.transform(entries, lambda e: e["name"])
-    return F.filter(entries, lambda e, i: F.array_position(names, e["name"]) == i + 1)
-
-
-def explode_entries(parsed: DataFrame, entries: str, name: str) -> DataFrame:
-    """Child rows (submission_id, user_id, name, hits, messages, mdi, created_at)."""
-    return parsed.select(
-        "submission_id", "user_id", "created_at", F.explode_outer(unique_entries(F.col(entries))).alias("e")
-    ).where(F.col("e").isNotNull()).select(
-        "submission_id",
-        "user_id",
-        F.col("e.name").alias(name),
-        F.col("e.hits").alias("hits"),
-        F.col("e.messages").alias("messages"),
-        F.col("e.mdi").alias("mdi"),
-        "created_at",
+def explode_entries(docs: DataFrame, listing: Listing) -> DataFrame:
+    """Child rows (submission_id, user_id, name, hits, messages, mdi, created_at) of parsed documents."""
+    rows = entry_rows(docs.select("submission_id", "user_id", "created_at", V), listing, first_only=True)
+    return rows.select(
+        "submission_id", "user_id", F.col("name").alias(listing.name), "hits", "messages", "mdi", "created_at"
     )
-

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assentlake.operators.payloads import explode_entries, parse_payloads, payload_json
+from assentlake.operators.payloads import HARNESSES, MODELS, documents, explode_entries, payload_json, sanitize
 from assentlake.session import staged
 
 USER_COLUMNS = ("user_id", "login", "display_name", "avatar_url", "profile_url")
@@ -61,7 +61,7 @@ def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = F
     Without ``old`` the tables hold this batch only. With ``stage`` the parsed submissions
     are written once, for the tables that all read them.
     """
-    parsed = parse_payloads(raw)
+    parsed = sanitize(documents(raw).withColumn("accepted", F.col("v").isNotNull()), keep=True)
     if stage:
         parsed = staged(parsed, "submissions")
     accepted = parsed.where("accepted").withColumn("payload_json", payload_json())
@@ -82,8 +82,8 @@ def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = F
     batch = Tables(
         entries=entries,
         submissions=history,
-        models=explode_entries(accepted, "model_entries", "model"),
-        harnesses=explode_entries(accepted, "harness_entries", "harness"),
+        models=explode_entries(parsed, MODELS),
+        harnesses=explode_entries(parsed, HARNESSES),
         rejected=parsed.where(~F.col("accepted")).select(*raw.columns),
     )
     if old is None:

@@ -115,3 +115,21 @@ def test_empty_tables(spark):
     assert boards.prior(tables.entries).first().rate == 0.0
     assert boards.board_summary(tables.entries).first().average_mdi == 0.0
     assert tables.entries.where(F.col("hits") > 0).count() == 0
+
+
+def test_listed_rows_of_untidy_documents(spark):
+    entry = {"model": " a ", "droolCount": "3", "totalMessages": 10.9, "mdi": "300"}
+    lists = [
+        [entry, {"model": "a", "droolCount": 9}, {"model": "b", "droolCount": True, "totalMessages": 4}, 5, None, [], {"model": ""}, {"droolCount": 1}],
+        {"model": "object"}, "text", None, [], [{"model": "n" * 130}, {"model": "n" * 125}],
+        [{"model": f"m{i % 510}", "droolCount": i} for i in range(700)],
+    ]
+    rows = [(i, i, f"u{i}", datetime(2026, 1, 1), json.dumps({"modelEntries": x})) for i, x in enumerate(lists)] + [(90, 1, "u", None, "[]"), (91, 1, "u", None, None)]
+    df = spark.createDataFrame(rows, "submission_id long, user_id long, login string, created_at timestamp, payload_json string")
+    docs = payloads.documents(df)
+    arrays = payloads.parse_payloads(df).select("submission_id", F.inline("model_entries")).collect()
+    got = payloads.entry_rows(docs.select("submission_id", "v"), payloads.MODELS).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, arrays)) and len(got) == 3 + 2 + 500
+    children = payloads.explode_entries(docs, payloads.MODELS).collect()
+    assert sorted((r.model, r.hits, r.messages, r.mdi) for r in children if r.submission_id == 0) == [("a", 3, 10, 300.0), ("b", 1, 4, 250.0)]
+    assert sum(r.submission_id == 5 for r in children) == 1 and sum(r.submission_id == 6 for r in children) == 500

@@ -227,9 +227,9 @@ def _(r: Relations):
 
 @query("payload_entries", f"select submission_id, model, hits, messages, mdi from ({CLEAN_MODELS}) c")
 def _(r: Relations):
-    parsed = payloads.parse_payloads(r.raw_payloads).where("accepted")
-    rows = parsed.select("submission_id", F.inline_outer("model_entries")).where(F.col("name").isNotNull())
-    return rows.withColumnRenamed("name", "model")
+    docs = payloads.documents(r.raw_payloads.select("submission_id", "payload_json"))
+    rows = payloads.entry_rows(docs, payloads.MODELS)
+    return rows.select("submission_id", F.col("name").alias("model"), "hits", "messages", "mdi")
 
 
 @query(
