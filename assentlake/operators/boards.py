@@ -7,11 +7,15 @@ partitioning.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assentlake import fixed
+from assentlake.functions.arrays import leading
 from assentlake.functions.scores import classify_level, shrunk_score
 from assentlake.operators.payloads import stored_payloads
+from assentlake.session import staged
 
 
 def prior(rows: DataFrame) -> DataFrame:
@@ -49,8 +53,9 @@ def join_latest_submission(children: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def join_entry_dim(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows with the login of their user; rows of users without an entry are dropped."""
-    return rows.join(entries.select("user_id", "login"), "user_id")
+    """Rows with what a board shows of their user; rows of users without an entry are dropped."""
+    shown = [c for c in ("login", "display_name", "avatar_url") if c in entries.columns]
+    return rows.join(entries.select("user_id", *shown), "user_id")
 
 
 def people_order() -> tuple[Column, ...]:
@@ -115,7 +120,8 @@ def board_models(
 
 def group_panels(board: DataFrame) -> DataFrame:
     """model and its rows in rank order; a board holds a bounded number of rows per model."""
-    row = F.struct("rank", "login", "hits", "messages", "score")
+    columns = ("rank", "login", "display_name", "avatar_url", "hits", "messages", "mdi", "score")
+    row = F.struct(*(c for c in columns if c in board.columns))
     return board.groupBy("model").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
@@ -151,52 +157,80 @@ def hottest(
     return scored.orderBy(F.col("score").desc(), F.col("hits").desc(), F.col(name).asc()).limit(limit)
 
 
-def _of_user(rows: DataFrame, login: str | None, user_id: int | None) -> DataFrame:
-    if login is not None:
-        return rows.where(F.lower("login") == login.lower())
-    return rows.where(F.col("user_id") == user_id)
+#: Ranges of an order table, about equal in size.
+RANGES = 64
 
 
-def profile(
-    entries: DataFrame, submissions: DataFrame, login: str | None = None, user_id: int | None = None
-) -> DataFrame:
+@dataclass(frozen=True)
+class OrderTable:
+    """Scored entries in folders by range of score, and the exact number of users of each range.
+
+    Built once, it answers the rank of any user from the counts and one folder.
+    """
+
+    rows: DataFrame
+    counts: DataFrame
+
+    @classmethod
+    def of(cls, entries: DataFrame) -> OrderTable:
+        scored = cross_prior(entries, prior(entries))
+        # Approximate bounds do: ranges need not be equal, and the counts are exact.
+        shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+        bounds = scored.agg(F.percentile_approx("score", shares).alias("_bounds"))
+        # A single row.
+        ranged = scored.crossJoin(F.broadcast(bounds)).withColumn(
+            "range", leading(F.col("_bounds"), lambda b: b <= F.col("score"))
+        )
+        rows = staged(ranged.drop("_bounds"), "scored", by="range")
+        return cls(rows, staged(rows.groupBy("range").agg(F.count("*").alias("users")), "ranges"))
+
+    def rank(self, person: DataFrame) -> DataFrame:
+        """One row: the place of ``person``, a single row of the table, among all users."""
+        keys = (-F.col("score"), -F.col("hits"), -F.col("messages"), F.col("updated_at"), F.col("user_id"))
+        mine = F.broadcast(person.select(F.col("range").alias("_range"), F.struct(*keys).alias("_mine")))
+        above = self.counts.crossJoin(mine).where(F.col("range") > F.col("_range"))
+        beside = self.rows.join(mine, F.col("range") == F.col("_range")).where(F.struct(*keys) < F.col("_mine"))
+        before = above.select("users").unionByName(beside.select(F.lit(1).cast("bigint").alias("users")))
+        return before.agg((F.coalesce(F.sum("users"), F.lit(0)) + 1).alias("rank"))
+
+
+def _of_user(rows: DataFrame, who: DataFrame) -> DataFrame:
+    """The rows of the user that ``who`` names, a table of one row with a login or a user_id."""
+    one = F.broadcast(who.limit(1))
+    if "user_id" in who.columns:
+        return rows.join(one.select("user_id"), "user_id", "left_semi")
+    asked = one.select(F.lower("login").alias("_login"))
+    return rows.join(asked, F.lower("login") == F.col("_login"), "left_semi")
+
+
+def profile(entries: DataFrame, submissions: DataFrame, who: DataFrame, table: OrderTable | None = None) -> DataFrame:
     """One user's entry with rank over everybody, and their latest submission.
 
-    The rank is the number of users ahead plus one. Counting them needs no sort of the
-    whole table and no task that sees all of it.
+    ``who`` has one row, a login (in any case) or a user_id. The rank is the number of users
+    ahead plus one: counts of the ranges above, and one range that is looked into.
     """
-    scored = cross_prior(entries, prior(entries))
-    # A single row: the person asked for.
-    person = F.broadcast(_of_user(scored, login, user_id).orderBy(*people_order()).limit(1))
-    mine = person.select(
-        F.struct(
-            -F.col("score"), -F.col("hits"), -F.col("messages"), F.col("updated_at"), F.col("user_id")
-        ).alias("_mine")
-    )
-    theirs = F.struct(
-        -F.col("score"), -F.col("hits"), -F.col("messages"), F.col("updated_at"), F.col("user_id")
-    )
-    rank = (
-        scored.crossJoin(mine).where(theirs < F.col("_mine")).agg((F.count("*") + 1).alias("rank"))
-    )
-    latest = latest_payload(submissions.join(person.select("user_id"), "user_id", "left_semi"))
+    table = table or OrderTable.of(entries)
+    person = _of_user(table.rows, who).orderBy(*people_order()).limit(1)
+    latest = latest_payload(submissions, person.select("user_id"))
     return (
-        person.crossJoin(F.broadcast(rank))
+        # Single rows.
+        person.crossJoin(F.broadcast(table.rank(person)))
         .join(F.broadcast(latest), "user_id", "left")
         .withColumn("submitted_at", F.coalesce("submitted_at", "updated_at"))
+        .drop("range")
     )
 
 
-def viewer_entry(entries: DataFrame, user_id: int) -> DataFrame:
-    """One user's entry with score, without rank."""
-    return cross_prior(entries, prior(entries)).where(F.col("user_id") == user_id)
+def viewer_entry(entries: DataFrame, who: DataFrame) -> DataFrame:
+    """One user's entry with score, without rank; ``who`` as for a profile."""
+    return cross_prior(_of_user(entries, who), prior(entries))
 
 
-def latest_payload(submissions: DataFrame, user_id: int | None = None) -> DataFrame:
+def latest_payload(submissions: DataFrame, who: DataFrame) -> DataFrame:
     """The stored payload of the latest submission of one user, as (user_id, payload_json, submitted_at)."""
-    rows = submissions if user_id is None else submissions.where(F.col("user_id") == user_id)
     return (
-        rows.orderBy(F.col("created_at").desc(), F.col("submission_id").desc())
+        _of_user(submissions, who.select("user_id"))
+        .orderBy(F.col("created_at").desc(), F.col("submission_id").desc())
         .limit(1)
         .select("user_id", "payload_json", F.col("created_at").alias("submitted_at"))
     )

@@ -80,13 +80,14 @@ def release(spark: SparkSession) -> None:
         _remove(spark, _run_folders.pop(key))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; with ``by``, in a folder for each value.
 
     For results that several later steps read: they are computed once, survive the loss of
     executors, and stay columnar, so that each reader loads only the columns it needs.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,27 @@ def raw(spark, *rows):
     )
 
 
+def asked(spark, **who):
+    ((name, value),) = who.items()
+    return spark.createDataFrame([(value,)], f"{name} {'string' if name == 'login' else 'long'}")
+
+
+def test_ranks_from_counts_of_ranges(spark):
+    """Many equal scores, ranges of one value, and every user's rank from one table."""
+    rng = random.Random(9)
+    people = [(u, f"U{u}", rng.choice([0, 0, 0, 1, 5, rng.randint(0, 40)]), rng.choice([10, 100]), datetime(2026, 1, 1 + u % 3)) for u in range(300)]
+    entries = spark.createDataFrame(people, "user_id long, login string, hits long, messages long, updated_at timestamp")
+    history = spark.createDataFrame([], "submission_id long, user_id long, payload_json string, created_at timestamp")
+    table = boards.OrderTable.of(entries)
+    assert sum(r.users for r in table.counts.collect()) == 300
+    board = {r.user_id: r["rank"] for r in boards.board_people(entries, 300).collect()}
+    for user in rng.sample(range(300), 6):
+        row = boards.profile(entries, history, asked(spark, user_id=user), table).first()
+        assert row["rank"] == board[user] and row.payload_json is None
+    nobody = boards.OrderTable.of(entries.limit(0))
+    assert boards.profile(entries.limit(0), history, asked(spark, user_id=1), nobody).count() == 0
+
+
 def test_untidy_payloads(spark):
     cases = [
         (report("12", 100), (12, 100, 120.0)),
@@ -90,11 +111,11 @@ def test_boards(spark):
     board = boards.board_people(tables.entries, 10).orderBy("rank").collect()
     assert [r.user_id for r in board] == [p[0] for p in order[:10]]
     for at in (0, 7, len(order) - 1):
-        row = boards.profile(tables.entries, tables.submissions, login=f"USER{order[at][0]}").first()
+        row = boards.profile(tables.entries, tables.submissions, asked(spark, login=f"USER{order[at][0]}")).first()
         assert row["rank"] == at + 1 and row.user_id == order[at][0]
         assert json.loads(row.payload_json)["droolCount"] == order[at][1]
-    assert boards.profile(tables.entries, tables.submissions, user_id=order[2][0]).first()["rank"] == 3
-    assert boards.profile(tables.entries, tables.submissions, login="nobody").count() == 0
+    assert boards.profile(tables.entries, tables.submissions, asked(spark, user_id=order[2][0])).first()["rank"] == 3
+    assert boards.profile(tables.entries, tables.submissions, asked(spark, login="nobody")).count() == 0
 
     children = [(m["model"], u, m["droolCount"], m["totalMessages"]) for u, (_, _, p) in latest.items() for m in p["modelEntries"]]
     rate = sum(c[2] for c in children) / sum(c[3] for c in children)

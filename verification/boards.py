@@ -39,7 +39,7 @@ NOW_MODELS = current(SUBMISSION_MODELS)
 SCORED_PEOPLE = scored_sql(ENTRIES, ENTRIES)
 PEOPLE = f"select *, row_number() over (order by score desc, hits desc, messages desc, updated_at, user_id) as rank from ({SCORED_PEOPLE}) s"
 SCORED_MODELS = scored_sql(
-    f"select m.*, login from ({NOW_MODELS}) m join (select user_id, login from ({ENTRIES}) e) e using (user_id)", NOW_MODELS
+    f"select m.*, login, display_name, avatar_url from ({NOW_MODELS}) m join (select user_id, login, display_name, avatar_url from ({ENTRIES}) e) e using (user_id)", NOW_MODELS
 )
 BEST = f"""select * exclude (n) from (select *, row_number() over (partition by model, user_id
   order by score desc, hits desc, messages desc, created_at, submission_id) as n from ({SCORED_MODELS}) b) b where n = 1"""
@@ -90,12 +90,11 @@ def _(r: Relations):
 
 @query(
     "join_entry_dim",
-    f"""select submission_id, model, login from ({SUBMISSION_MODELS}) m
-        join (select user_id, login from ({ENTRIES}) e where user_id % 3 <> 0) e using (user_id)""",
+    f"""select submission_id, model, login, display_name, avatar_url from ({SUBMISSION_MODELS}) m
+        join (select user_id, login, display_name, avatar_url from ({ENTRIES}) e) e using (user_id)""",
 )
 def _(r: Relations):
-    some = r.entries.where(F.col("user_id") % 3 != 0)
-    return boards.join_entry_dim(r.models, some).select("submission_id", "model", "login")
+    return boards.join_entry_dim(r.models, r.entries).select("submission_id", "model", "login", "display_name", "avatar_url")
 
 
 @query("cross_prior", f"select submission_id, model, round(score, 6) as score from ({scored_sql(SUBMISSION_MODELS, SUBMISSION_MODELS)}) x")
@@ -152,20 +151,29 @@ def _(r: Relations):
     return boards.rank_within_model(named, 10).select("model", "user_id", "submission_id", "rank")
 
 
-@query("board_models", f"select model, rank, login, hits, messages, round(score, 6) as score from ({RANKED}) x where rank <= 20")
+@query("board_models", f"select model, rank, login, display_name, avatar_url, hits, messages, mdi, round(score, 6) as score from ({RANKED}) x where rank <= 20")
 def _(r: Relations):
     board = boards.board_models(r.models, r.submissions, r.entries)
-    return rounded(board, "score").select("model", "rank", "login", "hits", "messages", "score")
+    return rounded(board, "score").select(
+        "model", "rank", "login", "display_name", "avatar_url", "hits", "messages", "mdi", "score"
+    )
 
 
 @query(
     "group_panels",
-    f"""select model, string_agg(concat(cast(rank as varchar(9)), ':', login), ',' order by rank) as panel
+    f"""select model, string_agg(concat_ws(':', cast(rank as varchar(9)), login, display_name, avatar_url, cast(hits as varchar(20)),
+            cast(cast(round(mdi * 1000) as bigint) as varchar(20))), ',' order by rank) as panel
         from ({RANKED}) x where rank <= 10 group by 1""",
 )
 def _(r: Relations):
     panels = boards.group_panels(boards.board_models(r.models, r.submissions, r.entries, 10))
-    lines = F.transform("rows", lambda row: F.concat_ws(":", row["rank"].cast("string"), row["login"]))
+    lines = F.transform(
+        "rows",
+        lambda row: F.concat_ws(
+            ":", row["rank"], row["login"], row["display_name"], row["avatar_url"], row["hits"],
+            F.round(row["mdi"] * 1000).cast("bigint"),
+        ),
+    )
     return panels.select("model", F.array_join(lines, ",").alias("panel"))
 
 
@@ -203,14 +211,22 @@ from ({SUBMISSION_MODELS}) sm where {KIND} not in (4, 5, 8) and not ({KIND} = 2
 
 @query(
     "payload_parse",
-    f"""select user_id, cast(sum(case when {KIND} in (4, 5, 8) then 0 else 1 end) as bigint) as accepted,
-          cast(sum(case when {KIND} in (4, 5, 8) then 1 else 0 end) as bigint) as rejected
-        from ({SUBMISSION_TOTALS}) t group by 1""",
+    f"""select t.submission_id, case when c.submission_id is null then 0 else 1 end as accepted, coalesce(c.hits, 0) as hits,
+          coalesce(c.messages, 0) as messages, coalesce(c.mdi, 0.0) as mdi, coalesce(c.version, '') as version,
+          coalesce(names, '') as names
+        from ({SUBMISSION_TOTALS}) t left join ({CLEAN}) c on c.submission_id = t.submission_id
+        left join (select submission_id, string_agg(concat_ws(':', model, cast(hits as varchar(20)), cast(messages as varchar(20))), ',' order by model, hits, messages) as names
+                   from ({CLEAN_MODELS}) m group by 1) m on m.submission_id = t.submission_id""",
 )
 def _(r: Relations):
     parsed = payloads.parse_payloads(r.raw_payloads)
-    return parsed.groupBy("user_id").agg(
-        F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected")
+    ordered = F.transform(
+        F.array_sort(F.transform("model_entries", lambda e: F.struct(e["name"], e["hits"], e["messages"]))),
+        lambda e: F.concat_ws(":", e["name"], e["hits"], e["messages"]),
+    )
+    return parsed.select(
+        "submission_id", F.col("accepted").cast("int").alias("accepted"), "hits", "messages", "mdi", "version",
+        F.array_join(ordered, ",").alias("names"),
     )
 
 
@@ -356,11 +372,6 @@ def _(r: Relations):
     return out.select("submission_id", "user_id", "harness", "hits", "messages", "mdi")
 
 
-def _stored(r: Relations):
-    """Submissions with a stored payload."""
-    return r.raw_payloads
-
-
 @query(
     "profile",
     f"""select rank, user_id, login, hits, messages, round(score, 6) as score, t.submission_id % 11 as kind,
@@ -372,9 +383,9 @@ def _stored(r: Relations):
 )
 def _(r: Relations):
     # The login asked for is a value of the data; two engines must agree on which one.
-    login = r.entries.agg(F.max("login")).first()[0]
+    who = r.entries.agg(F.upper(F.max("login")).alias("login"))
     history = r.raw_payloads.withColumn("payload_json", (F.col("submission_id") % 11).cast("string"))
-    row = boards.profile(r.entries, history, login=login.upper())
+    row = boards.profile(r.entries, history, who)
     return rounded(ntz(row, "submitted_at"), "score").select(
         "rank", "user_id", "login", "hits", "messages", "score",
         F.col("payload_json").cast("int").alias("kind"), "submitted_at",
@@ -387,7 +398,7 @@ def _(r: Relations):
         join (select *, row_number() over ({BY_NEWEST}) as n from ({SUBMISSION_TOTALS}) s) t using (user_id) where n = 1""",
 )
 def _(r: Relations):
-    joined = boards.join_profile_payload(r.entries, _stored(r))
+    joined = boards.join_profile_payload(r.entries, r.raw_payloads)
     return ntz(joined, "submitted_at").select("user_id", "submission_id", "submitted_at")
 
 
@@ -396,8 +407,8 @@ def _(r: Relations):
     f"select user_id, login, hits, messages, round(score, 6) as score from ({SCORED_PEOPLE}) s where user_id = (select max(user_id) from ({ENTRIES}) e)",
 )
 def _(r: Relations):
-    user = r.entries.agg(F.max("user_id")).first()[0]
-    return rounded(boards.viewer_entry(r.entries, user), "score").select("user_id", "login", "hits", "messages", "score")
+    who = r.entries.agg(F.max("user_id").alias("user_id"))
+    return rounded(boards.viewer_entry(r.entries, who), "score").select("user_id", "login", "hits", "messages", "score")
 
 
 @query(
@@ -409,8 +420,8 @@ def _(r: Relations):
          left join (select submission_id, hits, model_count from ({CLEAN}) c) c using (submission_id)) x""",
 )
 def _(r: Relations):
-    user = r.entries.agg(F.max("user_id")).first()[0]
-    stored = payloads.stored_payloads(boards.latest_payload(r.raw_payloads, user))
+    who = r.entries.agg(F.max("user_id").alias("user_id"))
+    stored = payloads.stored_payloads(boards.latest_payload(r.raw_payloads, who))
     return ntz(stored, "submitted_at").select("user_id", "submitted_at", "hits", "model_count")
 
 
@@ -421,5 +432,5 @@ def _(r: Relations):
           from ({SUBMISSION_TOTALS}) s) t where n = 1)""",
 )
 def _(r: Relations):
-    return boards.profile_models(boards.join_profile_payload(r.entries, _stored(r)))
+    return boards.profile_models(boards.join_profile_payload(r.entries, r.raw_payloads))
 

@@ -50,6 +50,8 @@ SUBMISSION_MODELS = """
 select l_orderkey as submission_id, o_custkey as user_id, p_brand as model,
   cast(sum(cast(l_quantity as bigint) % 7) as bigint) as hits,
   cast(sum(cast(floor(l_extendedprice / 100) as bigint)) as bigint) as messages,
+  floor(cast(sum(cast(l_quantity as bigint) % 7) as double) * 1000
+    / cast(sum(cast(floor(l_extendedprice / 100) as bigint)) as double) * 1000 + 0.5) / 1000 as mdi,
   min(o_orderdate) as created_at
 from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
 group by l_orderkey, o_custkey, p_brand
@@ -64,7 +66,8 @@ from ({SUBMISSION_MODELS}) sm group by submission_id, user_id, created_at
 """
 
 ENTRIES = f"""
-select user_id, c_name as login, hits, messages,
+select user_id, c_name as login, concat('Member ', cast(user_id as varchar(20))) as display_name,
+  concat('https://example.org/', c_mktsegment, '/', cast(user_id as varchar(20)), '.png') as avatar_url, hits, messages,
   case when messages > 0 then floor(cast(hits as double) * 1000 / messages * 1000 + 0.5) / 1000 else 0.0 end as mdi,
   model_count, created_at as updated_at
 from (select st.*, row_number() over (partition by user_id order by created_at desc, submission_id desc) as n
