@@ -3,8 +3,8 @@
 Documents and the gaps of the sequences are sorted together by ranges, largest first. One sweep
 over that order gives every document the smallest gap that is left for it: gaps are put on a
 stack and documents take from it. The sweep is distributed. The height of the stack at each
-size follows from the counts of gaps and documents of each size (no more rows than a sequence
-has tokens); a rank inside the size turns it into the level at which a row puts or takes; and
+size follows from the numbers of gaps and documents of each size (no more of them than a
+sequence has tokens, so the driver does this part); a rank inside the size turns it into the level at which a row puts or takes; and
 the rows of one level alternate, so that a window over a level finds the gap of each document.
 Documents of equal size that want the same gaps are told apart by their ranks alone. Then the
 gaps are updated and the next round starts, until every document has a place.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assentlake.llm.common import slices
-from assentlake.session import staged
+from assentlake.session import shared_folder, staged
 
 CAPACITY = 4096
 END_OF_TEXT = 1
@@ -131,11 +131,37 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _sweep(docs: DataFrame, slots: DataFrame) -> DataFrame:
-    """(id, length, sequence_id) of every document; the sequence is null where no slot is left.
+def _levels(runs: list, docs: dict[int, int], slots: dict[int, int]) -> tuple[list[tuple], dict[int, int]]:
+    """Where the rows of each run stand on the stack, and how many documents of a size get no slot.
 
-    ``docs`` has id and length, ``slots`` has sequence_id, slot and length. Every document gets
-    the smallest slot that larger ones have left, each slot at most one document.
+    ``runs`` are the rows (length, kind, range, n, first) of the sorted events, ``docs`` and
+    ``slots`` their numbers by size. Of a run: (length, kind, range, first, base); its i-th slot
+    stands at level base + i, its i-th document takes from level base - i.
+    """
+    heights, left = {}, {}
+    height = 0
+    for size in sorted(docs.keys() | slots.keys(), reverse=True):
+        heights[size] = height
+        offered, wanted = height + slots.get(size, 0), docs.get(size, 0)
+        height = max(0, offered - wanted)
+        if wanted > offered:
+            left[size] = wanted - offered
+    out, before = [], {}
+    for length, kind, part, n, first in sorted(runs):
+        rank = before.get((length, kind), 0)
+        before[length, kind] = rank + n
+        base = heights[length] + (slots.get(length, 0) - rank if kind else rank + 1)
+        out.append((length, kind, part, first, base))
+    return out, left
+
+
+def _sweep(docs: DataFrame, slots: DataFrame, by_size: tuple[dict[int, int], dict[int, int]]) -> tuple[DataFrame, dict[int, int]]:
+    """(id, length, sequence_id) of every document, the sequence null where no slot is left, and
+    the number of such documents by size.
+
+    ``docs`` has id and length, ``slots`` has sequence_id, slot and length; ``by_size`` are
+    their numbers. Every document gets the smallest slot that larger ones have left, each slot
+    at most one document.
     """
     events = docs.select("id", F.lit(0).alias("slot"), "length", F.lit(1).alias("kind")).unionByName(
         slots.select(F.col("sequence_id").alias("id"), "slot", "length", F.lit(0).alias("kind"))
@@ -149,92 +175,97 @@ def _sweep(docs: DataFrame, slots: DataFrame) -> DataFrame:
         ),
         "sweep",
     )
-    # A row for each range and size: small, whatever the number of documents.
-    runs = placed.groupBy("length", "kind", "range").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("length", "kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    # A row for each size, at most as many as the capacity.
-    sizes = placed.groupBy("length").agg(
-        F.sum(1 - F.col("kind")).alias("puts"), F.sum("kind").alias("takes")
-    )
-    down = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.orderBy(F.col("length").desc())
-    sizes = (
-        sizes.withColumn("sum", F.sum(F.col("puts") - F.col("takes")).over(down))
-        .withColumn("low", F.least(F.lit(0), F.min("sum").over(down)))
-        .withColumn("height", F.coalesce(F.lag(F.col("sum") - F.col("low")).over(above), F.lit(0)))
-        .select("length", "puts", "height")
-    )
-    ranks = runs.join(sizes, "length").select("length", "kind", "range", "first", "before", "puts", "height")
-    rank = F.col("before") + F.col("place") - F.col("first")
-    leveled = placed.join(ranks, ["length", "kind", "range"]).withColumn(
-        "level",
-        F.when(F.col("kind") == 0, F.col("height") + rank + 1).otherwise(F.col("height") + F.col("puts") - rank),
+    # Sizes and ranges are both sorted, so there is a row for each size and kind, and one more
+    # for each range at most, whatever the number of documents.
+    runs = placed.groupBy("length", "kind", "range").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
+    bases, left = _levels([tuple(r) for r in runs], *by_size)
+    table = docs.sparkSession.createDataFrame(bases, "length long, kind int, range int, first long, base long")
+    step = F.col("place") - F.col("first")
+    leveled = placed.join(F.broadcast(table), ["length", "kind", "range"]).withColumn(
+        "level", F.col("base") + F.when(F.col("kind") == 0, step).otherwise(-step)
     )
     turn = Window.partitionBy("level").orderBy(F.col("length").desc(), "kind")
     taken = F.lag(F.when(F.col("kind") == 0, F.col("id"))).over(turn)
     # Below the first level the stack is empty; these rows need no window of their own.
     waiting = leveled.where((F.col("level") < 1) & (F.col("kind") == 1)).select("id", "length", F.lit(None).cast("long").alias("sequence_id"))
     served = leveled.where(F.col("level") >= 1).withColumn("sequence_id", taken).where(F.col("kind") == 1)
-    return served.select("id", "length", "sequence_id").unionByName(waiting)
+    return served.select("id", "length", "sequence_id").unionByName(waiting), left
+
+
+def _offers(rooms: dict[int, int], largest: int, smallest: int, most: int) -> dict[int, int]:
+    """How many slots a gap of each size offers: several, if the largest document fits often."""
+    return {free: min(most, max(1, free // largest)) for free in rooms if free >= smallest}
 
 
-def _slots(gaps: DataFrame, largest: int, smallest: int, most: int) -> DataFrame:
-    """The slots of gaps that can hold the smallest document: several, if the largest fits often."""
-    n = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("free") / largest))).cast("int")
+def _slots(gaps: DataFrame, offers: dict[int, int]) -> DataFrame:
+    """(sequence_id, slot, length) of all slots of the gaps."""
+    # A row for each size of a gap. As a table and not as constants, so that every round has
+    # the same generated code, and the driver does not compile it anew.
+    each = gaps.sparkSession.createDataFrame(sorted(offers.items()), "free long, n int")
     return (
-        gaps.where(F.col("free") >= smallest)
-        .withColumn("n", n)
+        gaps.join(F.broadcast(each), "free")
         .withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
         .select("sequence_id", "slot", F.floor(F.col("free") / F.col("n")).alias("length"))
     )
 
 
+def _slot_sizes(rooms: dict[int, int], offers: dict[int, int]) -> dict[int, int]:
+    """The number of slots by size, from the number of gaps by size."""
+    sizes: dict[int, int] = {}
+    for free, n in offers.items():
+        sizes[free // n] = sizes.get(free // n, 0) + rooms[free] * n
+    return sizes
+
+
+def _by_size(rows: DataFrame, column: str) -> dict[int, int]:
+    """How many rows there are of each size: at most as many sizes as a sequence has tokens."""
+    return {r[0]: r[1] for r in rows.groupBy(column).count().collect()}
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(id, sequence_id, offset) for every item of (id, length); ids must differ.
 
     Lengths lie between 1 and ``capacity``. Sequences are gapless from 0; their numbers mean
     nothing. The same items give the same number of sequences. Every round is written to the
-    shared folder, so a lost executor costs no earlier round. Only counts reach the driver.
+    shared folder and only its rows are read later, so a lost executor costs no earlier round
+    and plans do not grow. The driver holds numbers by size, no documents.
     """
     spark = items.sparkSession
+    placed = "id long, length long, sequence_id long"
     large = F.col("length") > capacity // 2
-    done = [items.where(large).select("id", "length", F.col("id").alias("sequence_id"))]
-    gaps = done[0].where(F.col("length") < capacity).select("sequence_id", (capacity - F.col("length")).alias("free"))
+    folders = [shared_folder(spark, "packed")]
+    items.where(large).select("id", "length", F.col("id").alias("sequence_id")).write.parquet(folders[0])
+    alone = spark.read.schema(placed).parquet(folders[0])
+    gaps = alone.where(F.col("length") < capacity).select("sequence_id", (capacity - F.col("length")).alias("free"))
+    rooms, sizes = _by_size(gaps, "free"), _by_size(items, "length")
     opened = 0
-    free = F.col("sequence_id").isNull()
-    share = 1 / F.floor(capacity / F.col("length"))
-    facts = [
-        F.count(F.when(free, 1)).alias("n"),
-        F.count("sequence_id").alias("matched"),
-        F.max(F.when(free, F.col("length"))).alias("top"),
-        F.min(F.when(free, F.col("length"))).alias("least"),
-        F.sum(F.when(free, share)).alias("bins"),
-    ]
     for low, high in zip(CLASSES[1:] + (capacity,), CLASSES):
         lo, hi = (capacity // low if low < capacity else 0), capacity // high
-        own = (F.col("length") > lo) & (F.col("length") <= hi)
-        swept = items.where(own).select("id", "length", F.lit(None).cast("long").alias("sequence_id"))
-        while True:
-            left = swept.agg(*facts).first()
-            if not left["n"]:
-                break
-            room = gaps.where(F.col("free") >= left["least"]).count()
-            if room * 100 < left["n"] or 0 < left["matched"] * 100 < left["n"]:
+        docs = items.where((F.col("length") > lo) & (F.col("length") <= hi)).select("id", "length")
+        left = {size: n for size, n in sizes.items() if lo < size <= hi}
+        matched = 0
+        while left:
+            n, top, least = sum(left.values()), max(left), min(left)
+            room = sum(g for free, g in rooms.items() if free >= least)
+            if room * 100 < n or 0 < matched * 100 < n:
                 # For what few gaps do not hold: as many sequences as equal lengths would fill.
-                new = max(1, math.ceil(left["bins"] * 0.98))
+                new = max(1, math.ceil(sum(k / (capacity // size) for size, k in left.items()) * 0.98))
                 ids = spark.range(new).select((-F.col("id") - 1 - opened).alias("sequence_id"))
                 gaps = gaps.unionByName(ids.withColumn("free", F.lit(capacity).cast("long")))
+                rooms[capacity] = rooms.get(capacity, 0) + new
                 opened, room = opened + new, room + new
-            most = max(2, 2 * math.ceil(left["n"] / room), capacity // left["top"] if room < left["n"] else 1)
+            most = max(2, 2 * math.ceil(n / room), capacity // top if room < n else 1)
+            offers = _offers(rooms, top, least, most)
+            swept, after = _sweep(docs, _slots(gaps, offers), (left, _slot_sizes(rooms, offers)))
+            folders.append(shared_folder(spark, "packed"))
+            swept.write.parquet(folders[-1])
+            swept = spark.read.schema(placed).parquet(folders[-1])
             docs = swept.where("sequence_id is null").select("id", "length")
-            swept = staged(_sweep(docs, _slots(gaps, left["top"], left["least"], most)), "packed")
-            done.append(swept.where("sequence_id is not null"))
-            used = done[-1].select("sequence_id", (-F.col("length")).alias("free"))
+            used = swept.where("sequence_id is not null").select("sequence_id", (-F.col("length")).alias("free"))
             gaps = staged(gaps.unionByName(used).groupBy("sequence_id").agg(F.sum("free").alias("free")).where("free > 0"), "gaps")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+            rooms = _by_size(gaps, "free")
+            matched, left = n - sum(after.values()), after
+    out = spark.read.schema(placed).parquet(*folders).where("sequence_id is not null")
     inside = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "id")
     return out.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select("id", "sequence_id", "offset")
 
