@@ -7,8 +7,9 @@ differ, most precisely where the sets are nearly equal, and sends only promising
 the comparison of the whole sets.
 
 A bucket of a band is not expanded into all pairs. Each class is first compared with the
-hub of its bucket; only where a bucket still holds several components after that are the
-pairs across components looked at, so that no link that joins components is missed.
+hub of its bucket; only where a bucket still holds several components after that are pairs
+across components looked for, by an exact filter on their rarest shingles, so that no link that
+joins components is missed and texts that share common passages alone do not meet.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ DEVIATIONS, SMALL = 7.0, 128
 #: Ids up to this number are sent to every task instead of moving the texts (16 bytes each).
 SENT_IDS = 500_000
 REMEMBERED = 400_000
+#: Counters by which shingles are ordered by rarity.
+SLOTS = 1 << 18
 
 
 class Shingler:
@@ -143,6 +146,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with these distinct ids."""
+    few = ids.count() <= SENT_IDS
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, hashes) of the documents with these distinct ids."""
 
@@ -156,9 +165,102 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = [own.hashes(t).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
-    few = ids.count() <= SENT_IDS
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, hashes array<long>")
+    return _wanted(docs, ids).mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of the rarest of n shingles must be looked up, as the larger and the smaller set.
+
+    Two similar sets share one among the first of the larger and the second of the smaller, in
+    any one order of all shingles (Chaudhuri et al., 2006; Xiao et al., 2008).
+    """
+    return n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
+
+
+def _rarest(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
+    """(rep, n, pos, token, leads): the rarest shingles of the documents with these ids, in order.
+
+    ``leads`` marks those that also count for the smaller of two sets. The order is by the
+    number of shingles in SLOTS slots of the hash, then by the hash; any order gives the same
+    pairs. A shingle alone in its slot is in no other set and is left out.
+    """
+    wanted = staged(_wanted(docs, ids), "texts")
+
+    def count(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        own, counts = Shingler(size), np.zeros(SLOTS, np.int64)
+        with np.errstate(over="ignore"):
+            for part in slices(batches):
+                for text in part.column(1).to_pylist():
+                    counts += np.bincount((own.hashes(text) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
+
+    import numpy as np
+
+    # At most SLOTS numbers.
+    counted = wanted.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(SLOTS, np.int64)
+    frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        own, frequency = Shingler(size), shared.value
+        schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("token", pa.int64()), ("leads", pa.bool_())])
+        with np.errstate(over="ignore"):
+            for part in slices(batches):
+                columns = [[], [], [], [], []]
+                for rep, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    hashes = own.hashes(text)
+                    often = frequency[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    longer, shorter = prefix_lengths(len(hashes), percent)
+                    order = np.lexsort((hashes, often))[:longer]
+                    pos = np.flatnonzero(often[order] > 1)
+                    for column, values in zip(columns, (np.full(len(pos), rep), np.full(len(pos), len(hashes)), pos, hashes[order][pos].view(np.int64), pos < shorter)):
+                        column.append(values)
+                yield pa.record_batch([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return wanted.withColumnRenamed("doc_id", "rep").mapInArrow(run, "rep long, n long, pos long, token long, leads boolean")
+
+
+def _across(docs: DataFrame, mixed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``mixed`` (rep, component) in different components that may be similar.
+
+    An exact filter: similar sets share one of their rarest shingles, and what stands behind
+    the first shared one in both is enough. Texts that share common passages alone do not meet.
+    Of each shingle, those in its largest component are compared with the others only.
+    """
+    tokens = _rarest(docs, mixed.select(F.col("rep").alias("doc_id")), size, percent).join(mixed, "rep")
+    tokens = staged(tokens, "tokens")
+    groups = tokens.groupBy("token", "component").agg(F.count("*").alias("k"), F.max("leads").alias("leads"))
+    largest = groups.groupBy("token").agg(
+        F.max(F.struct("k", "component")).getField("component").alias("main"), F.count("*").alias("parts"), F.max("leads").alias("led")
+    )
+    shared = staged(
+        tokens.join(largest.where("parts > 1 and led").select("token", "main"), "token")
+        .withColumn("other", F.col("component") != F.col("main"))
+        .drop("main"),
+        "shared",
+    )
+
+    def side(prefix: str) -> DataFrame:
+        return shared.select(*(F.col(c).alias(f"{prefix}_{c}") for c in shared.columns))
+
+    # x is the smaller set; sets of equal size are ordered by their ids.
+    x, y = side("x").where("x_leads"), side("y")
+    smaller = F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")
+    needed = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-9)
+    enough = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= needed
+    match = (F.col("x_token") == F.col("y_token")) & (F.col("x_component") != F.col("y_component")) & smaller & enough
+    found = (
+        x.where("x_other").join(y, match).select("x_rep", "y_rep")
+        .unionByName(x.where("not x_other").join(y.where("y_other"), match).select("x_rep", "y_rep"))
+    )
+    return found.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def margin(n: Column, percent: int) -> Column:
@@ -189,8 +291,8 @@ def promising(x: str, y: str, percent: int) -> Column:
     return (100 * least >= percent * F.greatest(n, m)) & ((least < SMALL) | (similar >= percent / 100 - margin(least, percent)))
 
 
-def _sketched(classes: DataFrame, name: str, prefix: str, *more: str) -> DataFrame:
-    return classes.select(F.col("rep").alias(name), F.col("n").alias(f"{prefix}_n"), F.col("sketch").alias(f"{prefix}_sketch"), *more)
+def _sketched(classes: DataFrame, name: str, prefix: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(name), F.col("n").alias(f"{prefix}_n"), F.col("sketch").alias(f"{prefix}_sketch"))
 
 
 def _links(docs: DataFrame, near: DataFrame, size: int, percent: int) -> DataFrame:
@@ -250,37 +352,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = _links(known, staged(near, "candidates"), size, percent)
     labels = components(links)
 
-    # Buckets that still hold several components: the pairs across them. Those of the largest
-    # component in a bucket are compared with the others, not with each other.
-    placed = members.join(labels.toDF("rep", "component"), "rep", "left").select(
-        "bucket", "band", "rep", F.coalesce("component", "rep").alias("component")
+    # Buckets that still hold several components: the pairs across them.
+    placed = members.select("bucket", "rep").join(labels.toDF("rep", "component"), "rep", "left").select(
+        "bucket", "rep", F.coalesce("component", "rep").alias("component")
     )
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("bucket").agg(
-        F.max(F.struct("n", "component")).getField("component").alias("main"), F.count("*").alias("parts")
-    )
-    mixed = staged(
-        placed.join(largest.where("parts > 1"), "bucket").drop("parts").join(classes.select("rep", "n", "bands", "sketch"), "rep"),
-        "mixed",
-    )
-
-    def side(prefix: str) -> DataFrame:
-        return mixed.select("bucket", *(F.col(c).alias(f"{prefix}_{c}") for c in ("band", "rep", "component", "main", "n", "bands", "sketch")))
-
-    left = side("x").where("x_component != x_main")
-    x, y = F.col("x_bands"), F.col("y_bands")
-    # A pair meets in every bucket that it shares; it is taken in the first.
-    earlier = F.lit(False)
-    for i in range(BANDS - 1):
-        earlier = earlier | ((F.col("x_band") > i) & (F.get(x, i) == F.get(y, i)))
-    other = (F.col("x_component") != F.col("y_component")) & (
-        (F.col("y_component") == F.col("y_main")) | (F.col("x_rep") < F.col("y_rep"))
-    )
-    right = side("y").withColumnRenamed("bucket", "same")
-    across = left.join(right, (F.col("bucket") == F.col("same")) & other & ~earlier & promising("x", "y", percent)).select(
-        F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
+    mixed = staged(placed.join(several.select("bucket"), "bucket").select("rep", "component").distinct(), "mixed")
+    across = staged(_across(known, mixed, size, percent), "across")
+    across = (
+        across.join(_sketched(classes, "a", "x"), "a")
+        .join(_sketched(classes, "b", "y"), "b")
+        .where(promising("x", "y", percent))
+        .select("a", "b")
     )
-    more = _links(known, staged(across.distinct(), "candidates"), size, percent)
+    more = _links(known, staged(across, "candidates"), size, percent)
     labels = components(links.unionByName(more))
 
     of_class = classes.select("key", "rep").join(labels.toDF("rep", "component"), "rep", "left").select(

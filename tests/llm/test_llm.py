@@ -449,3 +449,25 @@ def test_pipeline_stages(spark):
         docs, before = spark.createDataFrame(rows, docs.schema), after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
     assert {p.doc_id for p in pieces} == before
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    """The filter on the rarest shingles against all pairs, at the similarity and just below it."""
+    draw = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base[: draw.choice([119, 120])])
+        for _ in range(draw.choice([0, 1, 2, 3, 5])):
+            words[draw.randrange(len(words))] = f"new{k}-{draw.randint(0, 3)}"
+        texts.append(" ".join(words))
+    texts = sorted(set(texts)) + [" ".join(f"x{i % 7}{i}" for i in range(n)) for n in (1, 2, 3, 4)]
+    docs = table(spark, texts)
+    sets = {r.doc_id: set(r.hashes) for r in minhash._sets(docs, docs.select("doc_id").distinct(), 3).collect()}
+    for percent in (80, 85):
+        similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        alone = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"))
+        found = {tuple(r) for r in minhash._across(docs, alone, 3, percent).collect()}
+        assert similar <= found and len(similar) > 50 and len(found) < len(sets) * (len(sets) - 1) // 2
+        pairs = docs.select(F.col("doc_id").alias("rep"), (F.col("doc_id") % 2).alias("component"))
+        assert {p for p in similar if (p[0] - p[1]) % 2} <= {tuple(r) for r in minhash._across(docs, pairs, 3, percent).collect()}
