@@ -8,6 +8,7 @@ partial sums.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -136,18 +137,28 @@ def corpus_stats(messages: DataFrame, matcher: Matcher) -> DataFrame:
     )
 
 
-def merge_partials(
-    parts: Sequence[DataFrame], keys: Sequence[str], sums: Sequence[str], sets: Sequence[str] = ()
-) -> DataFrame:
-    """Combine saved rollups of several runs: sums add up, array columns are united."""
-    rows = reduce(DataFrame.unionByName, parts)
-    # Arrays are united from their elements, so that no list of lists is ever held.
-    merged = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-    for name in sets:
-        united = (
-            rows.select(*keys, F.explode(name).alias("_element"))
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_set("_element")).alias(name))
-        )
-        merged = merged.join(united, list(keys), "left")
-    return merged
+@dataclass(frozen=True)
+class Partial:
+    """A saved rollup: sums by key, and for every distinct count a child table (key, element).
+
+    Elements are rows, not arrays in a row, so a key may have any number of them.
+    """
+
+    counts: DataFrame
+    members: dict[str, DataFrame]
+
+
+def merge_partials(parts: Sequence[Partial], keys: Sequence[str], sums: Sequence[str]) -> Partial:
+    """Combine saved rollups of several runs: sums add up, elements are united."""
+    counts = reduce(DataFrame.unionByName, (p.counts for p in parts))
+    names = dict.fromkeys(name for p in parts for name in p.members)
+    return Partial(
+        counts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums)),
+        {n: reduce(DataFrame.unionByName, (p.members[n] for p in parts if n in p.members)).distinct() for n in names},
+    )
+
+
+def with_distinct(partial: Partial, keys: Sequence[str], name: str) -> DataFrame:
+    """The sums and, as ``name``, the exact number of distinct elements of that child table."""
+    sizes = partial.members[name].groupBy(*keys).agg(F.count("*").alias(name))
+    return partial.counts.join(sizes, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -48,11 +48,16 @@ def latest_entries(accepted: DataFrame) -> DataFrame:
     )
 
 
+def newest_entries(changes: DataFrame, version: str) -> DataFrame:
+    """Of each user the entry received last; among equal times the one of the highest ``version``."""
+    newest = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col(version).desc())
+    return changes.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n", version)
+
+
 def upsert_entries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Replace a user's entry by a newer one; a batch that arrives late changes nothing."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    newest = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("_new").desc())
-    return both.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n", "_new")
+    return newest_entries(both, "_new")
 
 
 def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = False) -> Tables:
@@ -95,10 +100,3 @@ def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = F
         harnesses=old.harnesses.unionByName(batch.harnesses),
         rejected=batch.rejected,
     )
-
-
-def append_submissions(batch: Tables, path: str) -> None:
-    """Append the history and child rows of a batch to tables below ``path``."""
-    batch.submissions.write.mode("append").parquet(f"{path}/submissions")
-    batch.models.write.mode("append").parquet(f"{path}/models")
-    batch.harnesses.write.mode("append").parquet(f"{path}/harnesses")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -87,21 +89,52 @@ def build_report(messages: DataFrame, matcher: Matcher, active: int, stage: bool
     )
 
 
+#: Sections of the document behind its head, in order, and what encloses the rows of each.
+SECTIONS = (
+    ("modelRankings", "[]"), ("harnessStats", "{}"), ("dailyTimeline", "[]"), ("phraseCloud", "[]"), ("hallOfShame", "[]"),
+)
+HEAD = "head"
+
+
 def report_summary(report: Report, version: str, run_ts: Column) -> DataFrame:
-    """The whole report as one nested row, in the field names of the report format.
+    """The report as parts of one document, in the field names of the report format.
 
-    Every part is a finished rollup: a row per model, agent, day or phrase.
+    (section, a, b, c, text): the head, then a row for each model, agent, day, phrase and quote
+    as JSON text; within a section the parts are ordered by a, b and c. No list is held in a
+    row, so a report may have any number of models or phrases; see write_json.
     """
-    def listed(rows: DataFrame, name: str, order: list[Column], item: Column) -> DataFrame:
-        keyed = F.collect_list(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], item.alias("item")))
-        return rows.agg(F.transform(F.array_sort(keyed), lambda r: r["item"]).alias(name))
-
     level = level_struct(F.col("mdi"))
-    models = (
-        report.models.join(report.top_phrases, "model", "left").join(report.model_harnesses, "model", "left")
+    nothing = F.lit(0.0)
+
+    def part(rows: DataFrame, section: str, order: list[Column], item: Column, key: Column | None = None) -> DataFrame:
+        a, b, c = order
+        text = F.to_json(item)
+        return rows.select(
+            F.lit(section).alias("section"),
+            a.cast("double").alias("a"),
+            b.cast("double").alias("b"),
+            c.cast("string").alias("c"),
+            # Agents are an object keyed by id in the report format.
+            (text if key is None else F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), text)).alias("text"),
+        )
+
+    shanghai = F.convert_timezone(None, F.lit("Asia/Shanghai"), run_ts.cast("timestamp_ntz"))
+    head = report.totals.crossJoin(F.broadcast(report.sessions)).select(
+        F.lit(version).alias("version"),
+        F.unix_millis(run_ts).alias("generatedAt"),
+        F.date_format(shanghai, "yyyy/M/d HH:mm:ss").alias("generatedDate"),
+        F.col("hits").alias("totalDroolCount"),
+        F.col("messages").alias("totalAssistantMessages"),
+        F.col("sessions").alias("totalSessionsScanned"),
+        F.lit(report.active).alias("activeHarnessCount"),
+        F.col("rate").alias("overallDroolRate"),
+        F.col("mdi").alias("overallDroolIndex"),
+        level.alias("overallDroolLevel"),
     )
+    models = report.models.join(report.top_phrases, "model", "left").join(report.model_harnesses, "model", "left")
     parts = [
-        listed(
+        part(head, HEAD, [nothing, nothing, F.lit("")], F.struct("*")),
+        part(
             models,
             "modelRankings",
             [-F.col("hits"), -F.col("mdi"), F.col("model")],
@@ -117,10 +150,10 @@ def report_summary(report: Report, version: str, run_ts: Column) -> DataFrame:
                 F.col("harnesses"),
             ),
         ),
-        listed(
+        part(
             report.harnesses,
             "harnessStats",
-            [F.array_position(F.array(*(F.lit(h) for h in fixed.HARNESS_NAMES)), F.col("harness"))],
+            [F.array_position(F.array(*(F.lit(h) for h in fixed.HARNESS_NAMES)), F.col("harness")), nothing, F.col("harness")],
             F.struct(
                 F.col("harness"),
                 F.col("name"),
@@ -128,23 +161,24 @@ def report_summary(report: Report, version: str, run_ts: Column) -> DataFrame:
                 F.col("messages").alias("messageCount"),
                 F.col("mdi").alias("droolIndex"),
             ),
+            key=F.col("harness"),
         ),
-        listed(
+        part(
             report.daily,
             "dailyTimeline",
-            [F.col("day")],
+            [F.unix_date("day"), nothing, F.lit("")],
             F.struct(F.date_format("day", "yyyy-MM-dd").alias("date"), F.col("hits").alias("count")),
         ),
-        listed(
+        part(
             report.phrases,
             "phraseCloud",
-            [-F.col("hits"), F.col("phrase")],
+            [-F.col("hits"), nothing, F.col("phrase")],
             F.struct(F.col("phrase").alias("text"), F.col("hits").alias("count"), F.col("category")),
         ),
-        listed(
+        part(
             report.quotes,
             "hallOfShame",
-            [F.col("place")],
+            [F.col("place"), nothing, F.lit("")],
             F.struct(
                 F.col("harness"),
                 F.col("session_id").alias("sessionId"),
@@ -156,21 +190,34 @@ def report_summary(report: Report, version: str, run_ts: Column) -> DataFrame:
             ),
         ),
     ]
-    row = report.totals.select(
-        F.lit(version).alias("version"),
-        F.unix_millis(run_ts).alias("generatedAt"),
-        F.col("hits").alias("totalDroolCount"),
-        F.col("messages").alias("totalAssistantMessages"),
-        F.lit(report.active).alias("activeHarnessCount"),
-        F.col("rate").alias("overallDroolRate"),
-        F.col("mdi").alias("overallDroolIndex"),
-        level.alias("overallDroolLevel"),
-    ).crossJoin(report.sessions.select(F.col("sessions").alias("totalSessionsScanned")))
-    for part in parts:
-        row = row.crossJoin(part)
-    # Agents are an object keyed by id in the report format.
-    by_id = F.map_from_entries(F.transform("harnessStats", lambda h: F.struct(h["harness"], h)))
-    return row.withColumn("harnessStats", by_id)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _document(parts: Iterable[tuple[str, str]]) -> Iterator[str]:
+    """The lines of one JSON document, from its parts in order."""
+    names = [name for name, _ in SECTIONS]
+    at, empty = -1, True
+
+    def opened(until: int) -> Iterator[str]:
+        nonlocal at, empty
+        while at < until:
+            if at >= 0:
+                yield SECTIONS[at][1][1]
+            at += 1
+            if at < len(SECTIONS):
+                name, marks = SECTIONS[at]
+                yield f',"{name}":{marks[0]}'
+                empty = True
+
+    for section, text in parts:
+        if section == HEAD:
+            yield text[:-1]
+            continue
+        yield from opened(names.index(section))
+        yield text if empty else "," + text
+        empty = False
+    yield from opened(len(SECTIONS))
+    yield "}"
 
 
 def write_tables(report: Report, path: str, fmt: str = "parquet") -> None:
@@ -180,4 +227,18 @@ def write_tables(report: Report, path: str, fmt: str = "parquet") -> None:
 
 
 def write_json(summary: DataFrame, path: str) -> None:
-    summary.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+    """The parts as one JSON document, over several lines of one file.
+
+    The parts are sorted by all tasks; one task writes them as they come and holds none.
+    """
+    place = F.array_position(F.array(F.lit(HEAD), *(F.lit(name) for name, _ in SECTIONS)), F.col("section"))
+
+    def joined(batches) -> Iterator:
+        import pyarrow as pa
+
+        parts = ((s, t) for batch in batches for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for line in _document(parts):
+            yield pa.record_batch([pa.array([line])], names=["value"])
+
+    ordered = summary.orderBy(place, "a", "b", "c").select("section", "text").coalesce(1)
+    ordered.mapInArrow(joined, "value string").write.mode("overwrite").text(path)

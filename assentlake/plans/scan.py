@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assentlake.sources.files import Roots, read_docs, read_lines
+from assentlake.sources.files import Roots, read_docs, read_lines, root_list
 from assentlake.sources.lookups import model_lookup
 from assentlake.sources.normalize import (
     normalize_claude,
@@ -120,6 +120,19 @@ def filter_harness(messages: DataFrame, harnesses: Sequence[str] | None) -> Data
     return messages if harnesses is None else messages.where(F.col("harness").isin(*harnesses))
 
 
+def configured_sources(spark: SparkSession, roots: Mapping[str, Roots]) -> DataFrame:
+    """(harness) of the agents whose home folder is there, whether or not it holds a message."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+
+    def there(root: str) -> bool:
+        path = hadoop(root)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        return found is not None and len(found) > 0
+
+    names = [h for h, wanted in roots.items() if any(there(r) for r in root_list(wanted))]
+    return spark.createDataFrame([(h,) for h in names], "harness string")
+
+
 def load_messages(
     spark: SparkSession,
     roots: Mapping[str, Roots],

@@ -46,12 +46,29 @@ _run_folders: dict[tuple[str, str], str] = {}
 def _remove(spark: SparkSession, path: str) -> None:
     """Delete a folder where it lies; nothing to do once the session is gone."""
     try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        hadoop, system = _file_system(spark, path)
+        system.delete(hadoop, True)
     except Exception:  # the gateway may have ended before the interpreter
         pass
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any store Spark reads; none if there is no such folder."""
+    hadoop, system = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(hadoop)) if system.exists(hadoop) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file; one that is there stays."""
+    hadoop, system = _file_system(spark, path)
+    system.create(hadoop, True).close()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that every node of the cluster can reach.
 

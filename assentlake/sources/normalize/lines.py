@@ -19,16 +19,18 @@ def not_synthetic(model: Column) -> Column:
     return ~model.startswith("<") & (model != "synthetic")
 
 
+def is_claude_reply(v: str = V) -> Column:
+    """True for the record of an assistant, in any of the places a writer puts the role."""
+    return (text_at(v, "$.type", "$.role") == "assistant") | (text_at(v, "$.message.role") == "assistant")
+
+
 def normalize_claude(raw: DataFrame, run_ts: Column, blocks: DataFrame | None = None) -> DataFrame:
-    assistant = (text_at(V, "$.type", "$.role") == "assistant") | (
-        text_at(V, "$.message.role") == "assistant"
-    )
     model = F.coalesce(
         text_at(V, "$.message.model", "$.model"), F.lit(fixed.FALLBACK_MODEL["claude"])
     )
     records = (
         parse_lines(raw)
-        .where(assistant)
+        .where(is_claude_reply())
         .withColumn("model", model)
         .where(not_synthetic(F.col("model")))
         .withColumn("content", F.coalesce(child(V, "$.message.content"), child(V, "$.content")))

@@ -1,12 +1,14 @@
 """Rollups, ranking and the submission document."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from assentlake.functions import classify_level, normalize_model
 from assentlake.operators import metrics, payloads, ranking
 from assentlake.plans.report import build_report, report_summary, write_json, write_tables
+from assentlake.plans.scan import configured_sources
 
 NAMES = {
     "anthropic/claude-3.5-sonnet": "claude-3-5-sonnet",
@@ -68,10 +70,41 @@ def test_bad_timestamps_count_but_have_no_day(messages, matcher):
 
 
 def test_partials_merge(messages, matcher, spark):
-    one = metrics.model_counts(metrics.count_hits(messages({}, {}), matcher)).withColumn("names", F.array(F.lit("a")))
-    two = metrics.model_counts(metrics.count_hits(messages({}), matcher)).withColumn("names", F.array(F.lit("b"), F.lit("a")))
-    (row,) = metrics.merge_partials([one, two], ["model"], ["messages", "hits"], ["names"]).collect()
-    assert (row.messages, row.hits, row.names) == (3, 3, ["a", "b"])
+    """Sums add up; elements that several runs know count once, in sets larger than a row should be."""
+    def partial(rows, low, high):
+        counts = metrics.model_counts(metrics.count_hits(messages(*rows), matcher)).select("model", "messages", "hits")
+        names = spark.range(low, high).select(F.lit("claude-opus-5").alias("model"), F.col("id").cast("string").alias("element"))
+        return metrics.Partial(counts, {"names": names})
+
+    merged = metrics.merge_partials([partial([{}, {}], 0, 150_000), partial([{}], 100_000, 200_000), metrics.Partial(partial([{"model": "b"}], 0, 0).counts, {})], ["model"], ["messages", "hits"])
+    rows = {r.model: (r.messages, r.hits, r.names) for r in metrics.with_distinct(merged, ["model"], "names").collect()}
+    assert rows == {"claude-opus-5": (3, 3, 200_000), "b": (1, 1, 0)}
+
+
+def test_a_document_of_parts(spark, tmp_path):
+    """Any number of rows, sections without rows, and texts that need escapes."""
+    from assentlake.plans.report import SECTIONS
+
+    head = [("head", 0.0, 0.0, "", json.dumps({"version": "1"}))]
+    many = [("phraseCloud", -float(i), 0.0, f"p{i}", json.dumps({"text": f'"{i}\n\\'})) for i in range(3_000)]
+    agents = [("harnessStats", float(i), 0.0, n, json.dumps(n) + ":" + json.dumps({"n": i})) for i, n in enumerate(("b", "a"))]
+    for rows in (head, head + agents, many + agents + head):
+        random.Random(1).shuffle(rows)
+        parts = spark.createDataFrame(rows, "section string, a double, b double, c string, text string").repartition(7)
+        write_json(parts, str(tmp_path / "doc"))
+        document = json.loads(spark.read.text(str(tmp_path / "doc"), wholetext=True).first()[0])
+        assert list(document) == ["version", *(n for n, _ in SECTIONS)]
+        assert document["phraseCloud"] == [json.loads(r[4]) for r in sorted((r for r in rows if r[0] == "phraseCloud"), key=lambda r: r[1])]
+        assert list(document["harnessStats"]) == (["b", "a"] if len(rows) > 1 else []) and document["hallOfShame"] == []
+
+
+def test_configured_sources_without_messages(spark, tmp_path):
+    for name in ("a", "b/x", "b/y"):
+        (tmp_path / name).mkdir(parents=True)
+    roots = {"one": str(tmp_path / "a"), "two": [f"{tmp_path}/none", f"{tmp_path}/b/*"], "three": str(tmp_path / "none"), "four": f"{tmp_path}/c*"}
+    found = configured_sources(spark, roots)
+    assert sorted(r.harness for r in found.collect()) == ["one", "two"]
+    assert metrics.active_harnesses(found).first().active == 2
 
 
 def test_quotes_take_turns(spark):
@@ -109,7 +142,8 @@ def test_report_and_submission(messages, matcher, spark, tmp_path):
     report = build_report(df, matcher, active=2)
     summary = report_summary(report, "0.1.2", F.lit("2026-01-03").cast("timestamp"))
     write_json(summary, str(tmp_path / "json"))
-    document = json.loads(spark.read.text(str(tmp_path / "json")).first()[0])
+    document = json.loads(spark.read.text(str(tmp_path / "json"), wholetext=True).first()[0])
+    assert document["generatedAt"] == 1767398400000 and document["generatedDate"] == "2026/1/3 08:00:00"
     assert document["totalDroolCount"] == 2 and document["totalAssistantMessages"] == 3
     assert document["totalSessionsScanned"] == 2 and document["activeHarnessCount"] == 2
     assert [m["model"] for m in document["modelRankings"]] == ["claude-opus-5", "gpt-6-astra"]

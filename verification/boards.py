@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from assentlake.functions.scores import reconcile_mdi
 from assentlake.operators import boards, metrics, payloads
-from assentlake.plans.leaderboard import append_submissions, apply_submissions, upsert_entries
-from assentlake.session import shared_folder
+from assentlake.plans.leaderboard import apply_submissions, upsert_entries
+from assentlake.session import shared_folder, staged
+from assentlake.streaming.submissions import current_tables, write_batch
 from verification.registry import query
 from verification.relations import (
     ENTRIES,
@@ -295,11 +296,13 @@ D = detection()
             union all select 'all', cast(sum(n_hits) as bigint), count(*) from counted) p""",
 )
 def _(r: Relations):
+    # One detection for all rollups.
+    counted = staged(r.counted, "counted")
     document = payloads.build_payload(
-        metrics.totals(r.counted),
-        metrics.model_counts(r.counted),
-        metrics.harness_stats(r.counted),
-        metrics.sessions(r.messages),
+        metrics.totals(counted),
+        metrics.model_counts(counted),
+        metrics.harness_stats(counted),
+        metrics.sessions(counted),
         "0.1.7",
         r.run_ts,
     )
@@ -329,16 +332,26 @@ def _(r: Relations):
 
 @query(
     "submissions_append",
-    f"select count(*) as submissions, count(distinct user_id) as users, cast(sum(hits) as bigint) as hits from ({CLEAN}) c",
+    f"""select submission_id, c.user_id, c.hits, c.messages, c.mdi, c.model_count, c.version,
+          coalesce(names, 0) as names, case when e.updated_at = c.created_at then e.hits end as entry_hits
+        from ({CLEAN}) c left join (select submission_id, count(*) as names from ({CLEAN_MODELS}) m group by 1) m using (submission_id)
+        join (select user_id, hits, created_at as updated_at from ({NEW_ENTRIES}) n) e on e.user_id = c.user_id""",
 )
 def _(r: Relations):
+    # Three batches through the tables a stream feeds, compacted after two. Of a user's
+    # submissions at the same time, the one that came in a later batch counts.
     path = shared_folder(r.spark, "history")
-    odd = F.col("submission_id") % 2 == 1
-    for batch in (r.raw_payloads.where(odd), r.raw_payloads.where(~odd)):
-        append_submissions(apply_submissions(batch, stage=True), path)
-    history = r.spark.read.parquet(path + "/submissions")
-    return history.agg(
-        F.count("*").alias("submissions"), F.count_distinct("user_id").alias("users"), F.sum("hits").alias("hits")
+    raw = staged(r.raw_payloads, "raw")
+    for n in range(3):
+        write_batch(raw.where(F.least(F.floor(F.col("submission_id") / 5000), F.lit(2)) == n), n, path, every=2)
+    tables = current_tables(r.spark, path)
+    names = tables.models.groupBy("submission_id").agg(F.count("*").alias("names"))
+    entries = tables.entries.select("user_id", F.col("hits").alias("_hits"), "updated_at")
+    rows = tables.submissions.join(names, "submission_id", "left").join(entries, "user_id")
+    return rows.select(
+        "submission_id", "user_id", "hits", "messages", "mdi", "model_count", "version",
+        F.coalesce("names", F.lit(0)).alias("names"),
+        F.when(F.col("updated_at") == F.col("created_at"), F.col("_hits")).alias("entry_hits"),
     )
 
 

@@ -11,12 +11,12 @@ from assentlake.functions import (
     parse_ts,
     strip_fences,
 )
-from assentlake.functions.text import at_least_three_characters
+from assentlake.functions.text import at_least_three_characters, trim_all
 from assentlake.operators.audit import line_audit, prefilter_audit
 from assentlake.operators.carry import carry_forward
 from assentlake.plans.scan import filter_harness, union_messages
 from assentlake.session import shared_folder
-from assentlake.sources.files import doc_elements, file_stem, parse_docs, parse_lines, read_lines, selected
+from assentlake.sources.files import doc_elements, file_stem, parse_docs, parse_lines, read_docs, read_lines, selected
 from assentlake.sources.lexicon import load_lexicon
 from assentlake.sources.lookups import model_lookup, with_model
 from assentlake.sources.normalize import (
@@ -34,7 +34,8 @@ from assentlake.sources.normalize import (
     normalize_pi_workflow,
 )
 from assentlake.sources.normalize.databases import join_message_part
-from assentlake.sources.normalize.lines import not_synthetic
+from assentlake.sources.normalize.lines import is_claude_reply, not_synthetic
+from assentlake.sources.normalize.shape import filled
 from verification.registry import query
 from verification.relations import MESSAGES, THREAD, THREADS, Relations
 from verification.sql import (
@@ -83,16 +84,22 @@ def _(r: Relations):
 
 @query(
     "src_json_doc",
-    f"""select session_id, count(*) as documents, cast(sum(3) as bigint) as items
-        from ({MESSAGES}) m where ord % 7 <> 3 group by 1""",
-)
-def _(r: Relations):
-    docs = parse_docs(r.cline_docs())
-    size = F.size(doc_elements("$"))
-    session = F.regexp_extract("file_path", "/tasks/([^/]+)/", 1)
-    return docs.groupBy(session.alias("session_id")).agg(
-        F.count("*").alias("documents"), F.sum(size).alias("items")
+    f"""select session_id, count(*) as items, cast(sum(length(text)) as bigint) as chars
+        from ({MESSAGES}) m where length({trim('text')}) > 0 group by 1""",
+)
+def _(r: Relations):
+    # A file for each session, written first and then read as any folder of documents.
+    path = shared_folder(r.spark, "documents")
+    item = F.format_string('{"role":"assistant","content":%s}', "q_text")
+    rows = r.shaped.where(F.length(trim_all(F.col("text"))) > 0)
+    sessions = rows.groupBy("session_id").agg(F.format_string("[%s]", F.array_join(F.collect_list(item), ",")).alias("value"))
+    sessions.repartition("session_id").write.option("lineSep", "\n").partitionBy("session_id").text(path)
+    docs = parse_docs(read_docs(r.spark, path, ".txt", 2))
+    listed = docs.select(
+        F.regexp_extract("file_path", "session_id=([^/]+)/", 1).alias("session_id"), F.explode(doc_elements("$")).alias("e")
     )
+    chars = F.length(F.try_variant_get("e", "$.content", "string"))
+    return listed.groupBy("session_id").agg(F.count("*").alias("items"), F.sum(chars).alias("chars"))
 
 
 CLAUDE = normalized(
@@ -105,7 +112,12 @@ def _(r: Relations):
     return shown(normalize_claude(r.claude_lines(), r.run_ts))
 
 
-@query("norm_codex", normalized("codex", "thread", STAMP, "codex_model", note(), f"length({note()}) > 0", CODEX))
+CODEX_ROWS = (
+    normalized("codex", "thread", STAMP, "codex_model", note(), f"length({note()}) > 0", CODEX)
+)
+
+
+@query("norm_codex", CODEX_ROWS)
 def _(r: Relations):
     return shown(normalize_codex(r.codex_lines(), model_lookup(r.threads), r.run_ts))
 
@@ -120,10 +132,12 @@ def _(r: Relations):
     return shown(normalize_omp(r.session_lines("omp"), r.run_ts))
 
 
-@query(
-    "norm_pi",
-    normalized("pi", "session_id", STAMP, "run_model", note(), f"length({note()}) > 0", session_model("pi-model")),
+PI_ROWS = (
+    normalized("pi", "session_id", STAMP, "run_model", note(), f"length({note()}) > 0", session_model("pi-model"))
 )
+
+
+@query("norm_pi", PI_ROWS)
 def _(r: Relations):
     return shown(normalize_pi(r.session_lines("pi", "modelId"), r.run_ts))
 
@@ -132,12 +146,14 @@ _RUN = "case when ord % 2 = 0 then session_id else msg_id end"
 _NOW = "TIMESTAMP '2024-06-01 12:00:00'"
 
 
-@query(
-    "norm_pi_workflow",
+PI_WORKFLOW_ROWS = (
     normalized("pi", _RUN, _NOW, "'pi-workflow-agent'", "text", "ord % 7 <> 3")
     + " union all "
-    + normalized("pi", _RUN, _NOW, "'pi-workflow-agent'", "''", "ord % 7 <> 3"),
+    + normalized("pi", _RUN, _NOW, "'pi-workflow-agent'", "''", "ord % 7 <> 3")
 )
+
+
+@query("norm_pi_workflow", PI_WORKFLOW_ROWS)
 def _(r: Relations):
     return shown(normalize_pi_workflow(r.workflow_docs(), r.run_ts))
 
@@ -146,8 +162,7 @@ def _(r: Relations):
 SESSIONS = THREADS.replace(THREAD, "session_id")
 
 
-@query(
-    "norm_codebuddy",
+CODEBUDDY_ROWS = (
     normalized(
         "codebuddy",
         "session_id",
@@ -156,8 +171,11 @@ SESSIONS = THREADS.replace(THREAD, "session_id")
         note(),
         f"ord % 11 <> 0 and length({note()}) > 0",
         f"select f.*, s.model as known from ({MESSAGES}) f left join ({SESSIONS}) s on s.id = f.session_id",
-    ),
+    )
 )
+
+
+@query("norm_codebuddy", CODEBUDDY_ROWS)
 def _(r: Relations):
     lookup = model_lookup(r.sql(SESSIONS))
     return shown(normalize_codebuddy(r.codebuddy_lines(), lookup, r.run_ts))
@@ -175,18 +193,19 @@ def _(r: Relations):
     return shown(normalize_cline(r.cline_docs(), r.run_ts))
 
 
-@query(
-    "norm_hermes",
+HERMES_ROWS = (
     normalized("hermes", "session_id", STAMP, model_or("hermes-model"), note(), f"ord % 7 <> 3 and length({note()}) > 0")
     + " union all "
-    + normalized("hermes", "session_id", STAMP, "'answering'", trim("text"), "ord % 7 <> 3"),
+    + normalized("hermes", "session_id", STAMP, "'answering'", trim("text"), "ord % 7 <> 3")
 )
+
+
+@query("norm_hermes", HERMES_ROWS)
 def _(r: Relations):
     return shown(normalize_hermes(r.hermes_docs(), r.run_ts))
 
 
-@query(
-    "norm_openclaw",
+OPENCLAW_ROWS = (
     normalized("openclaw", "session_id", STAMP, model_or("openclaw-model"), trim("text"), f"length({trim('text')}) > 0")
     + " union all "
     + normalized(
@@ -196,25 +215,29 @@ def _(r: Relations):
         "case when model <> '' then model when ord % 3 = 1 then 'of-file' else 'openclaw-model' end",
         trim("text"),
         f"ord % 7 <> 3 and length({trim('text')}) > 0",
-    ),
+    )
 )
+
+
+@query("norm_openclaw", OPENCLAW_ROWS)
 def _(r: Relations):
     lines = normalize_openclaw_lines(r.openclaw_lines(), r.run_ts)
     return shown(lines.unionByName(normalize_openclaw_docs(r.openclaw_docs(), r.run_ts)))
 
 
-@query(
-    "norm_cursor",
+CURSOR_ROWS = (
     normalized(
         "cursor", "session_id", STAMP, model_or("cursor-model"), trim("text"), f"ord % 9 <> 0 and length({trim('text')}) > 0"
-    ),
+    )
 )
+
+
+@query("norm_cursor", CURSOR_ROWS)
 def _(r: Relations):
     return shown(normalize_cursor(r.cursor_rows(), r.run_ts))
 
 
-@query(
-    "norm_opencode",
+OPENCODE_ROWS = (
     normalized(
         "opencode",
         "session_id",
@@ -222,8 +245,11 @@ def _(r: Relations):
         model_or("opencode-model"),
         trim("text"),
         f"ord % 9 <> 0 and length({trim('text')}) > 0",
-    ),
+    )
 )
+
+
+@query("norm_opencode", OPENCODE_ROWS)
 def _(r: Relations):
     message, part = r.opencode_tables()
     return shown(normalize_opencode(message, part, r.run_ts))
@@ -259,18 +285,37 @@ def _(r: Relations):
     return named.groupBy("model").agg(F.count("*").alias("messages"))
 
 
+EVERY = " union all ".join(
+    f"select * from ({rows}) x"
+    for rows in (
+        CLAUDE, CODEX_ROWS, OMP, PI_ROWS, PI_WORKFLOW_ROWS, CODEBUDDY_ROWS, CLINE, HERMES_ROWS, OPENCLAW_ROWS, CURSOR_ROWS, OPENCODE_ROWS,
+    )
+)
+
+
 @query(
     "union_harnesses",
-    f"select harness, count(*) as messages, cast(sum(chars) as bigint) as chars from ({CLAUDE} union all {OMP} union all {CLINE}) u group by 1",
+    f"select harness, count(*) as messages, cast(sum(chars) as bigint) as chars, count(distinct model) as models from ({EVERY}) u group by 1",
 )
 def _(r: Relations):
     parts = [
         normalize_claude(r.claude_lines(), r.run_ts),
+        normalize_codex(r.codex_lines(), model_lookup(r.threads), r.run_ts),
         normalize_omp(r.session_lines("omp"), r.run_ts),
+        normalize_pi(r.session_lines("pi", "modelId"), r.run_ts),
+        normalize_pi_workflow(r.workflow_docs(), r.run_ts),
+        normalize_codebuddy(r.codebuddy_lines(), model_lookup(r.sql(SESSIONS)), r.run_ts),
         normalize_cline(r.cline_docs(), r.run_ts),
+        normalize_hermes(r.hermes_docs(), r.run_ts),
+        normalize_openclaw_lines(r.openclaw_lines(), r.run_ts),
+        normalize_openclaw_docs(r.openclaw_docs(), r.run_ts),
+        normalize_cursor(r.cursor_rows(), r.run_ts),
+        normalize_opencode(*r.opencode_tables(), r.run_ts),
     ]
-    both = shown(union_messages(parts))
-    return both.groupBy("harness").agg(F.count("*").alias("messages"), F.sum("chars").alias("chars"))
+    every = shown(union_messages(parts))
+    return every.groupBy("harness").agg(
+        F.count("*").alias("messages"), F.sum("chars").alias("chars"), F.count_distinct("model").alias("models")
+    )
 
 
 # Lexicon files in the making: one per brand, a phrase per part.
@@ -344,7 +389,7 @@ def _(r: Relations):
 )
 def _(r: Relations):
     v = parse_lines(r.claude_lines())
-    replies = v.where(F.try_variant_get("v", "$.type", "string") == "assistant")
+    replies = v.where(is_claude_reply())
     return replies.groupBy(file_stem(F.col("file_path"), ".jsonl").alias("session")).agg(
         F.count("*").alias("replies")
     )
@@ -357,8 +402,8 @@ def _(r: Relations):
 def _(r: Relations):
     blanked = F.when(F.col("ord") % 3 == 0, F.lit('" \\u3000\\n"')).otherwise(F.col("q_text"))
     body = flatten_content(F.try_parse_json("content"), ["text"])
-    rows = r.shaped.select("msg_id", blanked.alias("content")).select("msg_id", body.alias("t"))
-    return rows.where(F.length("t") > 0).select("msg_id", F.length("t").alias("chars"))
+    rows = filled(r.shaped.select("msg_id", blanked.alias("content")), body)
+    return rows.select("msg_id", F.length("text").alias("chars"))
 
 
 @query(

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assentlake.operators import metrics
+from assentlake.session import staged
 from assentlake.sources.lexicon import Matcher
 
 TABLES = (
@@ -122,6 +123,11 @@ class Relations:
     def hits(self) -> DataFrame:
         return metrics.find_hits(self.messages, self.matcher)
 
+    @cached_property
+    def found(self) -> DataFrame:
+        """The hits, detected once, for queries that read them several times."""
+        return staged(self.hits, "hits")
+
     @cached_property
     def submissions(self) -> DataFrame:
         return self.sql(SUBMISSIONS)
