@@ -13,13 +13,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assentlake.llm.common import fit_logistic, labelled, slices, training_row
 from assentlake.session import staged
 
-#: Labelled documents to learn from, candidates for entries, entries, and exception phrases.
-TRAINING_ROWS, CANDIDATES, ENTRIES, PHRASES = 20_000, 40_000, 4_000, 4_000
+#: Labelled documents to learn from. This alone bounds the lexicon: neither entries nor exception
+#: phrases are cut by number.
+TRAINING_ROWS = 20_000
 #: Lengths of the beginnings of words that may become entries.
 STEMS = (3, 4, 5, 6, 7)
 #: Training documents that an entry must occur in, and its least log odds.
@@ -118,10 +119,18 @@ class Matcher:
                 covered.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        for start, end in covered:
-            for at in [a for a in best if start <= a <= end]:
-                del best[at]
-        return best
+        if not covered:
+            return best
+        # Both in order of their starts: an exception that reaches far covers what follows it.
+        covered.sort()
+        kept, reach, j = {}, -1, 0
+        for at in sorted(best):
+            while j < len(covered) and covered[j][0] <= at:
+                reach = max(reach, covered[j][1])
+                j += 1
+            if at > reach:
+                kept[at] = best[at]
+        return kept
 
     def measures(self, text: str | None) -> tuple[float, float]:
         """Weight by length, and total weight, on logarithmic scales."""
@@ -162,25 +171,32 @@ def _counted(rows: DataFrame, make, schema: str) -> DataFrame:
     return rows.select("doc_id", "text", "label").mapInArrow(run, schema).groupBy("term", "label").agg(F.sum("n").alias("n"))
 
 
-def _holders(rows: DataFrame, strength) -> dict[str, list[int]]:
-    """For each entry the documents of a bounded sample that hold it."""
+def _holders(rows: DataFrame, ranked: list[str]):
+    """For each entry, by rank, the places of the documents of a bounded sample that hold it.
+
+    Pairs reach the driver as two numbers of four bytes.
+    """
+    import numpy as np
+
+    rank = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(ranked)})
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        folder, known = Folder(), strength.value
+        folder, known = Folder(), rank.value
         for part in slices(batches):
-            docs, terms = [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                docs.append(doc)
-                terms.append(sorted({t for w in set(folder.words(text)) for t in _starts(w) if t in known}))
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "terms"])
+            terms = [sorted({known[t] for w in set(folder.words(text)) for t in _starts(w) if t in known}) for text in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "terms"])
 
-    out: dict[str, list[int]] = {}
-    for row in rows.select("doc_id", "text").mapInArrow(run, "doc_id long, terms array<string>").collect():
-        for term in row["terms"]:
-            out.setdefault(term, []).append(row["doc_id"])
-    return out
+    found = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms array<int>").toArrow()
+    lists = found.column("terms").combine_chunks()
+    docs = np.unique(found.column("doc_id").to_numpy(), return_inverse=True)[1].astype(np.int32)
+    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
+    terms, docs = lists.flatten().to_numpy(), np.repeat(docs, sizes)
+    order = np.lexsort((docs, terms))
+    terms, docs = terms[order], docs[order]
+    starts = np.searchsorted(terms, np.arange(len(ranked) + 1))
+    return [np.unique(docs[lo:hi]) for lo, hi in zip(starts, starts[1:])]
 
 
 COUNTED = "term string, label int, n long"
@@ -189,61 +205,54 @@ COUNTED = "term string, label int, n long"
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS):
     """(entries, phrases, calibration) from at most ``most`` training rows; None without both labels.
 
-    Candidates are counted where they lie; only bounded lists of terms reach the driver.
+    Terms are counted and weighed where they lie; those that stand out reach the driver, at most
+    one for every ``LEAST_DOCUMENTS`` of the words of the sample.
     """
     from math import log
 
+    import numpy as np
+
     sc = docs.sparkSession.sparkContext
     # Bounded, and read several times: written once.
     rows = staged(labelled(docs, labels, "toxic", most), "toxic")
     sizes = {r["label"]: r["n"] for r in rows.groupBy(F.least(F.greatest("label", F.lit(0)), F.lit(1)).alias("label")).agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    toxic = rows.where("label >= 1")
-    found = (
-        _counted(toxic, lambda folder, text, _: {t for w in set(folder.words(text)) for t in _starts(w)}, COUNTED)
-        .where(F.col("n") >= LEAST_DOCUMENTS)
-        .orderBy(F.desc("n"), "term")
-        .limit(CANDIDATES)
-        .collect()
-    )
-    positive = {r["term"]: r["n"] for r in found}
-    wanted = sc.broadcast(frozenset(positive))
-    counted = _counted(
-        rows.where("label < 1"),
-        lambda folder, text, _: wanted.value.intersection(t for w in set(folder.words(text)) for t in _starts(w)),
-        COUNTED,
-    ).collect()
-    negative = {r["term"]: r["n"] for r in counted}
     p_all, n_all = sizes[1], sizes[0]
 
-    def weight(term: str) -> float:
+    def weight(p: int, n: int) -> float:
         # The clean side is smoothed by half a document, the toxic side not beyond its count.
-        p, n = positive[term], negative.get(term, 0)
         return log(p / (p_all + 1)) - log((n + 0.5) / (n_all + 1))
 
+    def of(label: int) -> Column:
+        return F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+
+    # Rare terms could be chance: their share must stand out against the share of clean ones.
+    found = (
+        _counted(rows, lambda folder, text, _: {t for w in set(folder.words(text)) for t in _starts(w)}, COUNTED)
+        .groupBy("term")
+        .agg(of(1).alias("p"), of(0).alias("n"))
+        .where((F.col("p") >= LEAST_DOCUMENTS) & (F.col("p") >= 3 + 3 * F.col("n") * F.lit(p_all / n_all)))
+        .where(F.log(F.col("p") / (p_all + 1)) - F.log((F.col("n") + 0.5) / (n_all + 1)) >= LEAST_WEIGHT - 1e-9)
+        .collect()
+    )
+    positive = {r["term"]: r["p"] for r in found}
     entries: dict[str, float] = {}
     # Beginnings first: a longer entry has to say clearly more than the ones it starts with.
-    for term in sorted(positive, key=lambda t: (len(t), t)):
-        own = weight(term)
+    for term, p, n in sorted(found, key=lambda r: (len(r[0]), r[0])):
+        own = weight(p, n)
         inside = max((entries.get(term[:n], 0.0) for n in range(min(STEMS), len(term))), default=0.0)
         if own >= LEAST_WEIGHT and own > inside + 0.7:
-            # Rare terms could be chance: their share must stand out against the share of clean ones.
-            if positive[term] >= 3 + 3 * negative.get(term, 0) * p_all / n_all:
-                entries[term] = own
-    ranked = sorted(entries, key=lambda t: (-positive[t] * entries[t], t))[:ENTRIES]
-    strength = sc.broadcast({t: entries[t] for t in ranked})
-    holders = _holders(toxic, strength)
+            entries[term] = own
+    ranked = sorted(entries, key=lambda t: (-positive[t] * entries[t], t))
     # Words that merely stand in copies of a toxic text say nothing new: an entry has to occur
     # in documents that stronger entries leave short of two hits.
-    hits: dict[int, int] = {}
+    hits = np.zeros(p_all, np.int32)
     kept: dict[str, float] = {}
-    for term in ranked:
-        own = holders.get(term, [])
-        if sum(hits.get(d, 0) < EXPLAINED for d in own) >= LEAST_DOCUMENTS:
+    for term, own in zip(ranked, _holders(rows.where("label >= 1"), ranked)):
+        if (hits[own] < EXPLAINED).sum() >= LEAST_DOCUMENTS:
             kept[term] = entries[term]
-            for d in own:
-                hits[d] = hits.get(d, 0) + 1
+            hits[own] += 1
     entries = kept
 
     lexicon = sc.broadcast(entries)
@@ -260,8 +269,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS):
         for r in around.groupBy("term")
         .agg(F.sum(F.when(F.col("label") < 1, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") >= 1, F.col("n")).otherwise(0)).alias("toxic"))
         .where((F.col("clean") >= LEAST_DOCUMENTS) & (F.col("toxic") == 0))
-        .orderBy(F.desc("clean"), "term")
-        .limit(PHRASES)
+        .select("term")
+        .orderBy("term")
         .collect()
     ]
     shared = sc.broadcast((entries, phrases))

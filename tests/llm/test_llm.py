@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -413,6 +414,26 @@ def test_an_exception_phrase_covers_its_entry():
     assert matcher.hits("a hit song".split()) == {} and len(matcher.hits("hit him crudely".split())) == 2
 
 
+def test_hits_against_a_plain_search():
+    draw = random.Random(5)
+    stems = ["cru", "hit ", "crude ", "so"]
+    phrases = ["hit song", "song hit", "crude hit", "hit hit"]
+    matcher = toxicity.Matcher({t: 1.0 + i for i, t in enumerate(stems)}, phrases)
+    for _ in range(300):
+        words = [draw.choice(["hit", "song", "crude", "crudely", "zz", "hits"]) for _ in range(draw.randrange(12))]
+        text, starts = " ".join(words) + " ", [sum(len(w) + 1 for w in words[:i]) for i in range(len(words))]
+        gone = {i + d for i in range(len(words) - 1) for d in (0, 1) if " ".join(words[i : i + 2]) in phrases}
+        plain = [max((1.0 + k for k, t in enumerate(stems) if text.startswith(t, at)), default=0) for at in starts]
+        assert list(matcher.hits(words).values()) == [w for i, w in enumerate(plain) if w and i not in gone], words
+
+
+def test_hits_of_a_very_long_text_take_linear_time():
+    matcher = toxicity.Matcher({"hit ": 1.0}, ["hit song"])
+    start = time.monotonic()
+    assert len(matcher.hits("hit song zz hit".split() * 50_000)) == 50_000
+    assert time.monotonic() - start < 10
+
+
 def test_classifiers_on_odd_rows(odd, empty, labels):
     for operator in (quality, toxicity):
         learn, score = (operator.train, operator.classify) if operator is quality else (operator.learn, operator.score)
