@@ -299,6 +299,41 @@ def test_all_license_texts_in_one_file(spark, gap):
         assert {label for label, _, _ in order} <= set(rows[i].labels.split(",")) and rows[i].score == 1.0
 
 
+def test_license_index_against_comparing_at_every_place():
+    """Whatever words are looked up, the same labels and shares as by comparing everywhere."""
+    draw = random.Random(23)
+    vocabulary = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.encode().split()})
+    found = 0
+    for turn in range(60):
+        index = licenses.Index(licenses.TEMPLATES, {w: draw.randrange(100) for w in vocabulary})
+        words = draw.choices(vocabulary, k=draw.randrange(40))
+        for _, text, _ in draw.sample(licenses.TEMPLATES, k=3):
+            for w in text.encode().split():
+                change = draw.random()
+                words += [] if change < 0.1 else [b"other"] if change < 0.25 else [b"added", w] if change < 0.28 else [w]
+        labels, best = set(), 0.0
+        for label, template, keys, _ in index.templates:
+            shares = [index.share(words, template, keys, s) for s in range(-len(template), len(words) + 1)]
+            if max(shares):
+                labels.add(label)
+                best = max(best, max(shares))
+        assert index.find(words) == (labels, best), turn
+        found += len(labels)
+    assert found >= 30
+
+
+def test_changed_and_short_license_texts(spark):
+    texts = [
+        "Permission is hereby granted, without charge, to any person obtaining a copy of this software and its documentation files",
+        "GNU Affero General Public License version 3",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "We granted any person the rights to merge and to publish a copy of the notice without charge.",
+    ]
+    rows = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
+    assert [rows[i].labels for i in range(4)] == ["mit", "agpl", "boost", ""]
+    assert all(not rows[i].base_labels and (0 < rows[i].score <= 1) == (i < 3) for i in range(4))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="<p>no</p>";</script><style>p{}</style></head><body class="has-sidebar">
 <div class="cookie-notice"><p>We use cookies</p></div><nav><ul><li><a href="/">Home</a></ul></nav><form>Name <input></form>
 <%s><h1>A &amp; B</h1><p>One<br>two <b>three</b> &eacute;<p>Four <a href=x>link</a>.<div class="ad">Buy</div><p>Last</p></%s>
