@@ -2,10 +2,11 @@
 
 Pages of a host are ordered by URL path; each is compared with the neighbour whose path agrees
 with its own for longer. The text lines of both are aligned by a longest common subsequence,
-and lines in common are taken for boilerplate. Differencing alone fails where neighbours hold
-the same article, and where boilerplate varies from page to page, so the markup has a say
-first: blocks in navigation, headers, footers, sidebars, forms, adverts, notices and comments
-are left out, and blocks inside an article or main element are never taken for boilerplate.
+and lines in common are taken for boilerplate, but for those inside an article or main element,
+which are the page's own by their place. Differencing cannot see boilerplate that varies from
+page to page, so what the markup names is left out first: navigation, headers, footers, sidebars,
+forms, adverts, notices and comments. Elements that hold the article itself are never left out,
+whatever their name or class says; without an article, those that hold most of the text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assentlake.llm.common import slices
 from assentlake.session import staged
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/]?[a-zA-Z!?][^>]*(?:>|\Z)", re.S)
+# A quoted value may hold any character; a quote that never ends takes the rest, as in browsers.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z](?:[^>=]|=(?:\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)))?+)*+(?:>|\Z)", re.S
+)
 NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"(?:\b|_)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -44,137 +48,230 @@ NOISE = re.compile(
     r"disqus|login|search|complementary|contentinfo|skip|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Words in a class, id or role that tell other content than the article, even on an article element.
+OTHERS = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|comments?|comment-\w+|respond|replies|disqus)(?=$|[\s_-])",
+    re.I,
+)
+# What an element says about the text below it.
+PLAIN, WRAPPED, NAMED, OTHER, ARTICLE = 0, 1, 2, 3, 4
 OUT, OPEN, IN = 0, 1, 2
 
 
-def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(kind, text) of the text blocks of a page, in order; kind is OUT, OPEN or IN."""
-    html = html or ""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    parts: list[str] = []
-    kind, at, raw = OPEN, 0, None
+def _says(name: str, tag: str) -> int:
+    """What a start tag says about the text of its element."""
+    marks = " ".join(a or b or c for key, a, b, c in MARK.findall(tag) if key.lower() != "aria-label") if "=" in tag else ""
+    if marks and OTHERS.search(marks):
+        return OTHER
+    if name in CONTENT:
+        return ARTICLE
+    if name in CHROME:
+        # A form or header may hold the article; the others never do.
+        return WRAPPED if name in ("form", "header") else OTHER
+    return NAMED if marks and name not in ("html", "body") and NOISE.search(marks) else PLAIN
+
+
+def _parse(html: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, int]]]:
+    """Blocks as (element, text) and elements as (parent, name, what it says), in page order."""
+    found: list[tuple[int, str]] = []
+    elements: list[tuple[int, str, int]] = [(-1, "", PLAIN)]
+    stack, parts = [0], []
+    depth: dict[str, int] = {}
+    never: set[str] = set()
+    at = 0
 
     def end_block() -> None:
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                out.append((kind, text))
+            if text := " ".join(entities.unescape("".join(parts)).split()):
+                found.append((stack[-1], text))
             parts.clear()
 
-    for m in TOKEN.finditer(html):
-        tag = m[0]
-        if raw is not None:
-            # Inside a script or style only its own end tag counts.
-            if tag[:2] == "</" and (n := NAME.match(tag)) and n[1].lower() == raw:
-                raw = None
-                at = m.end()
-            continue
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
+    def pop() -> str:
+        name = elements[stack.pop()][1]
+        depth[name] -= 1
+        return name
+
+    while (m := TOKEN.search(html, at)) is not None:
+        parts.append(html[at : m.start()])
+        tag, at = m[0], m.end()
         n = NAME.match(tag)
         if n is None:
             continue
         name = n[1].lower()
-        if tag[1] == "/":
-            if name not in INLINE:
-                end_block()
-                if any(s[0] == name for s in stack):
-                    while stack:
-                        if stack.pop()[0] == name:
-                            break
-                    kind = stack[-1][1] if stack else OPEN
-            continue
         if name == "br":
             parts.append(" ")
+        elif name in INLINE:
             continue
-        if name in INLINE:
-            continue
-        end_block()
-        if name in RAW:
-            if not tag.endswith("/>"):
-                close = re.compile(rf"</\s*{name}\b", re.I)
-                found = close.search(html, at)
-                if found is None:
-                    at = len(html) if name in ("script", "style") else at
-                    if at == len(html):
-                        raw = name
-                        break
-                else:
-                    raw = name
-            continue
-        if name in VOID:
-            continue
-        closing = CLOSES.get(name) or ({"p"} if name in ENDS_P else ())
-        while stack and stack[-1][0] in closing:
-            stack.pop()
-        kind = stack[-1][1] if stack else OPEN
-        if kind != OUT:
-            inside = " ".join(a or b or c for key, a, b, c in MARK.findall(tag) if key.lower() != "aria-label") if "=" in tag else ""
-            if name in CHROME and not (name == "header" and kind == IN):
-                kind = OUT
-            elif inside and NOISE.search(inside) and name not in ("html", "body"):
-                kind = OUT
-            elif name in CONTENT:
-                kind = IN
-        if tag.endswith("/>"):
-            kind = stack[-1][1] if stack else OPEN
-            continue
-        stack.append((name, kind))
-    if raw is None and at < len(html):
-        parts.append(html[at:])
+        elif tag[1] == "/":
+            end_block()
+            if depth.get(name):
+                while pop() != name:
+                    pass
+        elif name in RAW:
+            # Nothing inside counts but its own end tag, whatever it looks like.
+            end_block()
+            if tag.endswith("/>") or name in never:
+                continue
+            if (close := re.compile(rf"</\s*{name}\b[^>]*+(?:>|\Z)", re.I).search(html, at)) is not None:
+                at = close.end()
+            elif name in ("script", "style"):
+                at = len(html)
+            else:
+                never.add(name)
+        else:
+            end_block()
+            closing = CLOSES.get(name) or ({"p"} if name in ENDS_P else ())
+            while len(stack) > 1 and elements[stack[-1]][1] in closing:
+                pop()
+            if name not in VOID and not tag.endswith("/>"):
+                elements.append((stack[-1], name, _says(name, tag)))
+                stack.append(len(elements) - 1)
+                depth[name] = depth.get(name, 0) + 1
+    parts.append(html[at:])
     end_block()
+    return found, elements
+
+
+def _spine(found, elements) -> set[int]:
+    """The element that holds the main text, and all around it."""
+    other = [False] * len(elements)
+    for i, (parent, _, says) in enumerate(elements):
+        other[i] = says == OTHER or (parent >= 0 and other[parent])
+    sizes = [0] * len(elements)
+    for i, text in found:
+        if not other[i]:
+            sizes[i] += len(text)
+    for i in range(len(elements) - 1, 0, -1):
+        sizes[elements[i][0]] += sizes[i]
+    articles = [i for i, e in enumerate(elements) if e[2] == ARTICLE and sizes[i]]
+    if articles:
+        at = max(articles, key=lambda i: (sizes[i], -i))
+    else:
+        # The innermost element with more than half of the text; those that have it lie in each other.
+        at = max(i for i in range(len(elements)) if i == 0 or 2 * sizes[i] > sizes[0])
+    out = set()
+    while at >= 0:
+        out.add(at)
+        at = elements[at][0]
     return out
 
 
-def own_lines(found: list[tuple[int, str]]) -> list[str]:
-    """The lines that differencing decides about, or the article if the page marks one."""
-    inside = [t for k, t in found if k == IN]
-    return inside or [t for k, t in found if k == OPEN]
+def blocks(html: str | None) -> list[tuple[int, str]]:
+    """(kind, text) of the text blocks of a page, in order; kind is OUT, OPEN or IN."""
+    found, elements = _parse(html or "")
+    spine = _spine(found, elements)
+    kinds = [OPEN]
+    for i, (parent, name, says) in enumerate(elements[1:], 1):
+        kind = kinds[parent]
+        if kind != OUT:
+            if says == ARTICLE:
+                kind = IN
+            elif i not in spine and says != PLAIN and not (name == "header" and kind == IN):
+                kind = OUT
+        kinds.append(kind)
+    return [(kinds[i], text) for i, text in found]
 
 
-def shared(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``.
+def own_lines(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The lines that the markup does not rule out."""
+    return [(k, t) for k, t in found if k != OUT]
+
+
+def _steps(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of ``b``: a zero bit where the common length with ``a`` grows by one.
 
     Rows of the usual table are single large integers, a bit for each place of ``a``.
     """
     masks: dict[int, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row, rows = full, []
+    full = row = (1 << len(a)) - 1
     for y in b:
         own = row & masks.get(y, 0)
         row = ((row + own) | (row - own)) & full
-        rows.append(row)
-    # A zero bit is a step of the length; steps are followed back from the last row.
-    out, j = [], len(b) - 1
+        yield row
+
+
+#: Bits of a table that is kept as a whole; larger ones are cut in halves.
+TABLE_BITS = 1 << 26
+
+
+def shared(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``, in bounded memory."""
+    common = set(a).intersection(b)
+    places = [i for i, x in enumerate(a) if x in common]
+    out: list[int] = []
+    _align([a[i] for i in places], [y for y in b if y in common], 0, out)
+    return [places[i] for i in out]
+
+
+def _align(a: list[int], b: list[int], base: int, out: list[int]) -> None:
+    """Append the places of ``a``, counted from ``base``, that are aligned with ``b``."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out.extend(range(base, base + head))
+    inner_a, inner_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(inner_a) and len(inner_b):
+        if len(inner_b) > 1 and len(inner_a) * len(inner_b) > TABLE_BITS:
+            _halves(inner_a, inner_b, base + head, out)
+        else:
+            _traced(inner_a, inner_b, base + head, out)
+    out.extend(range(base + len(a) - tail, base + len(a)))
+
+
+def _halves(a, b, base: int, out: list[int]) -> None:
+    """Cut ``b`` in the middle and ``a`` where both parts together align most (Hirschberg, 1975)."""
+    middle = len(b) // 2
+    last = [0, 0]
+    for side, rows in enumerate((_steps(a, b[:middle]), _steps(a[::-1], b[middle:][::-1]))):
+        for row in rows:
+            last[side] = row
+    before, after = ([c == "0" for c in format(row, f"0{len(a)}b")[::-1]] for row in last)
+    value = best = sum(after)
+    cut = 0
+    for i in range(len(a)):
+        value += before[i] - after[len(a) - 1 - i]
+        if value > best:
+            best, cut = value, i + 1
+    _align(a[:cut], b[:middle], base, out)
+    _align(a[cut:], b[middle:], base + cut, out)
+
+
+def _traced(a, b, base: int, out: list[int]) -> None:
+    """Steps are followed back from the last row."""
+    rows = list(_steps(a, b))
+    found, j = [], len(b) - 1
     for i in range(len(a) - 1, -1, -1):
-        while j >= 0 and not rows[j] >> i & 1 and j > 0 and not rows[j - 1] >> i & 1:
+        while j > 0 and not rows[j] >> i & 1 and not rows[j - 1] >> i & 1:
             j -= 1
         if j >= 0 and not rows[j] >> i & 1:
-            out.append(i)
+            found.append(base + i)
             j -= 1
-    return out[::-1]
+    out.extend(reversed(found))
 
 
 def _lines(pages: DataFrame) -> DataFrame:
-    """(key, lines, article) of each page: hashes of its lines and whether an article is marked."""
+    """(key, lines, open) of each page: hashes of its lines, and the places outside an article."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         for part in slices(batches):
-            lines, marked = [], []
+            lines, free = [], []
             for page in part.column(1).to_pylist():
-                found = blocks(page)
-                marked.append(any(k == IN for k, _ in found))
-                lines.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in own_lines(found)])
-            yield pa.record_batch([part.column(0), pa.array(lines, pa.list_(pa.int64())), pa.array(marked)], names=["key", "lines", "article"])
+                found = own_lines(blocks(page))
+                free.append([i for i, (k, _) in enumerate(found) if k == OPEN])
+                lines.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in found])
+            yield pa.record_batch(
+                [part.column(0), pa.array(lines, pa.list_(pa.int64())), pa.array(free, pa.list_(pa.int32()))], names=["key", "lines", "open"]
+            )
 
-    return pages.select("key", "html").mapInArrow(run, "key binary, lines array<long>, article boolean")
+    return pages.select("key", "html").mapInArrow(run, "key binary, lines array<long>, open array<int>")
 
 
 def _address(url: Column) -> tuple[Column, Column]:
@@ -232,7 +329,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html gives an empty text. Character references are decoded, white space
     inside a block becomes one space, and blocks stand on lines of their own. A page without
-    a host, or alone on it, is not compared with another. Rows that repeat have equal results.
+    a host, or alone on it, is not compared with another. Text beside an article stays if the
+    markup does not name it and the neighbour does not share it. Rows that repeat have equal results.
     Other columns are not looked at.
     """
     key = F.unhex(F.sha2(F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256))
@@ -241,16 +339,15 @@ def extract(pages: DataFrame) -> DataFrame:
     pairs = _neighbours(keyed.select("key", "url").dropDuplicates(["key"]))
     aligned = (
         pairs.join(lines, "key")
-        .where("not article")
         .join(lines.select(F.col("key").alias("other"), F.col("lines").alias("other_lines")), "other")
-        .select("key", "lines", "other_lines")
+        .select("key", "lines", "other_lines", "open")
     )
 
     def align(batches) -> Iterator:
         import pyarrow as pa
 
         for part in slices(batches):
-            places = [shared(a, b) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            places = [sorted(set(shared(a, b)).intersection(free)) for a, b, free in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))]
             yield pa.record_batch([part.column(0), pa.array(places, pa.list_(pa.int32()))], names=["key", "drop"])
 
     dropped = aligned.mapInArrow(align, "key binary, drop array<int>").where(F.size("drop") > 0)
@@ -262,7 +359,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, drop in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 gone = set(drop or ())
-                texts.append("\n".join(t for i, t in enumerate(own_lines(blocks(page))) if i not in gone))
+                texts.append("\n".join(t for i, (_, t) in enumerate(own_lines(blocks(page))) if i not in gone))
             yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return (

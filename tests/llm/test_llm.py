@@ -372,6 +372,65 @@ def test_common_subsequence():
         assert len(found) == longest(a, b) and all(any(y == a[i] for y in rest) for i in found)
 
 
+def test_common_subsequence_in_halves(monkeypatch):
+    """Tables that are cut in halves give as long a subsequence as whole ones."""
+    draw = random.Random(13)
+    cases = [tuple([draw.randint(0, 4) for _ in range(draw.randint(0, 60))] for _ in range(2)) for _ in range(200)]
+    whole = [len(pages.shared(a, b)) for a, b in cases]
+    monkeypatch.setattr(pages, "TABLE_BITS", 20)
+    for (a, b), n in zip(cases, whole):
+        found, rest = pages.shared(a, b), iter(b)
+        assert found == sorted(set(found)) and len(found) == n and all(any(y == a[i] for y in rest) for i in found)
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<div class="wrap has-sidebar"><article><p>Text one', "Text one"),
+    ('<article class="post header-image"><p>Text two</article><div class="sidebar">More', "Text two"),
+    ("<form><div class=menu><p>The whole body of the page</div></form>", "The whole body of the page"),
+    ('<p><a title="x > y">link</a>', "link"),
+    ("<p title=it's>a <b title='>'>b</b>", "a b"),
+    ('<script>if (a<b && c="</script><p>after', "after"),
+    ("<aside><article>Teaser of another page, much longer than this one</article></aside><article>Own</article>", "Own"),
+    ("<main><article>Own<section class=comments><article>A very long comment, longer than all</article></section></article></main>", "Own"),
+])
+def test_markup_that_misleads(html, text):
+    assert "\n".join(t for _, t in pages.own_lines(pages.blocks(html))) == text
+
+
+@pytest.mark.parametrize("html", ["<svg>", '<p a="', "<div>", "<a b=", "<!--", "<", "</p>", "<p ='"])
+def test_long_broken_pages_take_linear_time(html):
+    start = time.monotonic()
+    pages.blocks(html * 100_000 + "</p>" * 100_000)
+    assert time.monotonic() - start < 10
+
+
+def test_lines_shared_with_the_nearest_page(spark):
+    """The whole operator against a plain pairing by path and a plain alignment."""
+    draw = random.Random(29)
+    rows = []
+    for i in range(40):
+        host, path = draw.choice(["a", "b", "c"]), "/".join(draw.choice("xyz") for _ in range(3)) + f"/{i}"
+        lines = [draw.choice([f"menu {host}", "news", "about", f"own {i}", f"own {i} {draw.random()}"]) for _ in range(6)]
+        body = f"<article><p>news<p>text {i}</article>" if i % 3 == 0 else ""
+        rows.append((i, f"http://{host}.example/{path}?q=1", "".join(f"<div>{x}</div>" for x in lines) + body, lines, path, host, bool(body)))
+    frame = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    out = {r.page_id: r.text.split("\n") if r.text else [] for r in pages.extract(frame).collect()}
+    for i, _, _, lines, path, host, article in rows:
+        order = sorted((r[4], r[0]) for r in rows if r[5] == host)
+        at = order.index((path, i))
+        near = [order[j] for j in (at - 1, at + 1) if 0 <= j < len(order)]
+        agree = [next((k for k, (x, y) in enumerate(zip("/" + path, "/" + p)) if x != y), min(len(path), len(p)) + 1) for p, _ in near]
+        inside = ["news", f"text {i}"] if article else []
+        results = []
+        for k in (k for k in range(len(near)) if agree[k] == max(agree)):
+            other = rows[near[k][1]]
+            theirs = other[3] + (["news", f"text {other[0]}"] if other[6] else [])
+            mine = lines + inside
+            gone = set(pages.shared([hash(x) for x in mine], [hash(x) for x in theirs]))
+            results.append([x for j, x in enumerate(mine) if j not in gone or j >= len(lines)])
+        assert out[i] in results, i
+
+
 def test_neighbours(spark):
     import numpy as np
 
