@@ -2,9 +2,11 @@
 
 Vectors become binary codes: centred, rotated so that signs lose least (iterative quantisation,
 Gong and Lazebnik, 2011), one bit for each rotated component. A code is split into substrings,
-each an index of its own. Codes that differ in at most R of their bits differ in at most
-R / m bits in one of m substrings at least, so probing every index with that radius finds every
-code within R; those are compared in full, and what stays is ranked by the original vectors.
+each an index of its own: the codes sorted by that substring, with the place where each value begins.
+Codes that differ in at most R = m r + a of their bits differ in at most r bits in one of the first
+a + 1 of m substrings, or in at most r - 1 bits in one of the others (Norouzi, Punjani and Fleet,
+2014). Looking up the values that near in every index thus finds every code within R; no other
+code is read. Those found are compared in full, and what stays is ranked by the original vectors.
 R is taken from a bounded sample, such that nearly all true neighbours lie within it; queries
 that find too few neighbours are compared with everything.
 
@@ -102,42 +104,59 @@ def learn(sample, k: int, seed: int = 11):
     return mean, rotation, radius
 
 
-def _search(index, queries, model, radius: int, k: int):
+class Buckets:
+    """An index for each substring of some codes: buckets of the codes that hold a value there."""
+
+    def __init__(self, codes):
+        import numpy as np
+
+        self.codes = codes
+        self.order = [np.argsort(codes[:, s], kind="stable").astype(np.int32) for s in range(SUBSTRINGS)]
+        self.starts = [np.searchsorted(codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
+        self.sizes = [np.diff(starts) for starts in self.starts]
+        values = np.arange(256, dtype=np.uint8)
+        self.apart = np.bitwise_count(values[:, None] ^ values[None, :])
+
+    def within(self, code, radius: int):
+        """Places of all codes within the radius, and how many codes the probed buckets hold."""
+        import numpy as np
+
+        near, more = divmod(radius, SUBSTRINGS)
+        seen = np.zeros(len(self.codes), bool)
+        for s, value in enumerate(code):
+            reach = near if s <= more else near - 1
+            probes = np.flatnonzero(self.apart[value] <= reach) if reach >= 0 else []
+            if not len(probes):
+                continue
+            starts, sizes = self.starts[s][probes], self.sizes[s][probes]
+            # The places of all these buckets behind each other.
+            shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+            seen[self.order[s][shift + np.arange(len(shift))]] = True
+        found = np.flatnonzero(seen)
+        distance = np.bitwise_count(self.codes.view(np.uint64)[found] ^ code.view(np.uint64)).sum(axis=1)
+        return found[distance <= radius], len(found)
+
+
+def _search(index, queries, radius: int, k: int):
     """Rows (query key, place in index, score) of the best k of each query within the radius."""
     import numpy as np
 
     codes, ids, raw = index
-    probes = np.arange(256, dtype=np.uint8)
-    near = np.bitwise_count(probes[:, None] ^ probes[None, :]) <= radius // SUBSTRINGS
+    buckets = Buckets(codes)
     norms = np.linalg.norm(raw, axis=1)
     out = []
-    q_codes, q_raw = queries
-    for at in range(0, len(q_codes), 64):
-        own = q_codes[at : at + 64]
-        found = np.zeros((len(own), len(codes)), bool)
-        for s in range(SUBSTRINGS):
-            # The buckets of this substring to look into, and the codes that lie in them.
-            found |= near[own[:, s]][:, codes[:, s]]
-        rows, columns = np.nonzero(found)
-        keep = np.zeros(len(rows), bool)
-        for lo in range(0, len(rows), 1 << 19):
-            a, b = rows[lo : lo + (1 << 19)], columns[lo : lo + (1 << 19)]
-            keep[lo : lo + (1 << 19)] = np.bitwise_count(own.view(np.uint64)[a] ^ codes.view(np.uint64)[b]).sum(axis=1) <= radius
-        rows, columns = rows[keep], columns[keep]
-        starts = np.searchsorted(rows, np.arange(len(own) + 1))
-        for i in range(len(own)):
-            mine = columns[starts[i] : starts[i + 1]]
-            if not len(mine):
-                continue
-            q = q_raw[at + i]
-            score = raw[mine] @ q / (norms[mine] * np.linalg.norm(q))
-            if len(mine) > k:
-                edge = np.partition(score, len(score) - k)[len(score) - k]
-                chosen = np.flatnonzero(score >= edge)
-            else:
-                chosen = np.arange(len(mine))
-            order = chosen[np.lexsort((ids[mine[chosen]], -score[chosen]))][:k]
-            out.append((at + i, mine[order], score[order]))
+    for at, (code, q) in enumerate(zip(*queries)):
+        mine, _ = buckets.within(code, radius)
+        if not len(mine):
+            continue
+        score = raw[mine] @ q / (norms[mine] * np.linalg.norm(q))
+        if len(mine) > k:
+            edge = np.partition(score, len(score) - k)[len(score) - k]
+            chosen = np.flatnonzero(score >= edge)
+        else:
+            chosen = np.arange(len(mine))
+        order = chosen[np.lexsort((ids[mine[chosen]], -score[chosen]))][:k]
+        out.append((at, mine[order], score[order]))
     return out
 
 
@@ -163,7 +182,7 @@ def _blocks(reps: DataFrame, queries: DataFrame, model, radius: int, k: int, n_i
         table = [t / np.abs(t).max(axis=1, keepdims=True) if (np.abs(t).max() > 1e100 or np.abs(t).max(axis=1).min() < 1e-100) else t for t in table]
         found = _search(
             (encode(raws, shared.value), np.array([i[0] for i in ids]), table[0]),
-            (encode(q_raws, shared.value), table[1]), shared.value, radius, k,
+            (encode(q_raws, shared.value), table[1]), radius, k,
         )
         rows = [(keys[q], ids[c], float(s)) for q, cs, ss in found for c, s in zip(cs, ss)]
         columns = list(zip(*rows)) or [(), (), ()]

@@ -431,6 +431,20 @@ def test_lines_shared_with_the_nearest_page(spark):
         assert out[i] in results, i
 
 
+@pytest.mark.parametrize("radius", [0, 7, 15, 16, 37, 55, 127, 128])
+def test_buckets_hold_every_code_within_the_radius(radius):
+    import numpy as np
+
+    draw = np.random.default_rng(radius)
+    codes = draw.integers(0, 256, (400, neighbours.BITS // 8), dtype=np.uint8)
+    codes[100:200] = codes[:100] ^ (draw.random((100, codes.shape[1])) < 0.2)  # near ones too
+    buckets = neighbours.Buckets(codes)
+    for code in codes[::10]:
+        found, read = buckets.within(code, radius)
+        plain = np.flatnonzero(np.unpackbits(codes ^ code, axis=1).sum(axis=1) <= radius)
+        assert found.tolist() == plain.tolist() and len(found) <= read
+
+
 def test_neighbours(spark):
     import numpy as np
 
