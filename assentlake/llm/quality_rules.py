@@ -6,7 +6,9 @@ concentration steps: keep the nearest vectors, estimate from them, measure all d
 repeat until the determinant falls no more; of several starts the least determinant counts. A
 small group leans on the spreads of all groups together. A document far from the centre in the Mahalanobis
 distance of its group is rejected. Groups meet in partial sums and in histograms of bounded
-length only, so a group with a third of all rows is no heavier for one task than any other.
+length only; limits and estimates, a row for each group, are written before rows meet them, so
+that their real size decides: as long as they can be broadcast, no row moves to its group. Beyond
+that the join is dealt by group, and adaptive execution splits a large one.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ STARTS = 3
 #: Median of the chi-squared distribution with five degrees of freedom, and the squared distance beyond
 #: which a vector is an outlier: its quantile at one minus 1e-5.
 CHI_MEDIAN, CHI_LIMIT = 4.3515, 30.86
-BINS = 256
+#: Bins for a unit of a value, and from ``LINEAR`` on for each doubling of it.
+BINS, LINEAR = 256, 32
 CELLS = [(i, j) for i in range(5) for j in range(i + 1)]
 #: The columns of an estimate: centre and inverse factor.
 PLACES = [f"m{i}" for i in range(5)] + [f"w{i}{j}" for i, j in CELLS]
@@ -117,14 +120,26 @@ def _vector(row: DataFrame) -> DataFrame:
     )
 
 
+def _bin(x: Column) -> Column:
+    """The bin of a value of zero or more; far values have bins that widen with them."""
+    far = LINEAR * BINS + F.floor(F.log2(F.greatest(x, F.lit(float(LINEAR))) / LINEAR) * BINS)
+    return F.when(x < LINEAR, F.floor(x * BINS)).otherwise(far)
+
+
+def _middle(number: Column) -> Column:
+    """The middle of a bin."""
+    far = LINEAR * F.pow(F.lit(2.0), (number - LINEAR * BINS + 0.5) / BINS)
+    return F.when(number < LINEAR * BINS, (number + 0.5) / BINS).otherwise(far)
+
+
 def _quantiles(values: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Quantiles of ``value`` within groups, from a histogram: exact but for the width of a bin."""
-    bins = values.groupBy(*by, F.floor(F.col(value) * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    bins = values.groupBy(*by, _bin(F.col(value)).alias("bin")).agg(F.count("*").alias("n"))
     up = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     counted = bins.withColumns({"sum": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy(*by))})
     return counted.groupBy(*by).agg(
         *(
-            ((F.min(F.when(F.col("sum") >= share * F.col("all"), F.col("bin"))) + 0.5) / BINS).alias(name)
+            _middle(F.min(F.when(F.col("sum") >= share * F.col("all"), F.col("bin")))).alias(name)
             for name, share in shares.items()
         )
     )
@@ -135,7 +150,7 @@ def _spread_starts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("j", "x"))
     middle = staged(_quantiles(long, ["g", "j"], "x", {"m": 0.5}), "medians")
     far = staged(long.join(middle, ["g", "j"]).select("g", "j", F.abs(F.col("x") - F.col("m")).alias("d")), "deviations")
-    error = rows.groupBy("g").agg(*(F.avg(v).alias(v) for v in VARIANCES))
+    error = staged(rows.groupBy("g").agg(*(F.avg(v).alias(v) for v in VARIANCES)), "errors")
     everywhere = _quantiles(far, ["j"], "d", {"s": 0.5})
     zero = {f"w{i}{j}": F.lit(0.0) for i in range(5) for j in range(i)}
     starts = []
@@ -230,8 +245,9 @@ def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """The nearest rows of each group, by its estimate."""
     measured = _measured(rows, estimates)
-    limits = _quantiles(measured, ["g"], "d", {"limit": COMPACT})
-    return measured.join(limits, "g").where(F.col("d") <= F.col("limit") + 1.0 / BINS)
+    limits = staged(_quantiles(measured, ["g"], "d", {"limit": COMPACT}), "limits")
+    edge = F.col("limit") + F.when(F.col("limit") < LINEAR, F.lit(1.0)).otherwise(F.col("limit")) / BINS
+    return measured.join(limits, "g").where(F.col("d") <= edge)
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:

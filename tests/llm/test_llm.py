@@ -267,6 +267,61 @@ def test_a_tenth_of_symbols_is_an_outlier_where_others_have_none(spark):
     assert sum(kept[d] for d, t, _, _ in rows if "|" not in t) >= 0.98 * (len(rows) - len(marked))
 
 
+def test_outliers_against_a_plain_minimum_covariance_determinant(spark):
+    """Verdicts on two groups against many random starts, each run until it no longer changes."""
+    import numpy as np
+
+    draw = np.random.default_rng(31)
+    groups, variances = {}, dict.fromkeys(quality_rules.VARIANCES, 0.0)
+    for name, n in (("a", 600), ("b", 400)):
+        mix = draw.normal(size=(5, 5)) * 0.15 + np.eye(5) * 0.3
+        x = 6 + draw.normal(size=(n, 5)) @ mix
+        x[: n // 6] += draw.choice([2.0, 300.0], size=(n // 6, 1)) * np.array([1.0, 0, 2, 1, 0])  # some of them very far
+        groups[name] = x
+    rows = [(g, i, *map(float, v), *variances.values()) for g, x in groups.items() for i, v in enumerate(x)]
+    columns = ["g string", "i int", *(f"{c} double" for c in (*quality_rules.FEATURES, *variances))]
+    frame = spark.createDataFrame(rows, ", ".join(columns))
+    estimates = quality_rules.robust_estimates(frame.drop("i"))
+    squared = quality_rules._distance() / F.col("scale")
+    judged = {(r.g, r.i): r.d for r in frame.join(estimates, "g").select("g", "i", squared.alias("d")).collect()}
+
+    def plain(x, target=None):
+        best = None
+        for _ in range(40):
+            core = x[draw.choice(len(x), 12, replace=False)]
+            for _ in range(60):
+                centre, spread = core.mean(0), np.cov(core.T, bias=True)
+                if target is not None:
+                    share = len(core) / (len(core) + quality_rules.PRIOR_ROWS)
+                    spread = spread * share + target * (1 - share)
+                spread = spread + np.diag(np.square(quality_rules.FLOORS))
+                d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(spread), x - centre)
+                core = x[np.argsort(d, kind="stable")[: int(quality_rules.COMPACT * len(x))]]
+            if best is None or np.linalg.slogdet(spread)[1] < best[0]:
+                best = np.linalg.slogdet(spread)[1], d, np.cov(core.T, bias=True)
+        return best[1:]
+
+    cores = [plain(x)[1] for x in groups.values()]
+    pooled = sum(c * len(x) for c, x in zip(cores, groups.values())) / sum(map(len, groups.values()))
+    for name, x in groups.items():
+        d = plain(x, pooled)[0]
+        d = d / max(np.median(d) / quality_rules.CHI_MEDIAN, 1.0)
+        for i, own in enumerate(d):
+            if abs(own / quality_rules.CHI_LIMIT - 1) > 0.2:
+                assert (judged[name, i] <= quality_rules.CHI_LIMIT) == (own <= quality_rules.CHI_LIMIT), (name, i)
+        assert (d[: len(x) // 6] > quality_rules.CHI_LIMIT).mean() > 0.9
+
+
+@pytest.mark.parametrize("values", [[0.0, 0.1, 0.1, 31.9, 32.0, 40.0, 1e6, 1e12], [5.0]])
+def test_quantiles_of_any_size(spark, values):
+    rows = spark.createDataFrame([("g", v) for v in values], "g string, x double")
+    shares = {f"q{k}": k / 8 for k in range(1, 9)}
+    found = quality_rules._quantiles(rows, ["g"], "x", shares).first()
+    for k in range(1, 9):
+        exact = sorted(values)[math.ceil(k / 8 * len(values)) - 1]
+        assert found[f"q{k}"] == pytest.approx(exact, rel=0.004, abs=0.004)
+
+
 def test_license_places(spark, odd, empty):
     texts = ["The MIT License. mit-license, MIT LICENSE", "under CC BY 4.0 or Apache  License", "GNU General Public\nLicense", "no licence", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
     rows = {r.doc_id: r for r in licenses.scan(table(spark, texts)).collect()}
