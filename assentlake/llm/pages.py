@@ -192,6 +192,8 @@ def _steps(a: list[int], b: list[int]) -> Iterator[int]:
         yield row
 
 
+#: Numbers, of lines left out and of keys, that are sent to all pages; more meet them in a shuffled join.
+SENT_PLACES = 1 << 20
 #: Bits of a table that is kept as a whole; larger ones are cut in halves.
 TABLE_BITS = 1 << 26
 
@@ -333,7 +335,9 @@ def extract(pages: DataFrame) -> DataFrame:
     markup does not name it and the neighbour does not share it. Rows that repeat have equal results.
     Other columns are not looked at.
     """
-    key = F.unhex(F.sha2(F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256))
+    digest = F.sha2(F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256)
+    # 128 bits tell pages apart at any size, and keys travel often.
+    key = F.unhex(F.substring(digest, 1, 32))
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("key", key)
     lines = staged(_lines(keyed).dropDuplicates(["key"]), "lines")
     pairs = _neighbours(keyed.select("key", "url").dropDuplicates(["key"]))
@@ -350,7 +354,10 @@ def extract(pages: DataFrame) -> DataFrame:
             places = [sorted(set(shared(a, b)).intersection(free)) for a, b, free in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))]
             yield pa.record_batch([part.column(0), pa.array(places, pa.list_(pa.int32()))], names=["key", "drop"])
 
-    dropped = aligned.mapInArrow(align, "key binary, drop array<int>").where(F.size("drop") > 0)
+    dropped = staged(aligned.mapInArrow(align, "key binary, drop array<int>").where(F.size("drop") > 0), "dropped")
+    # Where neighbours share little, its real size lets the pages stay where they were read.
+    n, places = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
+    few = 4 * n + places <= SENT_PLACES
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -363,7 +370,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return (
-        keyed.join(dropped, "key", "left")
+        keyed.join(F.broadcast(dropped) if few else dropped, "key", "left")
         .select("page_id", "url", "html", "drop")
         .mapInArrow(run, "page_id long, url string, text string")
     )
