@@ -45,6 +45,20 @@ def _bytes(batch, start: int, rows: int) -> int:
     return batch.slice(start, rows).nbytes
 
 
+def trim_worker() -> None:
+    """Give what a reused worker holds from earlier tasks, and no longer uses, back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # other C libraries than glibc have none
+        trim(0)
+
+
 def training_row(doc_id: str = "doc_id") -> Column:
     """Whether labels of this document may be learnt from."""
     return (F.crc32(F.col(doc_id).cast("string")) % 5) != 0

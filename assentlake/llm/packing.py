@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assentlake.llm.common import slices
+from assentlake.llm.common import slices, trim_worker
 from assentlake.session import shared_folder, staged
 
 CAPACITY = 4096
@@ -29,7 +29,9 @@ END_OF_TEXT = 1
 #: Lower ends of the size classes, as divisors of the capacity. Larger documents than half a
 #: sequence stand alone in a new one.
 CLASSES = (2, 4, 8, 32)
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Parts of chunks that are encoded as the lines of one string.
+LINES = 256
 
 # Letters that NFC and lower-casing map one to one, then ASCII punctuation without apostrophe:
 # such a chunk splits into exactly these two parts.
@@ -38,12 +40,31 @@ PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)"
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
 
+class Remembered:
+    """Bytes by key in two generations: what is met again in time moves to the younger one, the
+    rest goes with the older one. Together they hold about REMEMBERED keys."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Of ``keys`` those that are not known; all others are in ``young`` from now on."""
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        old = self.old
+        new = keys.difference(self.young)
+        self.young.update((k, old[k]) for k in new if k in old)
+        return [k for k in new if k not in old]
+
+
 class ChunkTokenizer:
     """Tokens of whole texts, with the tokens of chunks between white space remembered.
 
     The vocabulary drops white space and never joins across it, so a text has the tokens of its
     chunks. A chunk of letters and punctuation is brought to normal form here and skips the
-    general normaliser and splitter, which cost more than the merges.
+    general normaliser and splitter, which cost more than the merges. New parts of chunks go to
+    the library as lines, many in one string: a call and its result cost as much as the merges.
     """
 
     def __init__(self, content: str):
@@ -56,10 +77,14 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.general = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
-        self.bytes_only = (None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_only = (None, as_bytes)
+        self.by_line = (None, pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), as_bytes]))
+        # No part holds a line break, so its token stands between parts and nowhere else.
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bytes_only
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.plain = re.compile(PLAIN).fullmatch
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.chunks, self.parts = Remembered(), Remembered()
 
     def _encode(self, texts: list[str], how) -> list[bytes]:
         from array import array
@@ -74,23 +99,41 @@ class ChunkTokenizer:
                 i.byteswap()
         return [i.tobytes() for i in ids]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, which is not empty and holds no line break."""
+        import numpy as np
+
+        if len(self.line_end) != 1:
+            return self._encode(parts, self.bytes_only)
+        out: list[bytes] = []
+        lines = ["\n".join(parts[at : at + LINES]) for at in range(0, len(parts), LINES)]
+        for ids in self._encode(lines, self.by_line):
+            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.line_end[0]) * 4
+            starts = [0, *(ends + 4).tolist()]
+            out.extend(ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)]))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = [None if any(c in t for c in ODD_SPACES) else t.split() for t in (t or "" for t in texts)]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        new = list(set().union(*(s for s in split if s)).difference(self.chunks))
-        forms = [self.plain(c) for c in new]
-        pairs = [(m[1].lower(), m[2]) if m else None for m in forms]
-        wanted = list({x for p in pairs if p for x in p}.difference(self.parts))
-        self.parts.update(zip(wanted, self._encode(wanted, self.bytes_only)))
-        other = [c for c, p in zip(new, pairs) if not p]
-        self.chunks.update(zip(other, self._encode(other, self.general)))
-        parts = self.parts
-        self.chunks.update((c, parts[p[0]] + parts[p[1]]) for c, p in zip(new, pairs) if p)
-        of = self.chunks.__getitem__
+        pairs, other = [], []
+        for c in self.chunks.lacking(set().union(*(s for s in split if s))):
+            if c.isascii() and c.isalpha():
+                pairs.append((c, c.lower(), ""))
+            elif m := self.plain(c):
+                pairs.append((c, m[1].lower(), m[2]))
+            else:
+                other.append(c)
+        needed = {a for _, a, _ in pairs}
+        needed.update(b for _, _, b in pairs)
+        needed.discard("")
+        wanted = self.parts.lacking(needed)
+        chunks, parts = self.chunks.young, self.parts.young
+        parts.update(zip(wanted, self._encode_parts(wanted)))
+        parts[""] = b""
+        chunks.update((c, parts[a] + parts[b]) for c, a, b in pairs)
+        chunks.update(zip(other, self._encode(other, self.general)))
+        of = chunks.__getitem__
         return [
             b"".join(map(of, s)) if s is not None else self._encode([t], self.general)[0]
             for s, t in zip(split, texts)
@@ -113,6 +156,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     def run(batches) -> Iterator:
         from zlib import crc32
 
+        trim_worker()
         tokenizer = ChunkTokenizer(shared.value)
         for part in slices(batches):
             rows = []

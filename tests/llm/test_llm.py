@@ -90,6 +90,31 @@ def test_tokenized_pieces_equal_the_library(spark, odd):
     assert [p.length for p in by_doc[1]] == [1] and by_doc[1][0].ids_crc32 == zlib.crc32((1).to_bytes(4, "little"))
 
 
+def test_new_words_reach_the_library_in_few_strings(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("word_bpe_49k.json")
+    own, whole = packing.ChunkTokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    sent = []
+    encode = own._encode
+    monkeypatch.setattr(own, "_encode", lambda texts, how: sent.extend(texts) or encode(texts, how))
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdefgé", k=9)) + draw.choice(["", ".", ",\""]) for _ in range(500)) for _ in range(4)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+    assert len(sent) < 20
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    path = vocabulary_path("word_bpe_49k.json")
+    own = packing.ChunkTokenizer(open(path, encoding="utf-8").read())
+    first = own.encode(["often seen."])
+    for n in range(20):
+        assert own.encode(["often seen. " + " ".join(f"w{chr(97 + n)}{chr(97 + k)}" for k in range(10))])[0].startswith(first[0])
+        assert "often" in own.chunks.young and len(own.chunks.young) + len(own.chunks.old) <= 60
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_gapless_and_tight(spark, seed):
     draw = random.Random(seed)
@@ -411,6 +436,25 @@ def test_pages(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_pages_without_shared_lines_stay_where_they_were_read(spark):
+    rows = spark.createDataFrame([(i, f"https://h.example/{i}", f"<article><p>Text {i}</p></article>") for i in range(20)], "page_id long, url string, html string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = pages.extract(rows)
+        assert "SortMergeJoin" not in texts._jdf.queryExecution().executedPlan().toString()
+        assert {r.page_id: r.text for r in texts.collect()} == {i: f"Text {i}" for i in range(20)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_pages_with_shared_lines_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(pages, "SENT_PLACES", most)
+    rows = spark.createDataFrame([(i, f"https://h.example/{i}", f"<p>Shared</p><p>Text {i}</p>") for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(rows).collect()} == {i: f"Text {i}" for i in range(6)}
+
+
 def test_common_subsequence():
     draw = random.Random(12)
 
