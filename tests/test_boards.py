@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from assentlake import session
 from assentlake.operators import boards, payloads
 from assentlake.plans.leaderboard import apply_submissions
 
@@ -154,3 +155,16 @@ def test_listed_rows_of_untidy_documents(spark):
     children = payloads.explode_entries(docs, payloads.MODELS).collect()
     assert sorted((r.model, r.hits, r.messages, r.mdi) for r in children if r.submission_id == 0) == [("a", 3, 10, 300.0), ("b", 1, 4, 250.0)]
     assert sum(r.submission_id == 5 for r in children) == 1 and sum(r.submission_id == 6 for r in children) == 500
+
+
+def test_tasks_are_small_unless_the_cluster_names_a_size(spark):
+    kept = spark.conf.get(session.TASK_SIZE)
+    try:
+        spark.conf.unset(session.TASK_SIZE)
+        session.configure(spark)
+        assert spark.conf.get(session.TASK_SIZE) == session.TASK_BYTES
+        spark.conf.set(session.TASK_SIZE, "8m")
+        session.configure(spark)
+        assert spark.conf.get(session.TASK_SIZE) == "8m"
+    finally:
+        spark.conf.set(session.TASK_SIZE, kept)
