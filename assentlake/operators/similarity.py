@@ -13,6 +13,7 @@ from assentlake.functions.arrays import leading
 from assentlake.functions.binding import bind, once
 from assentlake.functions.text import WHITESPACE_CLASS, strip_fences, trim_all
 from assentlake.operators.detect import with_spans
+from assentlake.session import staged
 from assentlake.sources.lexicon import Matcher
 
 
@@ -66,7 +67,7 @@ def _terms(grams: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(grams) > 0, bind(F.array_sort(grams), counted))
+    return bind(grams, lambda g: F.when(F.size(g) > 0, bind(F.array_sort(g), counted)))
 
 
 def char_ngrams(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
@@ -74,7 +75,8 @@ def char_ngrams(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
     Counts are taken inside the row, so nothing is shuffled.
     """
-    terms = _terms(_grams(_clean(F.col(text))))
+    # The text is cleaned once, not again for every gram.
+    terms = _terms(bind(_clean(F.col(text)), _grams))
     return rows.select(*key, F.inline_outer(terms)).where(F.col("gram").isNotNull())
 
 
@@ -86,16 +88,23 @@ def _idf(n_phrases: Column, df: Column) -> Column:
     return F.log((n_phrases + 1).cast("double") / (df + 1).cast("double")) + 1.0
 
 
+#: A phrase has some hundred grams; so many phrases make a task of a few hundred thousand rows.
+PHRASES_PER_TASK = 5000
+
+
 def tfidf_reference(phrases: DataFrame) -> DataFrame:
-    """Weights of reference phrases (ref_no, phrase): one row per phrase and gram."""
-    tf = char_ngrams(phrases, ["ref_no", "phrase"], "phrase")
-    df = tf.groupBy("gram").agg(F.count("*").alias("df"))
-    total = phrases.agg(F.count("*").alias("n"))
+    """Weights of reference phrases (ref_no, phrase): one row per phrase and gram.
+
+    Phrases are dealt out before they become grams: a file of phrases is small, their grams are
+    many. The rows of a phrase stay together from there on. The frequencies are staged, so their
+    real size decides: few are broadcast and grams are not shuffled.
+    """
+    n = phrases.count()
+    tf = char_ngrams(phrases.repartition(n // PHRASES_PER_TASK + 1, "ref_no"), ["ref_no", "phrase"], "phrase")
+    df = staged(tf.groupBy("gram").agg(F.count("*").alias("df")), "frequencies")
     weighted = (
         tf.join(df, "gram")
-        # A single row.
-        .crossJoin(F.broadcast(total))
-        .withColumn("idf", _idf(F.col("n"), F.col("df")))
+        .withColumn("idf", _idf(F.lit(n), F.col("df")))
         .withColumn("weight", _tf_weight(F.col("tf")) * F.col("idf"))
     )
     # The group is one phrase, a few grams.
@@ -245,7 +254,7 @@ def _best_of_chunks(chunks: Column, refs: References) -> Column:
                 bind(_score(weighed), lambda own: F.when(own["score"] > best["score"], own).otherwise(best))
             )
 
-        return bind(bind(_grams(_clean(chunk)), lambda grams: _weighed(grams, refs)), compare)
+        return bind(bind(bind(_clean(chunk), _grams), lambda grams: _weighed(grams, refs)), compare)
 
     nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("ref_no"))
     return F.aggregate(chunks, nothing, better)

@@ -1,5 +1,6 @@
 """Detection: examples, and a comparison with a plain loop over random texts."""
 
+import math
 import random
 import re
 import time
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assentlake import fixed
+from assentlake.operators import similarity
 from assentlake.operators.detect import detect, match_candidates, resolve_overlaps
 from assentlake.sources.lexicon import Matcher, lexicon_lines, load_lexicon
 
@@ -183,3 +185,25 @@ def test_snippets_at_the_edges_of_chunks(spark, messages, matcher):
         first, last = max(h.start - fixed.SNIPPET_BEFORE, 0), min(h.start + h.length + fixed.SNIPPET_AFTER, len(t))
         body = re.sub(r"\r?\n+", " ", t[first:last]).strip()
         assert h.snippet == ("..." if first else "") + body + ("..." if last < len(t) else "")
+
+
+def test_grams_of_one_file_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PHRASES_PER_TASK", 10)
+    rows = [(i, f"phrase number {i * 7919} of {i % 3} kinds") for i in range(100)] + [(5, "again"), (None, "no number"), (7, None)]
+    phrases = spark.createDataFrame(rows, "ref_no int, phrase string").coalesce(1)
+    weights = similarity.tfidf_reference(phrases)
+    assert weights.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+    found = weights.collect()
+    sums, df, tfs = {}, {}, {}
+    for ref_no, phrase in rows:
+        for size in fixed.NGRAM_SIZES:
+            for i in range(len(phrase or "") - size + 1):
+                key = (ref_no, phrase, phrase[i : i + size])
+                tfs[key] = tfs.get(key, 0) + 1
+    for *_, gram in tfs:
+        df[gram] = df.get(gram, 0) + 1
+    assert {(r.ref_no, r.phrase, r.gram): (r.tf, r.df) for r in found} == {k: (n, df[k[2]]) for k, n in tfs.items()}
+    for r in found:
+        sums[r.ref_no] = sums.get(r.ref_no, 0.0) + r.weight**2
+    assert all(abs(r.norm**2 - sums[r.ref_no]) < 1e-6 for r in found)
+    assert all(abs(r.idf - (1 + math.log((len(rows) + 1) / (r.df + 1)))) < 1e-9 for r in found)
