@@ -168,3 +168,16 @@ def test_tasks_are_small_unless_the_cluster_names_a_size(spark):
         assert spark.conf.get(session.TASK_SIZE) == "8m"
     finally:
         spark.conf.set(session.TASK_SIZE, kept)
+
+
+def test_shuffles_start_with_finer_parts_unless_the_cluster_names_a_number(spark):
+    kept = spark.conf.get(session.TASK_COUNT)
+    try:
+        spark.conf.unset(session.TASK_COUNT)
+        session.configure(spark)
+        assert int(spark.conf.get(session.TASK_COUNT)) == session.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(session.TASK_COUNT, "12")
+        session.configure(spark)
+        assert spark.conf.get(session.TASK_COUNT) == "12"
+    finally:
+        spark.conf.set(session.TASK_COUNT, kept)
