@@ -29,12 +29,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batches) -> Iterator:
+def slices(batches, most: int = SLICE_ROWS) -> Iterator:
     """Arrow batches cut into slices of bounded rows and bytes; a longer text stands alone."""
     for batch in batches:
         start = 0
         while start < batch.num_rows:
-            rows = min(SLICE_ROWS, batch.num_rows - start)
+            rows = min(most, batch.num_rows - start)
             while rows > 1 and batch.slice(start, rows).get_total_buffer_size() > 0 and _bytes(batch, start, rows) > SLICE_BYTES:
                 rows //= 2
             yield batch.slice(start, rows)
@@ -59,6 +59,21 @@ def trim_worker() -> None:
         trim(0)
 
 
+def trimmed(run):
+    """A function of Arrow batches that leaves the worker it ran in as small as it may be.
+
+    Workers are reused by later stages and by other queries: what one task remembered is gone when
+    it ends, but without this it stays with the allocators of a worker that may never need it again.
+    """
+
+    def whole(batches) -> Iterator:
+        trim_worker()
+        yield from run(batches)
+        trim_worker()
+
+    return whole
+
+
 def training_row(doc_id: str = "doc_id") -> Column:
     """Whether labels of this document may be learnt from."""
     return (F.crc32(F.col(doc_id).cast("string")) % 5) != 0

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assentlake.llm.common import slices, trim_worker
+from assentlake.llm.common import slices, trimmed
 from assentlake.session import shared_folder, staged
 
 CAPACITY = 4096
@@ -30,12 +30,14 @@ END_OF_TEXT = 1
 #: sequence stand alone in a new one.
 CLASSES = (2, 4, 8, 32)
 REMEMBERED = 300_000
+#: Texts that are tokenised together, if their bytes allow it: the more, the fewer distinct chunks.
+TEXTS = 2048
 #: Parts of chunks that are encoded as the lines of one string.
 LINES = 256
 
 # Letters that NFC and lower-casing map one to one, then ASCII punctuation without apostrophe:
 # such a chunk splits into exactly these two parts.
-PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)"
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 # Python takes these for white space, the tokenizer may not.
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85"
 
@@ -59,17 +61,17 @@ class Remembered:
 
 
 class ChunkTokenizer:
-    """Tokens of whole texts, with the tokens of chunks between white space remembered.
+    """Tokens of whole texts, with the tokens of parts of chunks between white space remembered.
 
     The vocabulary drops white space and never joins across it, so a text has the tokens of its
     chunks. A chunk of letters and punctuation is brought to normal form here and skips the
     general normaliser and splitter, which cost more than the merges. New parts of chunks go to
     the library as lines, many in one string: a call and its result cost as much as the merges.
+    Texts are split and put together as Arrow arrays, so Python meets each part of a slice once.
     """
 
     def __init__(self, content: str):
         import os
-        import re
 
         # A task has one core; threads of the library would wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,8 +85,7 @@ class ChunkTokenizer:
         # No part holds a line break, so its token stands between parts and nowhere else.
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bytes_only
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.plain = re.compile(PLAIN).fullmatch
-        self.chunks, self.parts = Remembered(), Remembered()
+        self.chunks = Remembered()
 
     def _encode(self, texts: list[str], how) -> list[bytes]:
         from array import array
@@ -113,31 +114,49 @@ class ChunkTokenizer:
             out.extend(ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)]))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        split = [None if any(c in t for c in ODD_SPACES) else t.split() for t in (t or "" for t in texts)]
-        pairs, other = [], []
-        for c in self.chunks.lacking(set().union(*(s for s in split if s))):
-            if c.isascii() and c.isalpha():
-                pairs.append((c, c.lower(), ""))
-            elif m := self.plain(c):
-                pairs.append((c, m[1].lower(), m[2]))
-            else:
-                other.append(c)
-        needed = {a for _, a, _ in pairs}
-        needed.update(b for _, _, b in pairs)
-        needed.discard("")
-        wanted = self.parts.lacking(needed)
-        chunks, parts = self.chunks.young, self.parts.young
-        parts.update(zip(wanted, self._encode_parts(wanted)))
-        parts[""] = b""
-        chunks.update((c, parts[a] + parts[b]) for c, a, b in pairs)
-        chunks.update(zip(other, self._encode(other, self.general)))
-        of = chunks.__getitem__
-        return [
-            b"".join(map(of, s)) if s is not None else self._encode([t], self.general)[0]
-            for s, t in zip(split, texts)
-        ]
+    def _known(self, parts: list[str], other: set[str]) -> list[bytes]:
+        """The ids of each part, once they are all remembered; ``other`` take the general way."""
+        wanted = self.chunks.lacking({p for p in parts if p})
+        plain, general = [p for p in wanted if p not in other], [p for p in wanted if p in other]
+        known = self.chunks.young
+        known.update(zip(plain, self._encode_parts(plain)))
+        known.update(zip(general, self._encode(general, self.general)))
+        return [known[p] if p else b"" for p in parts]
+
+    def _chunks(self, chunks):
+        """The ids of each chunk, which holds no white space; Arrow arrays both."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.extract_regex(chunks, PLAIN)
+        # A chunk that is not plain is never equal to a part of a plain one: one memory serves both.
+        other = set(chunks.filter(split.is_null()).to_pylist())
+        letters = pc.coalesce(pc.utf8_lower(pc.struct_field(split, "letters")), chunks)
+        marks = pc.fill_null(pc.struct_field(split, "marks"), "")
+        parts = pa.concat_arrays([letters, marks]).dictionary_encode()
+        ids = pa.array(self._known(parts.dictionary.to_pylist(), other), pa.large_binary()).take(parts.indices)
+        empty = pa.scalar(b"", pa.large_binary())
+        return pc.binary_join_element_wise(ids[: len(chunks)], ids[len(chunks) :], empty)
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text, null or not, as little-endian 32-bit numbers."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(texts, f"[{ODD_SPACES}]")
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        found = words.flatten().dictionary_encode()
+        laid = self._chunks(found.dictionary).take(found.indices)
+        _, ends, ids = laid.buffers()
+        ends = np.frombuffer(ends, np.int64)[laid.offset : laid.offset + len(laid) + 1]
+        offsets = words.offsets.to_numpy()
+        bounds, ids = ends[offsets - offsets[0]].tolist(), memoryview(ids or b"")
+        out = [bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._encode([texts[i].as_py()], self.general)[0]
+        return out
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -156,11 +175,10 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     def run(batches) -> Iterator:
         from zlib import crc32
 
-        trim_worker()
         tokenizer = ChunkTokenizer(shared.value)
-        for part in slices(batches):
+        for part in slices(batches, TEXTS):
             rows = []
-            for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist())):
+            for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -172,7 +190,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     if with_ids:
         types, schema = {**types, "ids": pa.binary()}, schema + ", ids binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)
 
 
 def _levels(runs: list, docs: dict[int, int], slots: dict[int, int]) -> tuple[list[tuple], dict[int, int]]:

@@ -115,6 +115,30 @@ def test_remembered_words_are_bounded(monkeypatch):
         assert "often" in own.chunks.young and len(own.chunks.young) + len(own.chunks.old) <= 60
 
 
+def test_parts_are_remembered_and_not_their_combinations():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("word_bpe_49k.json")
+    own, whole = packing.ChunkTokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    words, marks = ["one", "Two", "ÉTÉ", "four"], ["", ".", ",", "!?", '"', ")"]
+    texts = [" ".join(w + m for w in words for m in marks), None, "", " x\u0301 É\u0301. H\u0331 ", "a\x1cb one."]
+    # A slice of a longer array: the offsets do not start at 0.
+    for text, ids in zip(texts, own.encode(pa.array(["before", *texts]).slice(1))):
+        assert ids == b"".join(i.to_bytes(4, "little") for i in whole.encode(text or "", add_special_tokens=False).ids)
+    # Four words, five marks, a letter and what is no plain chunk: not 24 combinations beside them.
+    assert len(own.chunks.young) + len(own.chunks.old) <= len(words) + len(marks) + 4
+
+
+def test_a_worker_is_trimmed_before_and_after_its_rows(monkeypatch):
+    from assentlake.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "trim_worker", lambda: seen.append("trim"))
+    assert list(common.trimmed(lambda batches: (seen.append(b) or b for b in batches))([1, 2])) == [1, 2]
+    assert seen == ["trim", 1, 2, "trim"]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_gapless_and_tight(spark, seed):
     draw = random.Random(seed)
