@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assentlake.llm.common import slices
+from assentlake.llm.common import slices, trimmed
 from assentlake.llm.components import components
 from assentlake.session import staged
 
@@ -38,7 +38,7 @@ SKETCH_BITS = 2048
 DEVIATIONS, SMALL = 7.0, 128
 #: Ids up to this number are sent to every task instead of moving the texts (16 bytes each).
 SENT_IDS = 500_000
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Counters by which shingles are ordered by rarity.
 SLOTS = 1 << 18
 
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 sets = [own.hashes(t).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
-    return _wanted(docs, ids).mapInArrow(run, "doc_id long, hashes array<long>")
+    return _wanted(docs, ids).mapInArrow(trimmed(run), "doc_id long, hashes array<long>")
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -201,7 +201,7 @@ def _rarest(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFra
     import numpy as np
 
     # At most SLOTS numbers.
-    counted = wanted.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = wanted.mapInArrow(trimmed(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(SLOTS, np.int64)
     frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
@@ -224,7 +224,7 @@ def _rarest(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFra
                         column.append(values)
                 yield pa.record_batch([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return wanted.withColumnRenamed("doc_id", "rep").mapInArrow(run, "rep long, n long, pos long, token long, leads boolean")
+    return wanted.withColumnRenamed("doc_id", "rep").mapInArrow(trimmed(run), "rep long, n long, pos long, token long, leads boolean")
 
 
 def _across(docs: DataFrame, mixed: DataFrame, size: int, percent: int) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from assentlake.llm.common import labelled, slices, training_row
+from assentlake.llm.common import labelled, slices, training_row, trimmed
 
 #: Words are hashed into this many features, after the statistics.
 WORDS = 1 << 15
@@ -21,7 +21,7 @@ FACTORS = 8
 #: The model is fitted on at most so many labelled documents, chosen by the hash of their id.
 TRAINING_ROWS = 4_000
 EPOCHS = 14
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 STATISTICS = (
     "upper", "digit", "symbol", "punctuation", "space", "other", "word_length", "distinct_words",
@@ -149,7 +149,7 @@ def _featured(rows: DataFrame) -> DataFrame:
                 names=["doc_id", "label", "i", "x"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, label int, i array<int>, x array<float>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, label int, i array<int>, x array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS):
@@ -189,7 +189,7 @@ def classify(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
             scores = [1.0] * len(texts) if own is None else score_rows(own, map(features, texts))
             yield pa.record_batch([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select(
         "doc_id", (~training_row()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             scores = [1.0] * len(texts) if own is None else score_rows(own, map(features, texts))
             yield part.filter(pa.array([s >= threshold for s in scores]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

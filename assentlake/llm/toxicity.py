@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assentlake.llm.common import fit_logistic, labelled, slices, training_row
+from assentlake.llm.common import fit_logistic, labelled, slices, training_row, trimmed
 from assentlake.session import staged
 
 #: Labelled documents to learn from. This alone bounds the lexicon: neither entries nor exception
@@ -168,7 +168,7 @@ def _counted(rows: DataFrame, make, schema: str) -> DataFrame:
         if counts:
             yield out()
 
-    return rows.select("doc_id", "text", "label").mapInArrow(run, schema).groupBy("term", "label").agg(F.sum("n").alias("n"))
+    return rows.select("doc_id", "text", "label").mapInArrow(trimmed(run), schema).groupBy("term", "label").agg(F.sum("n").alias("n"))
 
 
 def _holders(rows: DataFrame, ranked: list[str]):
@@ -188,7 +188,7 @@ def _holders(rows: DataFrame, ranked: list[str]):
             terms = [sorted({known[t] for w in set(folder.words(text)) for t in _starts(w) if t in known}) for text in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "terms"])
 
-    found = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms array<int>").toArrow()
+    found = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, terms array<int>").toArrow()
     lists = found.column("terms").combine_chunks()
     docs = np.unique(found.column("doc_id").to_numpy(), return_inverse=True)[1].astype(np.int32)
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
@@ -283,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS):
             a, b = zip(*map(matcher.measures, part.column(1).to_pylist()))
             yield pa.record_batch([part.column(0), pa.array(a), pa.array(b), part.column(2)], names=["doc_id", "a", "b", "label"])
 
-    seen = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, a double, b double, label int").orderBy("doc_id").toPandas()
+    seen = rows.select("doc_id", "text", "label").mapInArrow(trimmed(run), "doc_id long, a double, b double, label int").orderBy("doc_id").toPandas()
     calibration = fit_logistic(seen[["a", "b"]].to_numpy(), seen.label.clip(0, 1).to_numpy())
     return entries, phrases, [float(c) for c in calibration]
 
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
         for part in slices(batches):
             yield pa.record_batch([part.column(0), pa.array(scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select(
         "doc_id", (~training_row()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
@@ -338,4 +338,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for part in slices(batches):
             yield part.filter(pa.array([s < threshold for s in scores(part.column(at).to_pylist())]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
