@@ -6,7 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assentlake.operators.payloads import HARNESSES, MODELS, documents, explode_entries, payload_json, sanitize
+from assentlake.operators.payloads import (
+    HARNESSES,
+    MODELS,
+    documents,
+    explode_entries,
+    listed_entries,
+    payload_json,
+    sanitize,
+)
 from assentlake.session import staged
 
 USER_COLUMNS = ("user_id", "login", "display_name", "avatar_url", "profile_url")
@@ -64,11 +72,15 @@ def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = F
     """Parse raw submissions (submission_id, user columns, created_at, payload_json).
 
     Without ``old`` the tables hold this batch only. With ``stage`` the parsed submissions
-    are written once, for the tables that all read them.
+    are written once, for the tables that all read them: their clean columns, and the texts of
+    those that were turned away. The rows they list are read from these.
     """
-    parsed = sanitize(documents(raw).withColumn("accepted", F.col("v").isNotNull()), keep=True)
+    parsed = sanitize(documents(raw).withColumn("accepted", F.col("v").isNotNull()), keep=not stage)
+    listed = explode_entries
     if stage:
-        parsed = staged(parsed, "submissions")
+        rejected = F.when(~F.col("accepted"), F.col("payload_json"))
+        parsed = staged(parsed.withColumn("payload_json", rejected), "submissions")
+        listed = listed_entries
     accepted = parsed.where("accepted").withColumn("payload_json", payload_json())
     entries = latest_entries(accepted)
     history = accepted.select(
@@ -87,8 +99,8 @@ def apply_submissions(raw: DataFrame, old: Tables | None = None, stage: bool = F
     batch = Tables(
         entries=entries,
         submissions=history,
-        models=explode_entries(parsed, MODELS),
-        harnesses=explode_entries(parsed, HARNESSES),
+        models=listed(parsed, MODELS),
+        harnesses=listed(parsed, HARNESSES),
         rejected=parsed.where(~F.col("accepted")).select(*raw.columns),
     )
     if old is None:
