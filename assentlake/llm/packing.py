@@ -29,9 +29,9 @@ END_OF_TEXT = 1
 #: Lower ends of the size classes, as divisors of the capacity. Larger documents than half a
 #: sequence stand alone in a new one.
 CLASSES = (2, 4, 8, 32)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Texts that are tokenised together, if their bytes allow it: the more, the fewer distinct chunks.
-TEXTS = 2048
+TEXTS = 1024
 #: Parts of chunks that are encoded as the lines of one string.
 LINES = 256
 
