@@ -15,9 +15,14 @@ V, ITEM = "v", "item"
 
 
 def items(docs: DataFrame, elements: Column) -> DataFrame:
-    """One row per element of an array of each document, as (item_no, item)."""
+    """One row per element of an array of each document, as (item_no, item).
+
+    Elements of a document in several parts are numbered through.
+    """
     # The outer form: the inner one would add a test that reads the array once more.
     exploded = docs.select("*", F.posexplode_outer(elements).alias("item_no", "item"))
+    if "first_item" in docs.columns:
+        exploded = exploded.withColumn("item_no", F.col("first_item") + F.col("item_no"))
     return exploded.where(F.col("item").isNotNull())
 
 

@@ -1,6 +1,7 @@
 """Log folders on disk to messages, for every agent."""
 
 import json
+import random
 import sqlite3
 from datetime import datetime
 
@@ -11,7 +12,11 @@ from assentlake.operators.carry import carry_forward
 from assentlake.operators.similarity import sample_messages
 from assentlake.operators.payloads import parse_payloads
 from assentlake.plans.scan import load_messages
+from assentlake.sources import files, pieces
 from assentlake.sources.files import discover, parse_lines, read_lines
+from assentlake.sources.pieces import array_parts
+from verification import QUERIES, logs
+from verification.relations import Relations
 
 UUID = "0f0e0d0c-1111-2222-3333-444455556666"
 
@@ -319,3 +324,102 @@ def test_a_list_of_many_changes(spark):
     for path, _, pos, change in rows:
         last[path] = change or last.get(path, "none")
         assert got[pos] == last[path]
+
+
+def element(rng, depth=0):
+    kind = rng.random()
+    if depth > 3 or kind < 0.4:
+        return "".join(rng.choice('a,"\\[]{}é\n ') for _ in range(rng.randrange(8)))
+    if kind < 0.5:
+        return rng.choice([None, True, 1.5, -3])
+    if kind < 0.75:
+        return [element(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {f'{i},"\\': element(rng, depth + 1) for i in range(rng.randrange(3))}
+
+
+def test_parts_of_an_array_are_the_array():
+    """For any cuts and damages, against the parser of Python."""
+    rng = random.Random(7)
+    for round in range(6_000):
+        text = bytearray(json.dumps([element(rng) for _ in range(rng.randrange(8))], ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])).encode())
+        for _ in range(rng.randrange(3) if round % 2 else 0):
+            at = rng.randrange(1, len(text) + 1)
+            text[at : at + rng.randrange(2)] = rng.choice([b"", bytes([rng.choice(b'"\\,[]{} a1')])])
+        text = rng.choice([b"", b" \n"]) + bytes(text) + rng.choice([b"", b"\n", b" x]"])
+        left, chunks = text.split(b","), []
+        while left:
+            n = rng.randrange(1, 6)
+            chunks.append(b",".join(left[:n]) + b",")
+            del left[:n]
+        try:
+            want, _ = json.JSONDecoder().raw_decode(text.decode("utf-8", "replace").lstrip())
+        except ValueError:
+            want = None
+        got = []
+        for before, value, sound in array_parts(chunks, rng.choice([1, 10, 50, 10**6])):
+            try:
+                assert sound and before == len(got)
+                got += json.loads(value.decode("utf-8", "replace"))
+            except (AssertionError, ValueError):
+                got = None
+                break
+        assert got == want, text
+
+
+def test_large_arrays_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """Ids and messages are the same as those of a single row; a document that is broken anywhere is left out."""
+    texts = [f'{i} é, "[{{\\ ' + "word, " * (i % 7) + "}]" for i in range(400)]
+    turns = [{"role": "assistant", "content": t} if i % 5 else [None, t] if i % 2 else {"type": "say", "say": "text", "text": t} for i, t in enumerate(texts)]
+    plain = json.dumps(turns)
+    middle = plain.index('{"role"', len(plain) // 2)
+    documents = {
+        "plain": plain, "a [1]{x}+%41 b": json.dumps(turns, ensure_ascii=False), "lines": json.dumps(turns, indent=2), "behind": plain + " x],[",
+        "object": json.dumps({"messages": turns}), "text": json.dumps(plain), "blank": " \n" * 2_000, "none": "[" + " " * 3_000 + "]",
+    }
+    broken = {
+        "end": plain[:-1], "brace": plain[:-1] + "}", "comma": plain[:-1] + ",]", "blanks": plain[:-1] + "," + " " * 3_000 + "]",
+        "double": plain[:middle] + "," + plain[middle:], "word": plain[:middle] + "word " + plain[middle:], "quote": plain[:middle] + '"' + plain[middle:],
+    }
+    for name, text in {**documents, **broken}.items():
+        put(tmp_path / f"tasks/{name}/api_conversation_history.json", text)
+        put(tmp_path / f"openclaw/{name}.json", text)
+    folders = {"cline": str(tmp_path), "openclaw": str(tmp_path / "openclaw")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    for whole in (1 << 30, 2_000):
+        monkeypatch.setattr(files, "WHOLE_BYTES", whole)
+        monkeypatch.setattr(pieces, "PART_BYTES", 1_000)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        try:
+            seen.append(sorted(map(str, load_messages(spark, folders, now()).collect())))
+            raw = files.read_docs(spark, folders["openclaw"]).select("file_path", F.length("value").alias("n")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] and len(seen[0]) == len(set(seen[0])) > 2_000
+    assert not any(f"/{name}/" in row or f"/{name}.json" in row for row in seen[1] for name in broken)
+    lengths = {name: [r.n for r in raw if r.file_path.endswith(f"/{name}.json")] for name in {**documents, **broken}}
+    assert all(len(lengths[n]) > 5 and max(lengths[n]) < 4_000 for n in ("plain", "lines", "behind"))
+    assert all(len(lengths[n]) == 1 for n in ("object", "text", "blank")) and not any(lengths[n] for n in broken)
+
+
+def test_documents_are_written_element_by_element(spark, tmp_path, monkeypatch):
+    """src_json_doc: a file for each session, in which no line holds more than one message."""
+    monkeypatch.setattr(files, "WHOLE_BYTES", 3_000)
+    monkeypatch.setattr(pieces, "PART_BYTES", 1_000)
+    written = tmp_path / "documents"
+    monkeypatch.setattr(logs, "shared_folder", lambda spark, name: str(written))
+    turns = [(c, t, "assistant" if t % 2 else "user", f"turn {t}") for c in (1, 2, None) for t in (1, 2, 3, 3)]
+    docs = [(i % 300, f'{i}, "x" [', "en", (None, "", "src1", "src2")[i % 4], 9) for i in range(600)] + [(900, " ", "en", "src9", 1), (901, None, "en", "src9", 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.session_id: (r["items"], r.chars) for r in QUERIES["src_json_doc"](spark, str(tmp_path)).collect()}
+    want = {}
+    for row in Relations(spark, str(tmp_path)).messages.where("trim(text) <> ''").select("session_id", "text").collect():
+        items, chars = want.get(row.session_id or "__HIVE_DEFAULT_PARTITION__", (0, 0))
+        want[row.session_id or "__HIVE_DEFAULT_PARTITION__"] = (items + 1, chars + len(row.text))
+    assert got == want and want["__HIVE_DEFAULT_PARTITION__"][0] == 303 and want["src1"][0] == 150
+    for name, (items, chars) in want.items():
+        (file,) = written.glob(f"session_id={name}/*.txt")
+        text = file.read_text(encoding="utf-8")
+        assert len(text.splitlines()) == items
+        assert sum(len(e["content"]) for e in json.loads(text)) == chars
